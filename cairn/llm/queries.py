@@ -1,6 +1,8 @@
 """The published queries: each operator, with production parameters, over its whole table."""
 
-from cairn.llm import mixing, quality, sharding, url_filter
+from pyspark.sql import functions as F
+
+from cairn.llm import decontaminate, html, langid, mixing, quality, sharding, url_filter
 
 
 def _table(spark, sf_dir, name):
@@ -19,10 +21,25 @@ def op4_quality_rules(spark, sf_dir):
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark, sf_dir):
+    return decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_html_extraction(spark, sf_dir):
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_language_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    held = langid.held_out(F.col("doc_id"))
+    model = langid.train(docs.filter(~held))
+    return langid.identify(docs.select("doc_id", held.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
