@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, hmm, html, langid, mixing, quality, sharding, url_filter
+from cairn.llm import decontaminate, hmm, html, langid, mixing, quality, repeats, sharding, url_filter
 
 
 def _table(spark, sf_dir, name):
@@ -33,6 +33,10 @@ def op7_mixing(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    return repeats.dedup_digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_lm_scoring(spark, sf_dir):
     return hmm.score(_table(spark, sf_dir, "documents"))
 
