@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, hmm, html, langid, mixing, quality, repeats, sharding, url_filter
+from cairn.llm import decontaminate, hmm, html, jaccard, langid, mixing, quality, repeats, sharding, url_filter
 
 
 def _table(spark, sf_dir, name):
@@ -13,6 +13,10 @@ def op1_url_filters(spark, sf_dir):
     return url_filter.url_verdicts(_table(spark, sf_dir, "pages"))
 
 
+def op2_jaccard_join(spark, sf_dir):
+    return jaccard.similarity_classes(_table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_sharding(spark, sf_dir):
     return sharding.shard_digest(_table(spark, sf_dir, "documents"))
 
