@@ -6,8 +6,9 @@ that share an anchor. Runs with an anchor seen once are done with. The others, a
 stand aligned on their anchor, go through a column-wise construction: each round inserts one symbol of each segment,
 from the last column to the first, and updates the order of the collection's suffixes (its Burrows-Wheeler order) and
 their common prefixes. Strings with a common prefix of full length are equal, and all but the earliest are covered.
+Of equal whole segments only the earliest goes through it.
 
-The sequential external files of that construction are the tables and shuffles between its three passes over bucketed
+The sequential external files of that construction are the tables and shuffles between its passes over bucketed
 chunks of text; a task holds one chunk or one range of anchors.
 """
 
@@ -28,7 +29,10 @@ PACKED = -(-(REACH + 1) // 8)
 #: An anchor with more occurrences (each chunk says 255 at most) is dealt out by its single strings, not as one group.
 HOT = 2000
 NO_ID = np.iinfo(np.int64).max
-SEGMENT, STRING, STATUS = 0, 1, 2
+#: Kinds of questions: about anchors, whole segments, single strings of hot anchors, and segments' bytes.
+STATUS, WHOLE, STRING, SEGMENT = 0, 1, 2, 3
+#: Answers about a whole segment: nothing repeats, an equal one comes earlier, or others of its anchor have to be compared.
+ALONE, LATER, COMPARE = 0, 1, 2
 
 
 class Runs:
@@ -149,32 +153,48 @@ def _told(answers, kind, dtype):
     return np.concatenate(got) if got else np.empty(0, dtype)
 
 
+def _packed(hashes, values, ranges, chunk, kind, names):
+    out = pa.Table.from_batches([exchange.pack(hashes, values, ranges, chunk)])
+    for name in names:
+        if name not in out.column_names:
+            out = out.append_column(name, pa.nulls(len(out), pa.binary()))
+    return out.append_column("kind", pa.array([kind] * len(out), pa.int32())).select(["kind", "part", "chunk", "hashes", *names])
+
+
 def _ask_runs(ranges):
-    names = ["part", "chunk", "hashes", "doc", "at", "segment", "left", "right", "columns"]
+    def ask(key, table, answers):
+        c = Chunk(table)
+        chunk = key[0].as_py()
+        _, inverse, _ = c.anchors()
+        status = _told(answers, STATUS, np.uint8)[inverse] if len(c.anchor) else np.empty(0, np.uint8)
+        first, _, _ = c.segments(np.flatnonzero(status == 1))
+        names = ["doc", "at", "segment"]
+        out = [_packed(c.anchor[first], {"doc": c.doc[first], "at": c.at[first], "segment": c.segment[first]}, ranges, chunk, WHOLE, names)]
+        hot = np.flatnonzero(status == 2)
+        if len(hot):
+            h, doc, at, _ = c.strings(hot)
+            order, new = _first_of(h, doc, at)
+            order = order[new]
+            out.append(_packed(h[order], {"doc": doc[order], "at": at[order]}, ranges, chunk, STRING, names))
+        return pa.concat_tables(out)
+
+    return ask
+
 
+def _ask_bytes(ranges):
     def ask(key, table, answers):
         c = Chunk(table)
         _, inverse, _ = c.anchors()
         status = _told(answers, STATUS, np.uint8)[inverse] if len(c.anchor) else np.empty(0, np.uint8)
         first, _, _ = c.segments(np.flatnonzero(status == 1))
+        first = first[_told(answers, WHOLE, np.uint8) == COMPARE]
         columns = np.empty((len(first), WIDTH), np.uint8)
         left, right = np.empty(len(first), np.uint8), np.empty(len(first), np.uint8)
         for r, own, mine in c.parts(first):
             columns[mine] = r.columns(own)
             left[mine], right[mine] = r.at[own] - r.low[own], r.at[own] - r.high[own]
-        out = pa.Table.from_batches([exchange.pack(c.anchor[first], {"doc": c.doc[first], "at": c.at[first], "segment": c.segment[first], "left": left, "right": right, "columns": columns}, ranges, key[0].as_py())])
-        out = out.append_column("kind", pa.array([SEGMENT] * len(out), pa.int32()))
-        hot = np.flatnonzero(status == 2)
-        if len(hot):
-            h, doc, at, _ = c.strings(hot)
-            order, new = _first_of(h, doc, at)
-            order = order[new]
-            more = pa.Table.from_batches([exchange.pack(h[order], {"doc": doc[order], "at": at[order]}, ranges, key[0].as_py())])
-            for name in names[5:]:
-                more = more.append_column(name, pa.nulls(len(more), pa.binary()))
-            more = more.append_column("kind", pa.array([STRING] * len(more), pa.int32()))
-            out = pa.concat_tables([out, more.select(out.column_names)])
-        return out.select([*names, "kind"])
+        values = {"doc": c.doc[first], "at": c.at[first], "left": left, "right": right, "columns": columns}
+        return _packed(c.anchor[first], values, ranges, key[0].as_py(), SEGMENT, list(values))
 
     return ask
 
@@ -226,40 +246,46 @@ def equal_strings(columns, left, right, group, rank):
     return covered
 
 
+def _replies(table, kind, back, at):
+    return pa.table({"chunk": table.column("chunk"), "kind": pa.array([kind] * len(table), pa.int32()), "part": table.column("part"), "answer": pa.array([back[a:z].tobytes() for a, z in zip(at[:-1], at[1:])], pa.binary())})
+
+
+def _places(table):
+    h, _, at = exchange.grouped(exchange.unpacked(table, "hashes", np.uint64))
+    return h, np.concatenate(exchange.unpacked(table, "doc", np.int64)), np.concatenate(exchange.unpacked(table, "at", np.int64)), at
+
+
 def _answer_runs(key, table):
+    """Of whole segments, one of ALONE, LATER and COMPARE; of strings, whether an equal one comes earlier."""
     kind = key[0].as_py()
-    h, _, at = exchange.grouped(exchange.unpacked(table, "hashes", np.uint64))
-    doc = np.concatenate(exchange.unpacked(table, "doc", np.int64))
-    place = np.concatenate(exchange.unpacked(table, "at", np.int64))
-    _, rank = np.unique(np.stack([doc, place]), axis=1, return_inverse=True) if kind == SEGMENT else (None, None)
+    h, doc, place, at = _places(table)
+    back = np.zeros(len(h), np.uint8)
     if kind == STRING:
         order, new = _first_of(h, doc, place)
         head = order[new][np.cumsum(new) - 1]
-        back = np.zeros(len(h), np.uint8)
         back[order] = (doc[order] != doc[head]) | (place[order] != place[head])
     else:
-        rank = rank.reshape(-1)
         segment = np.concatenate(exchange.unpacked(table, "segment", np.uint64))
-        left, right = (np.concatenate(exchange.unpacked(table, x, np.uint8)) for x in ("left", "right"))
-        order = np.lexsort((rank, segment, h))
+        order = np.lexsort((place, doc, segment, h))
         new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (segment[order][1:] != segment[order][:-1])])
         head = order[new]
-        cover = np.zeros((len(h), REACH + 1), bool)
-        again = np.ones(len(h), bool)  # a later occurrence of an equal segment
-        again[order] = rank[order] > rank[head[np.cumsum(new) - 1]]
-        o = np.arange(REACH + 1)
-        cover[again] = (o >= right[again, None]) & (o <= left[again, None])
         _, group, size = np.unique(h[head], return_inverse=True, return_counts=True)
-        many = head[size[group] > 1]
-        if len(many):
-            where = np.searchsorted(at, many, "right") - 1
-            blobs = exchange.unpacked(table, "columns", np.uint8, WIDTH)
-            columns = np.empty((len(many), WIDTH), np.uint8)
-            for i in np.unique(where):
-                columns[where == i] = blobs[i][many[where == i] - at[i]]
-            cover[many] = equal_strings(columns, left[many], right[many], h[many], rank[many])
-        back = np.packbits(cover, axis=1)
-    return pa.table({"chunk": table.column("chunk"), "kind": pa.array([kind] * len(table), pa.int32()), "part": table.column("part"), "answer": pa.array([back[a:z].tobytes() for a, z in zip(at[:-1], at[1:])], pa.binary())})
+        of = np.cumsum(new) - 1
+        tied = (doc[order] == doc[head[of]]) & (place[order] == place[head[of]])
+        back[order] = np.where(tied, np.where(size[group] > 1, COMPARE, ALONE)[of], LATER)
+    return _replies(table, kind, back, at)
+
+
+def _answer_bytes(key, table):
+    """The covered strings of each segment, a bit each."""
+    h, doc, place, at = _places(table)
+    rank = np.unique(np.stack([doc, place]), axis=1, return_inverse=True)[1].reshape(-1)
+    left, right = (np.concatenate(exchange.unpacked(table, x, np.uint8)) for x in ("left", "right"))
+    columns = np.concatenate(exchange.unpacked(table, "columns", np.uint8, WIDTH))
+    order = np.argsort(h, kind="stable")
+    cover = np.empty((len(h), REACH + 1), bool)
+    cover[order] = equal_strings(columns[order], left[order], right[order], h[order], rank[order])
+    return _replies(table, SEGMENT, np.packbits(cover, axis=1), at)
 
 
 def _mark(c: Chunk, answers):
@@ -276,17 +302,20 @@ def _mark(c: Chunk, answers):
     _, inverse, _ = c.anchors()
     status = _told(answers, STATUS, np.uint8)[inverse]
     first, order, group = c.segments(np.flatnonzero(status == 1))
+    code = _told(answers, WHOLE, np.uint8)
     cover = np.unpackbits(_told(answers, SEGMENT, np.uint8).reshape(-1, PACKED), axis=1, count=REACH + 1).astype(bool)
     if len(first):
         head = first[group]
-        later = order[(c.doc[order] != c.doc[head]) | (c.at[order] != c.at[head])]
+        tie = (c.doc[order] == c.doc[head]) & (c.at[order] == c.at[head])
+        later = order[~tie | (code[group] == LATER)]
         for r, own, _ in c.parts(later):
             size = r.high[own] - r.low[own] + 1
             if len(own):
                 put(r, np.repeat(r.low[own] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()))
         # Runs that tie with the first (rows of one doc_id) share its answer.
-        tied = order[(c.doc[order] == c.doc[head]) & (c.at[order] == c.at[head])]
-        answer = group[(c.doc[order] == c.doc[head]) & (c.at[order] == c.at[head])]
+        compared = np.cumsum(code == COMPARE) - 1
+        tie &= code[group] == COMPARE
+        tied, answer = order[tie], compared[group[tie]]
         for r, own, mine in c.parts(tied):
             i, o = np.nonzero(cover[answer[mine]])
             put(r, r.at[own][i] - o)
@@ -343,12 +372,14 @@ def _passes(docs: DataFrame, last, schema):
     chunks = exchange.chunk_count(x)
     ranges = max(16, chunks // 2)
     x = store.bucketed(exchange.in_chunks(x, chunks), "chunks", "chunk", min(chunks, 10_000))
-    reply = "chunk int, kind int, part int, answer binary"
-    asked = x.groupBy("chunk").applyInArrow(_ask_anchors(ranges), "part int, chunk int, hashes binary, n binary")
-    status = store.written(asked.groupBy("part").applyInArrow(_answer_anchors, reply), "anchors")
-    asked = x.groupBy("chunk").cogroup(status.groupBy("chunk")).applyInArrow(_ask_runs(ranges), "part int, chunk int, hashes binary, doc binary, at binary, segment binary, left binary, right binary, columns binary, kind int")
-    runs = asked.groupBy("kind", "part").applyInArrow(_answer_runs, reply)
-    return x.groupBy("chunk").cogroup(status.unionByName(runs).groupBy("chunk")).applyInArrow(last, schema(x))
+    asked, reply = "kind int, part int, chunk int, hashes binary", "chunk int, kind int, part int, answer binary"
+    anchors = x.groupBy("chunk").applyInArrow(_ask_anchors(ranges), "part int, chunk int, hashes binary, n binary")
+    told = store.written(anchors.groupBy("part").applyInArrow(_answer_anchors, reply), "anchors")
+    runs = x.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_ask_runs(ranges), asked + ", doc binary, at binary, segment binary")
+    told = told.unionByName(store.written(runs.groupBy("kind", "part").applyInArrow(_answer_runs, reply), "runs"))
+    whole = x.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_ask_bytes(ranges), asked + ", doc binary, at binary, left binary, right binary, columns binary")
+    told = told.unionByName(whole.groupBy("part").applyInArrow(_answer_bytes, reply))
+    return x.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(last, schema(x))
 
 
 def dedup_digest(docs: DataFrame) -> DataFrame:
