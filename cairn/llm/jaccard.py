@@ -15,12 +15,14 @@ from cairn.llm import components, exchange, store, textkit
 
 U = np.uint64
 #: Coordinates of a count vector.
-GROUPS = 32
+GROUPS = 64
 LEAF = 16
 #: A shingle asked for more often is dealt out by shingle and set.
 HOT = 4000
 #: Pairs of a shingle's sets are looked for in tiles of about so many sets.
 TILE = 512
+#: Sets of a cluster of pairs that are verified side by side.
+CLUSTER = 256
 #: Sampled documents and the most shingles put last because of them.
 SAMPLE, LAST = 4000, 100_000
 #: Shared shingles of a set that name its first partners.
@@ -94,7 +96,7 @@ def common_shingles(docs: DataFrame, k: int):
 
 
 def count_vector(x):
-    return np.bincount((x >> U(59)).astype(np.int64), minlength=GROUPS).astype(np.uint16)
+    return np.bincount((x >> U(58)).astype(np.int64), minlength=GROUPS).astype(np.uint16)
 
 
 class Tree:
@@ -120,55 +122,115 @@ class Tree:
         return np.concatenate(out)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links among pairs(a, b)."""
-    x = pairs.join(sets.select(F.col("sh").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sh").alias("b"), F.col("shingles").alias("y")), "b")
+def _possible(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) whose count vectors allow the threshold."""
+    one = lambda c, to: vectors.select(F.col("sh").alias(c), F.col("n").alias(f"n{c}"), F.col("vector").alias(to))
+    x = pairs.join(one("a", "x"), "a").join(one("b", "y"), "b").filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
 
     def check(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                keep.append(int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) >= least_shared(len(x), len(y), percent))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], ["a", "b"])
-
-    return x.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+            x, y = (np.frombuffer(b"".join(v.as_py() for v in b.column(i)), np.uint16).reshape(-1, GROUPS) for i in (4, 5))
+            na, nb = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            keep = pa.array(np.minimum(x, y).sum(1, dtype=np.int64) >= least_shared(na, nb, percent))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+
+    return x.select("a", "b", "na", "nb", "x", "y").mapInArrow(check, "a long, b long")
+
+
+def _verify(key, pairs, sets):
+    """The links of a tile's pairs that its earlier links don't imply."""
+    found = {h: np.frombuffer(x.as_buffer(), np.uint64) for h, x in zip(sets.column("sh").to_pylist(), sets.column("shingles"))}
+    percent = pairs.column("percent")[0].as_py() if len(pairs) else 100
+    up = {}
+
+    def root(v):
+        while (w := up.get(v, v)) != v:
+            up[v] = up.get(w, w)
+            v = w
+        return v
+
+    links = []
+    for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
+        ra, rb = root(a), root(b)
+        if ra == rb:
+            continue
+        x, y = found[a], found[b]
+        if len(x) > len(y):
+            x, y = y, x
+        if int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) >= least_shared(len(x), len(y), percent):
+            up[ra] = rb
+            links.append((a, b))
+    a, b = zip(*links) if links else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _verified(pairs: DataFrame, fetch_sets, percent: int) -> DataFrame:
+    """Links that connect what pairs(a, b) of the threshold connect.
+
+    A set goes once to each tile of its cluster (the component of the pairs it is in), not once to each pair.
+    """
+    clusters = components.components(pairs)
+    size = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
+    side = clusters.join(size, "root").select("node", "root", F.pmod("node", F.ceil(F.col("m") / CLUSTER)).cast("int").alias("own"))
+    side = store.written(side, "sides")
+    deals = max(store.partitions(pairs.sparkSession), side.count() // CLUSTER)
+    x = pairs.join(side.select(F.col("node").alias("a"), "root", F.col("own").alias("i")), "a").join(side.select(F.col("node").alias("b"), F.col("own").alias("j")), "b")
+    x = x.select("a", "b", F.pmod(F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")), F.lit(deals)).cast("int").alias("deal"), F.lit(percent).alias("percent"))
+    x = store.written(x, "dealt")
+    wanted = x.select(F.explode(F.array("a", "b")).alias("sh"), "deal").distinct()
+    blocks = wanted.join(fetch_sets(wanted.select("sh").distinct()), "sh")
+    return x.groupBy("deal").cogroup(blocks.groupBy("deal")).applyInArrow(_verify, "a long, b long")
 
 
 def _roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.select(F.col("node").alias("sh"), "root"), "sh", "left").withColumn("root", F.coalesce("root", "sh"))
 
 
-def _near_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components, found in R-trees, of shared(key, sh, root, n, vector)."""
-    size = shared.groupBy("key").agg(F.count(F.lit(1)).alias("sets"))
-    x = shared.join(size, "key").withColumn("tiles", F.ceil(F.col("sets") / TILE).cast("int"))
+def _near_pairs(shared: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components, found in R-trees, of shared(key, sh, root, sets): sets of one key, in tiles."""
+    x = shared.withColumn("tiles", F.ceil(F.col("sets") / TILE).cast("int"))
     x = x.withColumn("own", F.pmod("sh", F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    x = x.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sh", "root", "n", "vector")
+    x = x.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sh", "root").join(vectors, "sh")
     x = x.withColumn("deal", F.pmod(F.xxhash64("key", "i", "j"), F.lit(4 * store.partitions(shared.sparkSession))).cast("int"))
 
     def find(key, table):
         get = lambda c: table.column(c).to_numpy(zero_copy_only=False)
         k, i, j, own, sh, root, n = (get(c) for c in ("key", "i", "j", "own", "sh", "root", "n"))
-        v = np.stack([np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("vector")]).astype(np.int32)
+        v = np.frombuffer(b"".join(x.as_py() for x in table.column("vector")), np.uint16).reshape(-1, GROUPS)
         order = np.lexsort((own, j, i, k))
-        edge = np.flatnonzero(np.concatenate([[True], (k[order][1:] != k[order][:-1]) | (i[order][1:] != i[order][:-1]) | (j[order][1:] != j[order][:-1])]))
-        pairs = set()
-        for a, z in zip(edge, [*edge[1:], len(order)]):
-            mine = order[a:z]
-            left = mine[own[mine] == i[mine[0]]]
-            right = mine[own[mine] == j[mine[0]]]
-            if not len(left) or not len(right):
+        k, i, j, own, sh, root, n, v = (x[order] for x in (k, i, j, own, sh, root, n, v))
+        edge = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        size = np.diff(np.concatenate([edge, [len(k)]]))
+        found = [np.empty((0, 2), np.int64)]
+        # Groups of a leaf at most are compared at once, each row with the next, the one after it, and so on.
+        place = np.arange(len(k)) - np.repeat(edge, size)
+        small = np.repeat((size <= LEAF) & (i[edge] == j[edge]), size)
+        seen = []
+        for step in range(1, LEAF):
+            at = np.flatnonzero(small & (place + step < np.repeat(size, size)))
+            if not len(at):
+                break
+            at = at[(root[at] != root[at + step])]
+            seen.append(np.stack([at, at + step], 1))
+        if seen:
+            pair = np.concatenate(seen)
+            a, b = np.minimum(sh[pair[:, 0]], sh[pair[:, 1]]), np.maximum(sh[pair[:, 0]], sh[pair[:, 1]])
+            pair = pair[np.unique(np.stack([a, b]), axis=1, return_index=True)[1]] if len(pair) else pair
+            for at in range(0, len(pair), 1 << 15):
+                p, q = pair[at : at + (1 << 15)].T
+                found.append(np.stack([p, q], 1)[np.minimum(v[p], v[q]).sum(1, dtype=np.int64) >= least_shared(n[p], n[q], percent)])
+        for a, m in zip(edge, size):
+            if small[a]:
                 continue
-            hits = Tree(n[left], v[left]).search(n[right], v[right], percent)
-            for q, p in hits:
-                s, t = right[q], left[p]
-                if root[s] != root[t]:
-                    pairs.add((min(sh[s], sh[t]), max(sh[s], sh[t])))
-        a, b = zip(*pairs) if pairs else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            mine = np.arange(a, a + m)
+            left, right = mine[own[mine] == i[a]], mine[own[mine] == j[a]]
+            if len(left) and len(right):
+                hits = Tree(n[left], v[left]).search(n[right], v[right], percent)
+                hits = np.stack([right[hits[:, 0]], left[hits[:, 1]]], 1)
+                found.append(hits[root[hits[:, 0]] != root[hits[:, 1]]])
+        found = sh[np.concatenate(found)]
+        found = np.unique(np.sort(found, axis=1), axis=0)
+        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
     return x.groupBy("deal").applyInArrow(find, "a long, b long").distinct()
 
@@ -190,7 +252,9 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     def members(key, table):
         c = Chunk(table, k)
-        return pa.table({"doc_id": table.column("doc_id"), "n": pa.array(c.size), "sh": pa.array(c.hash.view(np.int64))})
+        empty = count_vector(np.empty(0, np.uint64)).tobytes()
+        vector = {h: count_vector(s).tobytes() for h, s in c.sets.items()}
+        return pa.table({"doc_id": table.column("doc_id"), "n": pa.array(c.size), "sh": pa.array(c.hash.view(np.int64)), "vector": pa.array([vector.get(h, empty) for h in c.hash.tolist()], pa.binary())})
 
     def ask_keys(key, table):
         found, n = np.unique(Chunk(table, k).keys(last, percent)[0], return_counts=True)
@@ -231,32 +295,38 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         return pa.table({"key": pa.array(key_of[order].view(np.int64)), "sh": pa.array(sh[order].view(np.int64)), "n": pa.array(n[order]), "home": pa.array(home[order].astype(np.int32)), "lead": pa.array(lead[order] > 0)})
 
     def fetch(key, table, wanted):
-        c = Chunk(table, k)
         sh = wanted.column("sh").to_numpy(zero_copy_only=False)
-        sets = [c.sets[int(h)] for h in sh.view(np.uint64)]
-        return pa.table({"sh": pa.array(sh), "n": pa.array([len(s) for s in sets], pa.int32()), "vector": pa.array([count_vector(s).tobytes() for s in sets], pa.binary()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+        c = Chunk(table, k) if len(sh) else None
+        return pa.table({"sh": pa.array(sh, pa.int64()), "shingles": pa.array([c.sets[h].tobytes() for h in sh.view(np.uint64).tolist()], pa.binary())})
+
+    def fetch_sets(wanted):
+        """The shingles of the wanted sets, each read from the first chunk that has it."""
+        at = wanted.join(homes, "sh").select("sh", F.col("home").alias("chunk"))
+        return store.written(x.groupBy("chunk").cogroup(at.groupBy("chunk")).applyInArrow(fetch, "sh long, shingles binary"), "sets")
+
+    def linked(pairs):
+        return store.written(_verified(store.written(pairs, "pairs"), fetch_sets, percent), "links")
 
     asked = x.groupBy("chunk").applyInArrow(ask_keys, "part int, chunk int, hashes binary, n binary")
     status = asked.groupBy("part").applyInArrow(answer_keys, "chunk int, part int, answer binary")
     asked = x.groupBy("chunk").cogroup(status.groupBy("chunk")).applyInArrow(ask_sets, "part int, chunk int, hashes binary, key binary, sh binary, n binary, lead binary, hot binary")
     entries = store.written(asked.groupBy("part").applyInArrow(answer_sets, "key long, sh long, n int, home int, lead boolean"), "entries")
-    wanted = entries.select("sh", F.col("home").alias("chunk")).distinct()
-    sets = store.written(x.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(fetch, "sh long, n int, vector binary, shingles binary"), "sets")
+    homes = entries.groupBy("sh").agg(F.min("home").alias("home"))
+    rows = store.written(x.groupBy("chunk").applyInArrow(members, "doc_id long, n long, sh long, vector binary"), "members")
+    vectors = store.written(rows.join(homes.select("sh"), "sh", "left_semi").groupBy("sh").agg(F.first("n").alias("n"), F.first("vector").alias("vector")), "vectors")
 
     leads = entries.filter("lead").select("key", "sh")
     pivot = leads.groupBy("key").agg(F.min("sh").alias("b"))
     pairs = leads.join(pivot, "key").select(F.col("sh").alias("a"), "b").filter("a <> b").distinct()
-    links = store.written(_verified(pairs, sets, percent), "links")
+    links = linked(_possible(pairs, vectors, percent))
     roots = components.components(links)
 
     rooted = _roots(entries.select("key", "sh"), roots)
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    shared = rooted.join(open_keys, "key").join(sets.select("sh", "n", "vector"), "sh").select("key", "sh", "root", "n", "vector")
-    more = _verified(_near_pairs(shared, percent), sets, percent)
-    roots = components.components(links.unionByName(store.written(more, "links")))
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("sets")).filter("lo <> hi").select("key", "sets")
+    shared = rooted.join(open_keys, "key").select("key", "sh", "root", "sets")
+    roots = components.components(links.unionByName(linked(_near_pairs(shared, vectors, percent))))
 
-    rows = x.groupBy("chunk").applyInArrow(members, "doc_id long, n long, sh long")
-    rows = store.written(_roots(rows, roots).select("doc_id", "n", "sh", F.when(F.col("n") > 0, F.col("root")).alias("root")), "members")
+    rows = _roots(rows, roots).select("doc_id", "n", "sh", F.when(F.col("n") > 0, F.col("root")).alias("root"))
     least = rows.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("sh").alias("set_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
