@@ -177,9 +177,9 @@ def _verified(pairs: DataFrame, fetch_sets, percent: int) -> DataFrame:
     x = pairs.join(side.select(F.col("node").alias("a"), "root", F.col("own").alias("i")), "a").join(side.select(F.col("node").alias("b"), F.col("own").alias("j")), "b")
     x = x.select("a", "b", F.pmod(F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")), F.lit(deals)).cast("int").alias("deal"), F.lit(percent).alias("percent"))
     x = store.written(x, "dealt")
-    wanted = x.select(F.explode(F.array("a", "b")).alias("sh"), "deal").distinct()
+    wanted = x.select(F.explode(F.array("a", "b")).alias("sh"), F.col("deal").alias("tile")).distinct()
     blocks = wanted.join(fetch_sets(wanted.select("sh").distinct()), "sh")
-    return x.groupBy("deal").cogroup(blocks.groupBy("deal")).applyInArrow(_verify, "a long, b long")
+    return x.groupBy("deal").cogroup(blocks.groupBy("tile")).applyInArrow(_verify, "a long, b long")
 
 
 def _roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
