@@ -14,15 +14,17 @@ from pyspark.sql import DataFrame, functions as F
 from cairn.llm import components, exchange, store, textkit
 
 U = np.uint64
-#: Coordinates of a count vector.
-GROUPS = 64
+#: Coordinates of a small set's count vector; larger sets have more, up to MOST_GROUPS, of about FILL shingles each.
+GROUPS, MOST_GROUPS, FILL = 64, 2048, 16
+#: A coordinate that doesn't fit a byte counts as so many, which only loosens the bound.
+FULL, OVER = 255, 1 << 20
 LEAF = 16
 #: A shingle asked for more often is dealt out by shingle and set.
 HOT = 4000
 #: Pairs of a shingle's sets are looked for in tiles of about so many sets.
 TILE = 512
 #: Sets of a cluster of pairs that are verified side by side.
-CLUSTER = 256
+CLUSTER = 1024
 #: Sampled documents and the most shingles put last because of them.
 SAMPLE, LAST = 4000, 100_000
 #: Shared shingles of a set that name its first partners.
@@ -96,7 +98,36 @@ def common_shingles(docs: DataFrame, k: int):
 
 
 def count_vector(x):
-    return np.bincount((x >> U(58)).astype(np.int64), minlength=GROUPS).astype(np.uint16)
+    """Counts of x by the leading bits of its hashes, a byte each."""
+    groups = GROUPS
+    while groups < MOST_GROUPS and groups * FILL < len(x):
+        groups *= 2
+    at = (x >> U(65 - groups.bit_length())).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=groups), FULL).astype(np.uint8)
+
+
+def unpacked_vectors(column):
+    """(matrix of the vectors folded to GROUPS coordinates, the whole vectors)."""
+    whole = []
+    folded = np.empty((len(column), GROUPS), np.int32)
+    for i, v in enumerate(column):
+        v = np.frombuffer(v.as_buffer(), np.uint8).astype(np.int32)
+        v[v == FULL] = OVER
+        whole.append(v)
+        folded[i] = v.reshape(GROUPS, -1).sum(1)
+    return folded, whole
+
+
+def overlap_bound(x, y):
+    """The summed minima of two whole vectors, at the coarser one's coordinates."""
+    m = min(len(x), len(y))
+    return int(np.minimum(x.reshape(m, -1).sum(1), y.reshape(m, -1).sum(1)).sum())
+
+
+def allowed(rows, whole, n, percent):
+    """Which pairs (rows of indices) the whole vectors allow; vectors of GROUPS coordinates have been compared already."""
+    need = least_shared(n[rows[:, 0]].astype(np.int64), n[rows[:, 1]].astype(np.int64), percent)
+    return np.array([min(len(whole[a]), len(whole[b])) == GROUPS or overlap_bound(whole[a], whole[b]) >= t for (a, b), t in zip(rows.tolist(), need.tolist())], bool)
 
 
 class Tree:
@@ -129,9 +160,13 @@ def _possible(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
 
     def check(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(v.as_py() for v in b.column(i)), np.uint16).reshape(-1, GROUPS) for i in (4, 5))
-            na, nb = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            keep = pa.array(np.minimum(x, y).sum(1, dtype=np.int64) >= least_shared(na, nb, percent))
+            (x, wx), (y, wy) = (unpacked_vectors(b.column(i)) for i in (4, 5))
+            n = np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3)]).astype(np.int64)
+            m = b.num_rows
+            keep = np.minimum(x, y).sum(1, dtype=np.int64) >= least_shared(n[:m], n[m:], percent)
+            at = np.flatnonzero(keep)
+            keep[at] = allowed(np.stack([at, at + m], 1), wx + wy, n, percent)
+            keep = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
     return x.select("a", "b", "na", "nb", "x", "y").mapInArrow(check, "a long, b long")
@@ -186,6 +221,33 @@ def _roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.select(F.col("node").alias("sh"), "root"), "sh", "left").withColumn("root", F.coalesce("root", "sh"))
 
 
+def _centres(leads: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(key, b): of leads(key, sh), the set nearest the mean count vector of those it shares the key with.
+
+    Edited copies are nearer their original than each other, and it is the nearest to their mean. Keys of many sets
+    are looked at in parts of about TILE sets, and the best of the parts' nearest is taken; ties by set.
+    """
+    size = leads.groupBy("key").agg(F.count(F.lit(1)).alias("sets"))
+    x = leads.join(size, "key").withColumn("part", F.pmod("sh", F.ceil(F.col("sets") / TILE)).cast("int")).select("key", "part", "sh").join(vectors, "sh")
+    x = x.withColumn("deal", F.pmod(F.xxhash64("key", "part"), F.lit(4 * store.partitions(leads.sparkSession))).cast("int"))
+
+    def nearest(key, table):
+        k, part, sh = (table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", "sh"))
+        v = unpacked_vectors(table.column("vector"))[0].astype(np.float64)
+        order = np.lexsort((sh, part, k))
+        k, part, sh, v = k[order], part[order], sh[order], v[order]
+        edge = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (part[1:] != part[:-1])]))
+        size = np.diff(np.concatenate([edge, [len(k)]]))
+        mean = np.repeat(np.add.reduceat(v, edge, axis=0) / size[:, None], size, axis=0)
+        away = np.abs(v - mean).sum(1) / (v.sum(1) + 1)
+        group = np.repeat(np.arange(len(edge)), size)
+        best = np.lexsort((sh, away, group))[edge]
+        return pa.table({"key": pa.array(k[edge]), "b": pa.array(sh[best]), "away": pa.array(away[best])})
+
+    found = x.groupBy("deal").applyInArrow(nearest, "key long, b long, away double")
+    return found.groupBy("key").agg(F.min(F.struct("away", "b")).alias("m")).select("key", F.col("m.b").alias("b"))
+
+
 def _near_pairs(shared: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components, found in R-trees, of shared(key, sh, root, sets): sets of one key, in tiles."""
     x = shared.withColumn("tiles", F.ceil(F.col("sets") / TILE).cast("int"))
@@ -196,8 +258,9 @@ def _near_pairs(shared: DataFrame, vectors: DataFrame, percent: int) -> DataFram
     def find(key, table):
         get = lambda c: table.column(c).to_numpy(zero_copy_only=False)
         k, i, j, own, sh, root, n = (get(c) for c in ("key", "i", "j", "own", "sh", "root", "n"))
-        v = np.frombuffer(b"".join(x.as_py() for x in table.column("vector")), np.uint16).reshape(-1, GROUPS)
+        v, whole = unpacked_vectors(table.column("vector"))
         order = np.lexsort((own, j, i, k))
+        whole = [whole[x] for x in order]
         k, i, j, own, sh, root, n, v = (x[order] for x in (k, i, j, own, sh, root, n, v))
         edge = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
         size = np.diff(np.concatenate([edge, [len(k)]]))
@@ -228,8 +291,10 @@ def _near_pairs(shared: DataFrame, vectors: DataFrame, percent: int) -> DataFram
                 hits = Tree(n[left], v[left]).search(n[right], v[right], percent)
                 hits = np.stack([right[hits[:, 0]], left[hits[:, 1]]], 1)
                 found.append(hits[root[hits[:, 0]] != root[hits[:, 1]]])
-        found = sh[np.concatenate(found)]
-        found = np.unique(np.sort(found, axis=1), axis=0)
+        found = np.concatenate(found)
+        ids = np.sort(sh[found], axis=1)
+        found = found[np.unique(ids, axis=0, return_index=True)[1]] if len(found) else found
+        found = np.sort(sh[found[allowed(found, whole, n, percent)]], axis=1)
         return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
     return x.groupBy("deal").applyInArrow(find, "a long, b long").distinct()
@@ -316,8 +381,7 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     vectors = store.written(rows.join(homes.select("sh"), "sh", "left_semi").groupBy("sh").agg(F.first("n").alias("n"), F.first("vector").alias("vector")), "vectors")
 
     leads = entries.filter("lead").select("key", "sh")
-    pivot = leads.groupBy("key").agg(F.min("sh").alias("b"))
-    pairs = leads.join(pivot, "key").select(F.col("sh").alias("a"), "b").filter("a <> b").distinct()
+    pairs = leads.join(_centres(leads, vectors), "key").select(F.col("sh").alias("a"), "b").filter("a <> b").distinct()
     links = linked(_possible(pairs, vectors, percent))
     roots = components.components(links)
 

@@ -35,5 +35,5 @@ def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
     """df as a table in the shared folder, one bucket of files for each hash of `column`: grouping by it needs no more shuffle."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
-    df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    df.repartition(buckets, column).write.bucketBy(buckets, column).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
     return spark.table(table)
