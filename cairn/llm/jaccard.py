@@ -25,6 +25,10 @@ HOT = 4000
 TILE = 512
 #: Sets of a cluster of pairs that are verified side by side.
 CLUSTER = 1024
+#: Pairs of a cluster that are verified in one tile, about.
+PAIRS = 512
+#: Earlier shared shingles that a set carries to each of its shingles.
+EARLIER = ["e0", "e1"]
 #: Sampled documents and the most shingles put last because of them.
 SAMPLE, LAST = 4000, 100_000
 #: Shared shingles of a set that name its first partners.
@@ -172,6 +176,21 @@ def _possible(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
     return x.select("a", "b", "na", "nb", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def first_meeting(p, q, n, rank, earlier, percent):
+    """Which pairs (p, q) of rows of one shingle are to be given out there.
+
+    Sets that share t shingles share one among the first n - t + 1 of each, so later places need no look. Where the
+    shingles just before this one have one in common, the pair has been given out there or earlier; at the first
+    common shingle nothing before it is common, so no pair is lost.
+    """
+    need = least_shared(n[p].astype(np.int64), n[q].astype(np.int64), percent)
+    ok = (rank[p] <= n[p] - need) & (rank[q] <= n[q] - need)
+    for x in earlier:
+        for y in earlier:
+            ok &= (x[p] != y[q]) | (x[p] == 0)
+    return ok
+
+
 def _verify(key, pairs, sets):
     """The links of a tile's pairs that its earlier links don't imply."""
     found = {h: np.frombuffer(x.as_buffer(), np.uint64) for h, x in zip(sets.column("sh").to_pylist(), sets.column("shingles"))}
@@ -205,10 +224,12 @@ def _verified(pairs: DataFrame, fetch_sets, percent: int) -> DataFrame:
     A set goes once to each tile of its cluster (the component of the pairs it is in), not once to each pair.
     """
     clusters = components.components(pairs)
-    size = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    side = clusters.join(size, "root").select("node", "root", F.pmod("node", F.ceil(F.col("m") / CLUSTER)).cast("int").alias("own"))
+    load = pairs.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("e"))
+    size = clusters.join(load, "node", "left").groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("e").alias("e"))
+    grid = F.greatest(F.ceil(F.col("m") / CLUSTER), F.ceil(F.sqrt(F.col("e") * 2 / PAIRS)))
+    side = clusters.join(size, "root").select("node", "root", F.pmod("node", grid).cast("int").alias("own"))
     side = store.written(side, "sides")
-    deals = max(store.partitions(pairs.sparkSession), side.count() // CLUSTER)
+    deals = max(store.partitions(pairs.sparkSession), side.count() // CLUSTER, pairs.count() // (8 * PAIRS))
     x = pairs.join(side.select(F.col("node").alias("a"), "root", F.col("own").alias("i")), "a").join(side.select(F.col("node").alias("b"), F.col("own").alias("j")), "b")
     x = x.select("a", "b", F.pmod(F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")), F.lit(deals)).cast("int").alias("deal"), F.lit(percent).alias("percent"))
     x = store.written(x, "dealt")
@@ -249,19 +270,21 @@ def _centres(leads: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def _near_pairs(shared: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components, found in R-trees, of shared(key, sh, root, sets): sets of one key, in tiles."""
+    """Pairs (a, b) of different components, found in R-trees, of shared(key, sh, root, sets, rank, *EARLIER): sets of one key, in tiles."""
     x = shared.withColumn("tiles", F.ceil(F.col("sets") / TILE).cast("int"))
     x = x.withColumn("own", F.pmod("sh", F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    x = x.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sh", "root").join(vectors, "sh")
+    x = x.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sh", "root", "rank", *EARLIER).join(vectors, "sh")
     x = x.withColumn("deal", F.pmod(F.xxhash64("key", "i", "j"), F.lit(4 * store.partitions(shared.sparkSession))).cast("int"))
 
     def find(key, table):
         get = lambda c: table.column(c).to_numpy(zero_copy_only=False)
-        k, i, j, own, sh, root, n = (get(c) for c in ("key", "i", "j", "own", "sh", "root", "n"))
+        k, i, j, own, sh, root, n, rank = (get(c) for c in ("key", "i", "j", "own", "sh", "root", "n", "rank"))
         v, whole = unpacked_vectors(table.column("vector"))
         order = np.lexsort((own, j, i, k))
         whole = [whole[x] for x in order]
-        k, i, j, own, sh, root, n, v = (x[order] for x in (k, i, j, own, sh, root, n, v))
+        k, i, j, own, sh, root, n, rank, v = (x[order] for x in (k, i, j, own, sh, root, n, rank, v))
+        earlier = [get(c)[order] for c in EARLIER]
+        fresh = lambda rows: rows[first_meeting(rows[:, 0], rows[:, 1], n, rank, earlier, percent)]
         edge = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
         size = np.diff(np.concatenate([edge, [len(k)]]))
         found = [np.empty((0, 2), np.int64)]
@@ -274,7 +297,7 @@ def _near_pairs(shared: DataFrame, vectors: DataFrame, percent: int) -> DataFram
             if not len(at):
                 break
             at = at[(root[at] != root[at + step])]
-            seen.append(np.stack([at, at + step], 1))
+            seen.append(fresh(np.stack([at, at + step], 1)))
         if seen:
             pair = np.concatenate(seen)
             a, b = np.minimum(sh[pair[:, 0]], sh[pair[:, 1]]), np.maximum(sh[pair[:, 0]], sh[pair[:, 1]])
@@ -290,7 +313,7 @@ def _near_pairs(shared: DataFrame, vectors: DataFrame, percent: int) -> DataFram
             if len(left) and len(right):
                 hits = Tree(n[left], v[left]).search(n[right], v[right], percent)
                 hits = np.stack([right[hits[:, 0]], left[hits[:, 1]]], 1)
-                found.append(hits[root[hits[:, 0]] != root[hits[:, 1]]])
+                found.append(fresh(hits[root[hits[:, 0]] != root[hits[:, 1]]]))
         found = np.concatenate(found)
         ids = np.sort(sh[found], axis=1)
         found = found[np.unique(ids, axis=0, return_index=True)[1]] if len(found) else found
@@ -343,21 +366,27 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         if len(order):
             new = np.concatenate([[True], owner[order][1:] != owner[order][:-1]])
             nth[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        earlier = {}
+        for back, name in enumerate(EARLIER, 1):
+            earlier[name] = np.zeros(len(keep), np.uint64)
+            earlier[name][order[back:]] = np.where(nth[order[back:]] >= back, key_of[order[:-back]], U(0))
         route = np.where(status == 2, textkit.mix(key_of ^ textkit.mix(owner)), key_of)
         order = np.argsort(route, kind="stable")
-        values = {"key": key_of[order], "sh": owner[order], "n": size[order].astype(np.int32), "lead": (nth[order] < LEADS).astype(np.uint8), "hot": (status[order] == 2).astype(np.uint8)}
+        values = {"key": key_of[order], "sh": owner[order], "n": size[order].astype(np.int32), "lead": (nth[order] < LEADS).astype(np.uint8), "hot": (status[order] == 2).astype(np.uint8), "rank": rank[order].astype(np.int32)} | {c: x[order] for c, x in earlier.items()}
         return pa.Table.from_batches([exchange.pack(route[order], values, ranges, key[0].as_py())])
 
     def answer_sets(key, table):
         key_of, row, _ = exchange.grouped(exchange.unpacked(table, "key", np.uint64))
         sh = np.concatenate(exchange.unpacked(table, "sh", np.uint64))
         n, lead, hot = (np.concatenate(exchange.unpacked(table, c, t)) for c, t in (("n", np.int32), ("lead", np.uint8), ("hot", np.uint8)))
+        rank = np.concatenate(exchange.unpacked(table, "rank", np.int32))
+        earlier = {c: np.concatenate(exchange.unpacked(table, c, np.int64)) for c in EARLIER}
         home = table.column("chunk").to_numpy(zero_copy_only=False)[row]
         order = np.lexsort((home, sh, key_of))
         order = order[np.concatenate([[True], (key_of[order][1:] != key_of[order][:-1]) | (sh[order][1:] != sh[order][:-1])])]
         _, inverse, count = np.unique(key_of[order], return_inverse=True, return_counts=True)
         order = order[(count[inverse] > 1) | (hot[order] > 0)]
-        return pa.table({"key": pa.array(key_of[order].view(np.int64)), "sh": pa.array(sh[order].view(np.int64)), "n": pa.array(n[order]), "home": pa.array(home[order].astype(np.int32)), "lead": pa.array(lead[order] > 0)})
+        return pa.table({"key": pa.array(key_of[order].view(np.int64)), "sh": pa.array(sh[order].view(np.int64)), "n": pa.array(n[order]), "home": pa.array(home[order].astype(np.int32)), "lead": pa.array(lead[order] > 0), "rank": pa.array(rank[order])} | {c: pa.array(x[order]) for c, x in earlier.items()})
 
     def fetch(key, table, wanted):
         sh = wanted.column("sh").to_numpy(zero_copy_only=False)
@@ -374,8 +403,10 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     asked = x.groupBy("chunk").applyInArrow(ask_keys, "part int, chunk int, hashes binary, n binary")
     status = asked.groupBy("part").applyInArrow(answer_keys, "chunk int, part int, answer binary")
-    asked = x.groupBy("chunk").cogroup(status.groupBy("chunk")).applyInArrow(ask_sets, "part int, chunk int, hashes binary, key binary, sh binary, n binary, lead binary, hot binary")
-    entries = store.written(asked.groupBy("part").applyInArrow(answer_sets, "key long, sh long, n int, home int, lead boolean"), "entries")
+    more = "".join(f", {c} binary" for c in EARLIER)
+    asked = x.groupBy("chunk").cogroup(status.groupBy("chunk")).applyInArrow(ask_sets, f"part int, chunk int, hashes binary, key binary, sh binary, n binary, lead binary, hot binary, rank binary{more}")
+    more = "".join(f", {c} long" for c in EARLIER)
+    entries = store.written(asked.groupBy("part").applyInArrow(answer_sets, f"key long, sh long, n int, home int, lead boolean, rank int{more}"), "entries")
     homes = entries.groupBy("sh").agg(F.min("home").alias("home"))
     rows = store.written(x.groupBy("chunk").applyInArrow(members, "doc_id long, n long, sh long, vector binary"), "members")
     vectors = store.written(rows.join(homes.select("sh"), "sh", "left_semi").groupBy("sh").agg(F.first("n").alias("n"), F.first("vector").alias("vector")), "vectors")
@@ -385,9 +416,9 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     links = linked(_possible(pairs, vectors, percent))
     roots = components.components(links)
 
-    rooted = _roots(entries.select("key", "sh"), roots)
+    rooted = _roots(entries.select("key", "sh", "rank", *EARLIER), roots)
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("sets")).filter("lo <> hi").select("key", "sets")
-    shared = rooted.join(open_keys, "key").select("key", "sh", "root", "sets")
+    shared = rooted.join(open_keys, "key").select("key", "sh", "root", "sets", "rank", *EARLIER)
     roots = components.components(links.unionByName(linked(_near_pairs(shared, vectors, percent))))
 
     rows = _roots(rows, roots).select("doc_id", "n", "sh", F.when(F.col("n") > 0, F.col("root")).alias("root"))
