@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, hmm, html, jaccard, langid, mixing, quality, repeats, sharding, url_filter
+from cairn.llm import decontaminate, hmm, html, jaccard, langid, mixing, oracles, quality, repeats, sharding, url_filter
 
 
 def _table(spark, sf_dir, name):
@@ -57,4 +57,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(oracles.SQL)
