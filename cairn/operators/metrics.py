@@ -22,3 +22,32 @@ def agreement(expected: Column, actual: Column) -> list:
     """correct, incorrect and rate (0 over no rows) over all cases, nulls equal."""
     same = F.count_if(expected.eqNullSafe(actual))
     return [same.alias("correct"), F.count_if(~expected.eqNullSafe(actual)).alias("incorrect"), F.coalesce(F.try_divide(same, F.count(F.lit(1))), F.lit(0.0)).alias("rate")]
+
+
+def abstention_metrics(cases: DataFrame, *by: str) -> DataFrame:
+    """Counts over cases(expected, actual, valid): expected over all of them, the others over valid ones; a null expected is none."""
+    e, a = F.coalesce(F.col("expected"), F.lit(False)), F.col("valid") & F.col("actual")
+    return cases.groupBy(*by).agg(F.count_if(e).alias("expected"), F.count_if(a).alias("actual"), F.count_if(a & e).alias("correct"), F.count_if(a & ~e).alias("unexpected"))
+
+
+def summary(value: str) -> list:
+    """mean, p50 and p95 of a group; the mean of nothing is NaN."""
+    return [F.coalesce(F.avg(value), F.lit(float("nan"))).alias("mean"), nearest_rank(value, 0.5).alias("p50"), nearest_rank(value, 0.95).alias("p95")]
+
+
+def found_in_any(cases: DataFrame, findings: DataFrame, key: str) -> DataFrame:
+    """cases(key, expected) with findings and status: a finding of any repetition detects the case."""
+    n = findings.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    x = cases.join(n, key, "left").withColumn("findings", F.coalesce("n", F.lit(0)).cast("long")).drop("n")
+    found = F.col("findings") > 0
+    hit = F.when(found, "hit").otherwise("miss")
+    return x.withColumn("status", F.when(F.col("expected"), hit).otherwise(F.when(found, "false_positive").otherwise("correct_rejection")))
+
+
+def agreed_in_all(cases: DataFrame, runs: DataFrame, key: str) -> DataFrame:
+    """cases(key, expected) with status: matched if each of runs(key, found, failed) agrees; error if one failed or there is none."""
+    told = runs.groupBy(key).agg(F.bool_or("failed").alias("failed"), F.bool_and("found").alias("all"), F.bool_or("found").alias("any"))
+    x = cases.join(told, key, "left")
+    agree = F.when(F.col("expected"), F.col("all")).otherwise(~F.col("any"))
+    status = F.when(F.coalesce("failed", F.lit(True)), "error").when(agree, "matched").otherwise("miss")
+    return x.withColumn("status", status).drop("failed", "all", "any")

@@ -23,6 +23,30 @@ def a04_detection_by_rule(spark, sf_dir):
     return metrics.detection_metrics(_cases(spark, sf_dir), "lang")
 
 
+def a05_abstention(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    x = o.select("o_orderpriority", (F.col("o_totalprice") > 150000).alias("expected"), (F.col("o_orderstatus") == "O").alias("actual"), (F.col("o_custkey") % 7 != 0).alias("valid"))
+    return metrics.abstention_metrics(x, "o_orderpriority")
+
+
+def a10_summary(spark, sf_dir):
+    x = _t(spark, sf_dir, "events").groupBy("event_type").agg(*metrics.summary("value"))
+    return x.withColumn("mean", F.round("mean", 6))
+
+
+def j25_found_in_any(spark, sf_dir):
+    cases = _t(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") > 0).alias("expected"))
+    findings = _t(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return metrics.found_in_any(cases, findings, "c_custkey")
+
+
+def j26_agreed_in_all(spark, sf_dir):
+    cases = _t(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") > 0).alias("expected"))
+    o = _t(spark, sf_dir, "orders")
+    runs = o.select(F.col("o_custkey").alias("c_custkey"), (F.col("o_totalprice") > 50000).alias("found"), (F.col("o_orderstatus") == "P").alias("failed"))
+    return metrics.agreed_in_all(cases, runs, "c_custkey")
+
+
 def a06_percentile(spark, sf_dir):
     return _t(spark, sf_dir, "events").groupBy("event_type").agg(metrics.nearest_rank("value", 0.5).alias("p50"), metrics.nearest_rank("value", 0.95).alias("p95"))
 
@@ -126,6 +150,16 @@ ORACLES = {
     "x09_sanitize_id": "SELECT p_partkey, regexp_replace(p_brand || '/' || p_type, '[^A-Za-z0-9_-]', '_', 'g') AS id FROM part",
     "u02_missing_ids": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "k07_exit_code": "SELECT CAST(CASE WHEN bool_or(o_orderstatus = 'X') THEN 2 WHEN bool_or(o_orderpriority = '1-URGENT') THEN 1 ELSE 0 END AS INT) AS exit_code FROM orders",
+    "a05_abstention": """SELECT o_orderpriority, count(*) FILTER (o_totalprice > 150000) AS expected, count(*) FILTER (o_custkey % 7 <> 0 AND o_orderstatus = 'O') AS actual,
+ count(*) FILTER (o_custkey % 7 <> 0 AND o_orderstatus = 'O' AND o_totalprice > 150000) AS correct,
+ count(*) FILTER (o_custkey % 7 <> 0 AND o_orderstatus = 'O' AND NOT o_totalprice > 150000) AS unexpected FROM orders GROUP BY 1""",
+    "a10_summary": "SELECT event_type, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1",
+    "j25_found_in_any": """SELECT c_custkey, c_acctbal > 0 AS expected, count(o_orderkey) AS findings,
+ CASE WHEN c_acctbal > 0 THEN CASE WHEN count(o_orderkey) > 0 THEN 'hit' ELSE 'miss' END WHEN count(o_orderkey) > 0 THEN 'false_positive' ELSE 'correct_rejection' END AS status
+ FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT' GROUP BY c_custkey, c_acctbal""",
+    "j26_agreed_in_all": """SELECT c_custkey, c_acctbal > 0 AS expected,
+ CASE WHEN count(o_orderkey) = 0 OR bool_or(o_orderstatus = 'P') THEN 'error' WHEN bool_and((o_totalprice > 50000) = (c_acctbal > 0)) THEN 'matched' ELSE 'miss' END AS status
+ FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_acctbal""",
     "a02_run_counters": "SELECT count(*) AS requests, count(DISTINCT user_id) AS files, count(*) FILTER (event_type = 'click') AS cache_hits FROM events",
     "a24_bounded_unique": "SELECT doc_id, (SELECT string_agg(w, '|' ORDER BY p) FROM (SELECT w, min(p) AS p FROM (SELECT unnest(ws) AS w, unnest(range(len(ws))) AS p) GROUP BY w ORDER BY p LIMIT 5)) AS words FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents)",
 }
