@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text
 from cairn.operators import evidence, joins, metrics
+from cairn.plans import decision_queries, range_queries
 
 
 def _t(spark, sf_dir, name):
@@ -170,9 +171,12 @@ def flagship(spark, sf_dir):
     return a04_detection_by_rule(spark, sf_dir).orderBy("lang")
 
 
+FAMILIES = [range_queries, decision_queries]
+
+
 def queries() -> dict:
-    return {name: globals()[name] for name in ORACLES}
+    return {name: globals()[name] for name in ORACLES} | {q.__name__: q for f in FAMILIES for q in f.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return dict(ORACLES)
+    return ORACLES | {q.__name__: sql for f in FAMILIES for q, sql in f.QUERIES.items()}
