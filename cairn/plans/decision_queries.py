@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text
 from cairn.operators import decisions, metrics, sinks
+from cairn.plans import rules
 from cairn.plans.tables import table as _t
 from cairn.sources import reports
 
@@ -231,3 +232,31 @@ QUERIES = {
  WHERE (p_partkey % 11 = 0) <> (p_partkey % 7 = 0) OR (p_partkey % 5 = 0 AND p_partkey % 11 <> 0 AND p_partkey % 7 <> 0)""",
     k01_stylish: "SELECT l_orderkey || ':1  warning  ' || l_returnflag || ' (' || CAST(floor(floor(l_quantity) / 64 * 100 + 0.5) AS BIGINT) || '%)  a/b' AS text FROM lineitem WHERE l_linenumber = 1",
 }
+
+
+def r_comment_rules(spark, sf_dir):
+    x = rules.comment_candidates(_t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("value")))
+    return x.select("doc_id", "rule_id")
+
+
+def r_diagnostics(spark, sf_dir):
+    x = rules.comment_candidates(_t(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("value"))).withColumn("t", rules.thresholds(F.col("rule_id")))
+    p = (F.col("conv_id") % 13 + F.col("turn")) / 16
+    found = decisions.severity(p, F.lit(0.8), F.col("t.warn"), F.col("t.error"), F.col("t.confidence"))
+    return x.select("conv_id", "turn", "rule_id", "t.finding", found.alias("severity")).filter("severity IS NOT NULL").distinct()
+
+
+_BARE = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+_IGNORED = rules.IGNORED.replace("{tool}", "cairn").replace("\\A", "^")
+_CANDIDATES = f"""SELECT @ids, unnest(list_filter([CASE WHEN plain THEN 'comments/no-useless-comments' END, CASE WHEN seen THEN 'comments/no-misleading-comments' END, CASE WHEN seen THEN 'comments/no-commented-out-code' END,
+ CASE WHEN plain AND ({" OR ".join(f"regexp_matches(v, '{p}')" for p in rules.HISTORY)}) THEN 'comments/no-change-history-comments' END, CASE WHEN plain AND length(b) >= 100 THEN 'comments/prefer-concise-comments' END,
+ CASE WHEN todo THEN 'comments/require-actionable-todos' END, CASE WHEN regexp_matches(v, '{rules.SUPPRESSION.replace("{tool}", "cairn")}') THEN 'comments/require-justified-suppressions' END,
+ CASE WHEN old THEN 'comments/require-actionable-deprecations' END], lambda x: x IS NOT NULL)) AS rule_id FROM (SELECT *, length(b) >= 8 AND NOT ignored AND NOT todo AND NOT old AS plain, length(b) > 0 AND NOT ignored AND NOT todo AS seen
+ FROM (SELECT *, regexp_matches(b, '{_IGNORED}') AS ignored, regexp_matches(v, '{rules.TODO}') AS todo, regexp_matches(v, '{rules.DEPRECATED}') AS old FROM (SELECT *, text AS v, {_BARE} AS b FROM @table)))"""
+_THRESHOLDS = ", ".join(f"('{r}', '{f}', {w}, {e})" for r, f, w, e, _ in rules.RULES)
+
+QUERIES |= {
+    r_comment_rules: _CANDIDATES.replace("@ids", "doc_id").replace("@table", "documents"),
+    r_diagnostics: f"""SELECT DISTINCT conv_id, turn, c.rule_id, finding, CASE WHEN (conv_id % 13 + turn) / 16 >= e THEN 'error' ELSE 'warning' END AS severity
+ FROM ({_CANDIDATES.replace("@ids", "conv_id, turn").replace("@table", "conversations")}) c JOIN (VALUES {_THRESHOLDS}) t(rule_id, finding, w, e) ON t.rule_id = c.rule_id WHERE (conv_id % 13 + turn) / 16 >= w""",
+}
