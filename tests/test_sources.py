@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cairn.functions import text
 from cairn.operators import decisions, graphs, joins
 from cairn.plans import rules
-from cairn.sources import files, reports, scripts
+from cairn.sources import files, functions, reports, scripts
 
 
 def test_comments_and_no_others():
@@ -87,3 +87,55 @@ def test_rules(spark):
     f = spark.createDataFrame([("exec(req.body.x)", ["exec"]), ("exec(x)", ["exec"]), ("res.redirect(req.query.to)", ["res.redirect"]), (None, None)], "source string, callees array<string>")
     got = sorted((r.source, r.rule_id) for r in rules.security_candidates(f).collect())
     assert got == [("exec(req.body.x)", "security/no-untrusted-command-execution"), ("res.redirect(req.query.to)", "security/no-sensitive-data-exposure"), ("res.redirect(req.query.to)", "security/no-unsafe-redirect")]
+
+
+SCRIPT = """import x from "x";
+top();
+export async function load<T>(req: Request, n = f(1)): Promise<{ a: T }> {
+  const rows = await this.db.query(`select`);
+  rows.map((r) => clean(r.id)); // call() in a comment
+  if (n > 1) { make().run(o[k](2)); new Thing(n); }
+  return rows;
+}
+const arrow = async (a): Promise<void> => go(a)
+const other = x => x.y.z(1);
+class A extends B {
+  constructor(q) { super(q); init(q); }
+  async send(m) { return m?.go(); }
+}
+const o = { one(a) { return two(a); }, three: function () { four() }, five: (a) => { six?.(a) } };
+test("adds 'em", () => { expect(add(1)).toBe(2); });
+it.each([1])("each", function named() { run(); });
+describe("not a test", () => {});
+"""
+
+
+def test_functions_and_their_calls():
+    got = functions.functions_of(SCRIPT)
+    told = {(f[5] or f[8] or f[9][:12]): (f[4], f[6], f[7], [c[0] for c in f[10]]) for f in got}
+    assert told == {
+        "load": ("function", "function", True, ["f", "db.query", "rows.map", "make", "run", "o.k"]),
+        "(r) => clean": ("function", "function", False, ["clean"]),
+        "arrow": ("function", "function", True, ["go"]),
+        "other": ("function", "function", False, ["x.y.z"]),
+        "constructor": ("function", "constructor", False, ["init"]),
+        "send": ("function", "method", True, ["m.go"]),
+        "one": ("function", "method", False, ["two"]),
+        "three": ("function", "method", False, ["four"]),
+        "five": ("function", "method", False, ["six"]),
+        "adds 'em": ("test", "function", False, ["expect", "add", "toBe"]),
+        "named": ("test", "function", False, ["run"]),
+        "() => {}": ("function", "function", False, []),
+    }
+    load = got[0]
+    assert load[9].startswith("async function load") and load[9].endswith("return rows;\n}") and load[2:4] == (3, 8)
+    assert [f[9] for f in got if f[5] == "arrow"] == ["async (a): Promise<void> => go(a)"]
+    assert [f[9] for f in got if f[5] == "constructor"] == ["constructor(q) { super(q); init(q); }"]
+    assert functions.functions_of("") == [] and functions.functions_of("(((") == []
+
+
+def test_functions_as_rows(spark):
+    x = spark.createDataFrame([("a.ts", SCRIPT), ("b.ts", None), ("c.ts", "const f = (req, res) => res.redirect(req.query.to)")], "filename string, source string")
+    got = functions.bounded(functions.functions(x))
+    assert got.filter("filename = 'b.ts'").count() == 0 and got.filter("name = 'send'").first().callees == ["m.go"]
+    assert {(r.filename, r.rule_id) for r in rules.security_candidates(got.filter("filename = 'c.ts'")).collect()} == {("c.ts", "security/no-sensitive-data-exposure"), ("c.ts", "security/no-unsafe-redirect")}
