@@ -9,7 +9,7 @@ SPAN = 1 << 22
 
 
 def _ranges(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("k"), F.col("o_orderkey").alias("id"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("start"), F.floor("o_totalprice").alias("len"))
+    o = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 1000).alias("k"), F.col("o_orderkey").alias("id"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("start"), F.floor("o_totalprice").alias("len"))
     return o.select("k", "id", "start", (F.col("start") + F.col("len") * 60).alias("end"))
 
 
@@ -94,7 +94,7 @@ def u04_distinct(spark, sf_dir):
     return _t(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("types"))
 
 
-_RANGES = "r AS (SELECT o_custkey % 50 AS k, o_orderkey AS id, CAST(epoch(o_orderdate) AS BIGINT) AS s, CAST(epoch(o_orderdate) AS BIGINT) + 60 * CAST(floor(o_totalprice) AS BIGINT) AS e FROM orders)"
+_RANGES = "r AS (SELECT o_custkey % 1000 AS k, o_orderkey AS id, CAST(epoch(o_orderdate) AS BIGINT) AS s, CAST(epoch(o_orderdate) AS BIGINT) + 60 * CAST(floor(o_totalprice) AS BIGINT) AS e FROM orders)"
 _PARENTS = f"{_RANGES}, p AS (SELECT i.k, i.id, min_by(o.id, (o.e - o.s, o.s, o.id)) AS parent_id FROM r i LEFT JOIN r o ON o.k = i.k AND o.s <= i.s AND o.e >= i.e AND (o.s < i.s OR o.e > i.e) GROUP BY i.k, i.id)"
 
 QUERIES = {
