@@ -200,6 +200,18 @@ def test_url_filters(spark):
     assert url_filter.url_verdicts(pages.limit(0)).count() == 0
 
 
+def test_url_templates_block_unruled_urls(spark):
+    """Branches alike below at any level pool their labels, past the fourth segment too; others, and leaves, stay apart."""
+    rules = (("block", "x.org", "/a/es/"), ("block", "x.org", "/a/fr/"), ("block", "x.org", "/d/e/f/g/h/es/"))
+    ends = lambda at: [f"{at}/1", f"{at}/2", f"{at}/3.html", f"{at}/4.html"]
+    likely = [u for at in ("/a/es", "/a/fr", "/a/en", "/d/e/f/g/h/es", "/d/e/f/g/h/en") for u in ends(at) * 3]
+    apart = ["/a/other/x", "/a/other/y/z", "/d/e/f/g/h/alone/w", "/q/1", "/d/leaf"]
+    pages = spark.createDataFrame([(i, f"http://x.org{u}") for i, u in enumerate(likely + apart)], "page_id long, url string")
+    got = {r.path: (r.rule, r.verdict) for r in url_filter.url_verdicts(pages, rules).collect()}
+    assert all(got[u] == (None, "block") for at in ("/a/en", "/d/e/f/g/h/en") for u in ends(at))
+    assert all(got[u] == (None, "allow") for u in apart)
+
+
 def test_html():
     page = """<html><head><title>No</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=x>Menu</a></nav><div class="cookie notice">We use cookies</div>
     <article><h1>Title &amp; more</h1><p>The first   of the\nparagraphs <b>is <a href=y>here</a></b>.<br>And on<p>Second<ul><li>one<li>two</ul><script>x="</p>"</script></article>
