@@ -159,8 +159,7 @@ def f09_sql_structure(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", text.paginated(q).alias("paginated"), text.ordered(q).alias("ordered"))
 
 
-def s11_findings(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").filter("o_orderkey % 10 < 3")
+def parsed_findings(o):
     start = F.struct(F.when(F.col("o_custkey") % 6 != 0, (F.col("o_custkey") % 90).cast("int")).alias("line"))
     result = F.struct(F.col("o_orderstatus").alias("check_id"), F.col("o_orderpriority").alias("path"), start.alias("start"))
     json = F.to_json(F.struct(F.lit("1").alias("version"), F.array(result).alias("results"), F.array().cast("array<string>").alias("errors")))
@@ -168,6 +167,10 @@ def s11_findings(spark, sf_dir):
     return x.select("o_orderkey", "check_id", "path", "line", "problem")
 
 
+def s11_findings(spark, sf_dir):
+    return parsed_findings(_t(spark, sf_dir, "orders").filter("o_orderkey % 10 < 3"))
+
+
 def s10_drift(spark, sf_dir):
     p = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("source"), "p_partkey")
     manifest = p.filter("p_partkey % 7 <> 0").select("id", F.sha2(F.when(F.col("p_partkey") % 5 == 0, F.lit("old")).otherwise(F.col("source")), 256).alias("sha256"))

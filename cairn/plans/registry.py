@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text
 from cairn.operators import evidence, joins, metrics
-from cairn.plans import decision_queries, range_queries
+from cairn.plans import decision_queries, range_queries, whole_queries
 
 
 def _t(spark, sf_dir, name):
@@ -171,7 +171,7 @@ def flagship(spark, sf_dir):
     return a04_detection_by_rule(spark, sf_dir).orderBy("lang")
 
 
-FAMILIES = [range_queries, decision_queries]
+FAMILIES = [range_queries, decision_queries, whole_queries]
 
 
 def queries() -> dict:
