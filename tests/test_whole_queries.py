@@ -30,3 +30,15 @@ def test_every_pair_is_compared(spark):
     want = {(k, i[2], o[2]) for k, x in ranges(spark).items() for i in x for o in x if o[0] <= i[0] and o[1] >= i[1] and o[:2] != i[:2]}
     got = [tuple(r) for r in rows(spark, "j05_contained_all")]
     assert len(got) == len(want) and set(got) == want and any(i % 2 and o % 5 for _, i, o in want)
+
+
+def test_parents_are_sought_in_large_groups(spark):
+    want, own = {}, defaultdict(list)
+    for k, x in ranges(spark).items():
+        for i in x:
+            around = [(o[1] - o[0], o[0], o[2]) for o in x if o[0] <= i[0] and o[1] >= i[1] and o[:2] != i[:2]]
+            want[k, i[2]] = min(around)[2] if around else None
+            if around:
+                own[k, min(around)[2]].append(i[2])
+    assert {(r.k, r.id): r.parent_id for r in rows(spark, "j02_parent_all")} == want
+    assert {(r.k, r.id): (r.own, r.first_id) for r in rows(spark, "j03_facts_owned_all")} == {x: (len(v), min(v)) for x, v in own.items()}
