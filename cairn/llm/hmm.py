@@ -12,19 +12,20 @@ from pyspark.sql import DataFrame, functions as F
 from cairn.llm import exchange, store, textkit
 
 U = np.uint64
-#: Word classes; the end of a text is one more.
+#: Word classes at least; the end of a text is one more. There are as many as the training words' spellings need.
 CLASSES = 4096
 STATES = 8
-#: Tokens of a block: training cuts texts into blocks, scoring multiplies the blocks' matrices.
+#: Tokens of a block: the states on both sides of a cut come from the product of the blocks' matrices.
 BLOCK = 64
 #: Expected counts are summed as whole multiples of this, so that the order of summing changes nothing.
 UNIT = 1 << 20
-#: Only the starting point is fitted to a sample: about so many training texts of at most so many bytes.
-SAMPLE, SAMPLE_BYTES, SAMPLE_ROUNDS = 500, 20_000, 14
 
 
-def tokens(data, offs):
-    """(word hashes, classes, first) with one end token after each text's words; the end's hash is 0."""
+def keys(data, offs):
+    """(word hashes, spellings, first) with one end token after each text's words; the end's hash is 0.
+
+    A spelling is a word's first byte and its last three.
+    """
     starts, ends, h, first = textkit.words(data, offs)
     n, docs = len(h), len(offs) - 1
     if n:
@@ -33,15 +34,27 @@ def tokens(data, offs):
         c = low[starts] * U(1 << 24)
         for i in range(1, 4):
             c = c + np.where(size >= i, low[np.maximum(ends - i, 0)], U(0)) * U(1 << 8 * (3 - i))
-        classes = (textkit.mix(c) % U(CLASSES)).astype(np.int32)
     else:
-        classes = np.empty(0, np.int32)
-    at = first[1:] + np.arange(docs)
-    out_h, out_c = np.zeros(n + docs, np.uint64), np.full(n + docs, CLASSES, np.int32)
+        c = np.empty(0, np.uint64)
+    first = first + np.arange(docs + 1)
+    out_h, out_c = np.zeros(n + docs, np.uint64), np.zeros(n + docs, np.uint32)
     word = np.ones(n + docs, bool)
-    word[at] = False
-    out_h[word], out_c[word] = np.where(h == 0, U(1), h), classes
-    return out_h, out_c, first + np.arange(docs + 1)
+    word[first[1:] - 1] = False
+    out_h[word], out_c[word] = np.where(h == 0, U(1), h), c
+    return out_h, out_c, first
+
+
+def classes_of(spellings, first, size):
+    """The class of each word of texts, by a hash of its spelling; that of a text's end is `size`."""
+    out = (textkit.mix(spellings.astype(np.uint64)) % U(size)).astype(np.int32)
+    out[first[1:] - 1] = size
+    return out
+
+
+def tokens(data, offs, size=CLASSES):
+    """(word hashes, classes, first) with one end token after each text's words; the end's hash is 0."""
+    h, spellings, first = keys(data, offs)
+    return h, classes_of(spellings, first, size), first
 
 
 def blocks(classes, first):
@@ -61,11 +74,10 @@ class Model:
         self.start, self.trans, self.emit = start, trans, emit
 
     @classmethod
-    def initial(cls, classes, seed=11):
-        """Sticky states, each with the classes' overall counts disturbed at random."""
+    def initial(cls, base, seed=11):
+        """Sticky states, each with the classes' counts over all training texts disturbed at random."""
         r = np.random.default_rng(seed)
-        base = np.bincount(classes, minlength=CLASSES + 1) + 0.1
-        emit = base * r.gamma(1.0, 1.0, (STATES, CLASSES + 1))
+        emit = (base + 0.1) * r.gamma(1.0, 1.0, (STATES, len(base)))
         trans = np.full((STATES, STATES), 0.1 / (STATES - 1))
         np.fill_diagonal(trans, 0.9)
         return cls(np.full(STATES, 1 / STATES), trans, emit / emit.sum(1, keepdims=True))
@@ -78,47 +90,89 @@ class Model:
         emit = emit + 20.0 * base
         return cls((start + 0.1) / (start + 0.1).sum(), (trans + 0.1) / (trans + 0.1).sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
+    def products(self, emit, classes, at, size, opens):
+        """(matrix, log10 of its factor) of each block, from the state before it to that of its last token; blocks by falling length."""
+        s = STATES
+        x = np.where(opens[:, None, None], np.broadcast_to(self.start, (s, s)), self.trans) * emit[classes[at]][:, None, :]
+        logs = np.zeros(len(at))
+        for t in range(1, BLOCK):
+            m = int(np.searchsorted(-size, -t, "left"))
+            if not m:
+                break
+            y = (x[:m].reshape(-1, s) @ self.trans).reshape(m, s, s)
+            y *= emit[classes[at[:m] + t]][:, None, :]
+            if t % 8 == 0:
+                z = y.max((1, 2))
+                y /= z[:, None, None]
+                logs[:m] += np.log10(z)
+            x[:m] = y
+        z = x.max((1, 2))
+        x /= z[:, None, None]
+        return x, logs + np.log10(z)
+
+    def around(self, emit, classes, at, size, opens, doc, nth):
+        """(states before, likelihood after) of each block, both up to a factor: the exact messages across the cuts of its text."""
+        before, after = np.zeros((len(at), STATES)), np.ones((len(at), STATES))
+        long = np.flatnonzero((np.bincount(doc) > 1)[doc])
+        if not len(long):
+            return before, after
+        x, _ = self.products(emit, classes, at[long], size[long], opens[long])
+        order = np.lexsort((doc[long], nth[long]))
+        b, x = long[order], x[order]
+        d, place = doc[b], nth[b]
+        edges = np.searchsorted(place, np.arange(int(place[-1]) + 2))
+        v = np.full((int(d.max()) + 1, STATES), 1 / STATES)
+        for a, z in zip(edges[:-1], edges[1:]):
+            before[b[a:z]] = v[d[a:z]]
+            w = np.einsum("nk,nkl->nl", v[d[a:z]], x[a:z])
+            v[d[a:z]] = w / w.sum(1, keepdims=True)
+        v = np.ones_like(v)
+        for a, z in zip(edges[-2::-1], edges[:0:-1]):
+            after[b[a:z]] = v[d[a:z]]
+            w = np.einsum("nkl,nl->nk", x[a:z], v[d[a:z]])
+            v[d[a:z]] = w / w.sum(1, keepdims=True)
+        return before, after
+
     def counts(self, classes, first):
-        """Expected counts (start, transitions, emissions) of one slice of texts, cut into blocks."""
-        at, size, opens, _, _ = blocks(classes, first)
-        n, s = len(at), STATES
-        zero = np.zeros(s), np.zeros((s, s)), np.zeros((s, CLASSES + 1))
+        """Expected counts (start, transitions, emissions) of one slice of whole texts; cuts into blocks change nothing."""
+        at, size, opens, doc, nth = blocks(classes, first)
+        n, s, width = len(at), STATES, self.emit.shape[1]
+        starts, trans, out = np.zeros(s), np.zeros((s, s)), np.zeros((s, width))
         if not n:
-            return zero
+            return starts, trans, out
         emit = np.ascontiguousarray(self.emit.T)
         live = [int(np.searchsorted(-size, -t, "left")) for t in range(BLOCK)]  # blocks longer than t
         p = self.trans
-        stationary = np.full(s, 1 / s)
-        for _ in range(50):
-            stationary = stationary @ p
+        before, after = self.around(emit, classes, at, size, opens, doc, nth)
         alpha, e, scale = [], [], []
         for t in range(BLOCK):
             m = live[t]
             if not m:
                 break
             x = emit[classes[at[:m] + t]]
-            a = (np.where(opens[:, None], self.start, stationary) if t == 0 else alpha[-1][:m] @ p) * x
+            a = (np.where(opens[:, None], self.start, before @ p) if t == 0 else alpha[-1][:m] @ p) * x
             z = a.sum(1, keepdims=True)
             alpha.append(a / z)
             e.append(x)
             scale.append(z)
-        starts, trans, out = zero
-        beta = np.ones((live[len(alpha) - 1], s))
+        beta, held = np.empty((0, s)), np.empty((len(classes), s))
         for t in range(len(alpha) - 1, -1, -1):
             m = live[t]
             if len(beta) < m:
-                beta = np.concatenate([beta, np.ones((m - len(beta), s))])
+                new = after[len(beta) : m]
+                beta = np.concatenate([beta, new / (alpha[t][len(beta) :] * new).sum(1, keepdims=True)])
             gamma = alpha[t] * beta
             gamma /= gamma.sum(1, keepdims=True)
-            c = classes[at[:m] + t]
-            for k in range(s):
-                out[k] += np.bincount(c, gamma[:, k], CLASSES + 1)
-            if t == 0:
-                starts += gamma[opens].sum(0)
-            else:
-                w = e[t] * beta / scale[t]
+            held[at[:m] + t] = gamma
+            w = e[t] * beta / scale[t]
+            if t:
                 trans += p * (alpha[t - 1][:m].T @ w)
                 beta = w @ p.T
+            else:
+                starts += gamma[opens].sum(0)
+                trans += p * (before[~opens].T @ w[~opens])
+        for k in range(s):
+            out[k] = np.bincount(classes, held[:, k], width)
         return starts, trans, out
 
     def log10(self, classes, first):
@@ -133,22 +187,7 @@ class Model:
         if not n:
             return total
         emit = np.ascontiguousarray(self.emit.T)
-        x = np.where(opens[:, None, None], np.broadcast_to(self.start, (s, s)), self.trans) * emit[classes[at]][:, None, :]
-        logs = np.zeros(n)
-        for t in range(1, BLOCK):
-            m = int(np.searchsorted(-size, -t, "left"))
-            if not m:
-                break
-            y = (x[:m].reshape(-1, s) @ self.trans).reshape(m, s, s)
-            y *= emit[classes[at[:m] + t]][:, None, :]
-            if t % 8 == 0:
-                z = y.max((1, 2))
-                y /= z[:, None, None]
-                logs[:m] += np.log10(z)
-            x[:m] = y
-        z = x.max((1, 2))
-        x /= z[:, None, None]
-        logs += np.log10(z)
+        x, logs = self.products(emit, classes, at, size, opens)
         np.add.at(total, doc, logs)
         order = np.lexsort((doc, nth))
         doc, nth, x = doc[order], nth[order], x[order]
@@ -167,55 +206,85 @@ def held_out(doc_id, folds: int = 7, fold: int = 2):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def train(docs: DataFrame, rounds: int = 2) -> Model:
-    """Baum-Welch over all texts of docs; the counts of a round are summed inside tasks and then by Spark."""
-    size = docs.count()
-    order = F.xxhash64("text")
-    near = docs.filter((F.pmod(order, F.lit(1 << 24)) <= int((1 << 24) * min(1.0, SAMPLE / max(1, size)))) & (F.octet_length("text") <= SAMPLE_BYTES))
-    texts = pa.array([r[0] for r in near.select("text").orderBy(order).limit(4 * SAMPLE).collect()], pa.string())
-    first_slices = [tokens(data, offs)[1:] for _, data, offs in textkit.slices(texts)]
-    model = Model.initial(np.concatenate([c for c, _ in first_slices]) if first_slices else np.empty(0, np.int32))
-    for _ in range(SAMPLE_ROUNDS if first_slices else 0):
-        sums = [model.counts(*x) for x in first_slices]
-        model = Model.of_counts(*[sum(x) for x in zip(*sums)])
+def _packed(batches):
+    for b in batches:
+        for _, data, offs in textkit.slices(b.column(0)):
+            _, spellings, first = keys(data, offs)
+            values = pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((4 * first).astype(np.int32).tobytes()), pa.py_buffer(spellings.tobytes())])
+            yield pa.RecordBatch.from_arrays([values], ["spellings"])
+
 
+def _unpacked(batches):
+    """(spellings, first) of slices of whole texts, as _packed wrote them."""
+    for b in batches:
+        for _, data, offs in textkit.slices(b.column(0)):
+            yield np.frombuffer(data.tobytes(), np.uint32), offs // 4
+
+
+def _spelt(batches):
+    """(spelling, n) of a task's words; texts by -1."""
+    found, n, texts = np.empty(0, np.int64), np.empty(0, np.int64), 0
+    for spellings, first in _unpacked(batches):
+        word = np.ones(len(spellings), bool)
+        word[first[1:] - 1] = False
+        new, m = np.unique(spellings[word].astype(np.int64), return_counts=True)
+        found, at = np.unique(np.concatenate([found, new]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n, m]), len(found)).astype(np.int64)
+        texts += len(first) - 1
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(n, texts))], ["spelling", "n"])
+
+
+def train(docs: DataFrame, rounds: int = 16) -> Model:
+    """Baum-Welch, every round over all texts of docs; the counts of a round are summed inside tasks and then by Spark.
+
+    There are as many classes as a power of two over the distinct spellings of words, CLASSES at least. The first
+    model is the classes' counts over all texts, disturbed by a fixed seed.
+    """
+    texts = store.written(docs.select("text").mapInArrow(_packed, "spellings binary"), "spellings")
+    spelt = texts.mapInArrow(_spelt, "spelling long, n long").groupBy("spelling").agg(F.sum("n").alias("n")).toArrow()  # distinct spellings
+    spelling, n = (spelt.column(c).to_numpy() for c in ("spelling", "n"))
+    word = spelling >= 0
+    size = max(CLASSES, 1 << int(word.sum() - 1).bit_length() if word.any() else 0)
+    base = np.zeros(size + 1)
+    np.add.at(base, (textkit.mix(spelling[word].astype(np.uint64)) % U(size)).astype(np.int64), n[word])
+    base[size] = n[~word].sum()
+    model = Model.initial(base)
     for _ in range(rounds):
 
         def expect(batches, model=model):
             total = None
-            for b in batches:
-                for _, data, offs in textkit.slices(b.column(0)):
-                    _, classes, first = tokens(data, offs)
-                    got = model.counts(classes, first)
-                    total = got if total is None else [x + y for x, y in zip(total, got)]
+            for spellings, first in _unpacked(batches):
+                got = model.counts(classes_of(spellings, first, size), first)
+                total = got if total is None else [x + y for x, y in zip(total, got)]
             if total is not None:
                 start, trans, out = total
-                # rows 0..CLASSES are emissions, then one for the starts and STATES for the transitions
+                # rows 0..size are emissions, then one for the starts and STATES for the transitions
                 rows = np.rint(np.concatenate([out.T, start[None], trans]) * UNIT).astype(np.int64)
                 keep = np.flatnonzero(rows.any(1))
                 yield pa.RecordBatch.from_arrays([pa.array(keep), *[pa.array(rows[keep, k]) for k in range(STATES)]], ["row", *[f"s{k}" for k in range(STATES)]])
 
-        got = docs.select("text").mapInArrow(expect, "row long, " + ", ".join(f"s{k} long" for k in range(STATES)))
-        total = np.zeros((CLASSES + 2 + STATES, STATES))
-        for r in got.groupBy("row").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES)]).collect():  # CLASSES + 2 + STATES rows at most
-            total[r[0]] = [x / UNIT for x in r[1:]]
-        model = Model.of_counts(total[CLASSES + 1], total[CLASSES + 2 :], total[: CLASSES + 1].T)
+        got = texts.mapInArrow(expect, "row long, " + ", ".join(f"s{k} long" for k in range(STATES)))
+        got = got.groupBy("row").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES)]).toArrow()  # size + 2 + STATES rows at most
+        total = np.zeros((size + 2 + STATES, STATES))
+        total[got.column("row").to_numpy()] = np.stack([got.column(f"s{k}").to_numpy() for k in range(STATES)], 1) / UNIT
+        model = Model.of_counts(total[size + 1], total[size + 2 :], total[: size + 1].T)
+    store.dropped(texts)
     return model
 
 
-def _ask(ranges):
+def _ask(ranges, size):
     def ask(key, table):
         hashes, classes, learn = [], [], []
         flags = table.column("held_out").to_numpy(zero_copy_only=False)
         for i, data, offs in textkit.slices(table.column("text")):
-            h, c, first = tokens(data, offs)
+            h, c, first = tokens(data, offs, size)
             hashes.append(h)
             classes.append(c)
             learn.append(np.repeat(~flags[i : i + len(offs) - 1], np.diff(first)))
         h, c, t = np.concatenate(hashes), np.concatenate(classes), np.concatenate(learn)
         found, at, inverse = np.unique(h, return_index=True, return_inverse=True)
         n = np.bincount(inverse, t, len(found)).astype(np.uint32)
-        return pa.Table.from_batches([exchange.pack(found, {"classes": c[at].astype(np.uint16), "n": n}, ranges, key[0].as_py())])
+        return pa.Table.from_batches([exchange.pack(found, {"classes": c[at].astype(np.uint32), "n": n}, ranges, key[0].as_py())])
 
     return ask
 
@@ -225,12 +294,13 @@ def _answer(key, table):
     asked = exchange.unpacked(table, "hashes", np.uint64)
     h, _, at = exchange.grouped(asked)
     n = np.concatenate(exchange.unpacked(table, "n", np.uint32)).astype(np.int64)
-    classes = np.concatenate(exchange.unpacked(table, "classes", np.uint16))
+    classes = np.concatenate(exchange.unpacked(table, "classes", np.uint32))
     found, where, inverse = np.unique(h, return_index=True, return_inverse=True)
     total = np.zeros(len(found), np.int64)
     np.add.at(total, inverse, n)
     known = total > 0
-    mass = np.bincount(classes[where][known], total[known] + 1, CLASSES + 1).astype(np.int64)
+    held, place = np.unique(classes[where][known], return_inverse=True)
+    mass = np.bincount(place, total[known] + 1, len(held)).astype(np.int64)
     back = total[inverse]
     answers = [back[a:z].tobytes() for a, z in zip(at[:-1], at[1:])]
     size = len(answers)
@@ -239,6 +309,7 @@ def _answer(key, table):
             "chunk": pa.array([*table.column("chunk").to_pylist(), -1], pa.int32()),
             "part": pa.array([key[0].as_py()] * (size + 1), pa.int32()),
             "counts": pa.array([*answers, None], pa.binary()),
+            "classes": pa.array([None] * size + [held.tolist()], pa.list_(pa.int64())),
             "mass": pa.array([None] * size + [mass.tolist()], pa.list_(pa.int64())),
             "types": pa.array([None] * size + [int(known.sum())], pa.int64()),
             "tokens": pa.array([None] * size + [int(total.sum())], pa.int64()),
@@ -246,7 +317,7 @@ def _answer(key, table):
     )
 
 
-def score(docs: DataFrame, rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, rounds: int = 16) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     Null and wordless texts are the end token alone. Under a training set without texts nothing is known, and every
@@ -256,17 +327,18 @@ def score(docs: DataFrame, rounds: int = 2) -> DataFrame:
     """
     x = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     model = train(x.filter(~F.col("held_out")).select("text"), rounds)
+    size = model.emit.shape[1] - 1
     chunks = exchange.chunk_count(x)
     ranges = max(16, chunks // 4)
     x = exchange.in_chunks(x, chunks)
-    asked = x.groupBy("chunk").applyInArrow(_ask(ranges), "part int, chunk int, hashes binary, classes binary, n binary")
-    answers = asked.groupBy("part").applyInArrow(_answer, "chunk int, part int, counts binary, mass array<long>, types long, tokens long")
+    asked = x.groupBy("chunk").applyInArrow(_ask(ranges, size), "part int, chunk int, hashes binary, classes binary, n binary")
+    answers = asked.groupBy("part").applyInArrow(_answer, "chunk int, part int, counts binary, classes array<long>, mass array<long>, types long, tokens long")
     answers = store.written(answers, "word-counts")
     vocabulary = answers.filter("chunk = -1")
     types, total = vocabulary.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    mass = np.ones(CLASSES + 1)  # the unseen word of each class
-    for r in vocabulary.select(F.posexplode("mass").alias("c", "m")).groupBy("c").agg(F.sum("m").alias("m")).collect():  # CLASSES + 1 rows
-        mass[r.c] += r.m
+    mass = np.ones(size + 1)  # the unseen word of each class
+    for r in vocabulary.select(F.explode(F.arrays_zip("classes", "mass")).alias("x")).groupBy("x.classes").agg(F.sum("x.mass").alias("m")).collect():  # size rows at most
+        mass[r.classes] += r.m
 
     def judge(key, table, counts):
         counts = counts.sort_by("part")
@@ -274,7 +346,7 @@ def score(docs: DataFrame, rounds: int = 2) -> DataFrame:
         parts = []
         all_h = []
         for i, data, offs in textkit.slices(table.column("text")):
-            h, c, first = tokens(data, offs)
+            h, c, first = tokens(data, offs, size)
             parts.append((c, first))
             all_h.append(h)
         h = np.concatenate(all_h) if all_h else np.empty(0, np.uint64)

@@ -288,6 +288,45 @@ def test_forward_recursion_is_exact():
     assert math.isclose(starts.sum(), len(sizes)) and math.isclose(emit.sum(), first[-1])
 
 
+def test_expected_counts_cross_block_cuts():
+    r = np.random.default_rng(6)
+    m = hmm.Model(r.dirichlet(np.ones(hmm.STATES)), r.dirichlet(np.ones(hmm.STATES), hmm.STATES), r.dirichlet(np.ones(hmm.CLASSES + 1), hmm.STATES))
+    sizes = [1, 64, 65, 128, 300, 2]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    classes = r.integers(0, hmm.CLASSES + 1, first[-1]).astype(np.int32)
+    starts, trans, emit = np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((hmm.STATES, hmm.CLASSES + 1))
+    for a, z in zip(first[:-1], first[1:]):
+        e = m.emit[:, classes[a:z]].T
+        f, b = [m.start * e[0]], [np.ones(hmm.STATES)]
+        for x in e[1:]:
+            f.append(f[-1] / f[-1].sum() @ m.trans * x)
+        for x in e[:0:-1]:
+            b.append(m.trans @ (x * b[-1] / b[-1].sum()))
+        b = b[::-1]
+        for t in range(z - a):
+            g = f[t] * b[t]
+            emit[:, classes[a + t]] += g / g.sum()
+            if t:
+                w = f[t - 1][:, None] * m.trans * (e[t] * b[t])
+                trans += w / w.sum()
+        starts += f[0] * b[0] / (f[0] * b[0]).sum()
+    for got, want in zip(m.counts(classes, first), (starts, trans, emit)):
+        assert np.allclose(got, want, rtol=1e-9, atol=1e-12)
+
+
+def test_training_takes_every_text_and_grows(spark, monkeypatch):
+    texts = [f"{a}{b}c{c}{d} " * (30 if a == "z" else 2) for a in "xyz" for b in "ab" for c in "ef" for d in "gh"] + ["long " * 6000]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    seen = []
+    of_counts = hmm.Model.of_counts.__func__
+    monkeypatch.setattr(hmm, "CLASSES", 4)
+    monkeypatch.setattr(hmm.Model, "of_counts", classmethod(lambda cls, s, t, e: seen.append((round(s.sum()), round(t.sum()), round(e.sum()))) or of_counts(cls, s, t, e)))
+    model = hmm.train(docs)
+    n = sum(len(t.split()) + 1 for t in texts)
+    assert seen == [(len(texts), n - len(texts), n)] * 16
+    assert model.emit.shape[1] >= len({w[0] + w[-3:] for t in texts for w in t.split()}) + 1 > 5
+
+
 def test_language_id(spark, docs, empty):
     path = "/root/testdata/sf0.001/documents.parquet"
     x = spark.read.parquet(path)
