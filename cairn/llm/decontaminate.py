@@ -66,13 +66,35 @@ class Index:
                     yield item, len(s), shared
 
 
+class Passages:
+    """Items of fewer than k words: each is one hash, looked for among a document's windows of so many words."""
+
+    def __init__(self, items: list):
+        """items: (item_id, hash, words)."""
+        self.by_size = {}
+        for item, x, n in items:
+            self.by_size.setdefault(n, {}).setdefault(int(x), []).append(item)
+        self.hashes = {n: np.array(sorted(found), np.uint64) for n, found in self.by_size.items()}
+
+    def search(self, h, first):
+        """(text, item_id) of the items that stand in each text of words h, once for each."""
+        for n, hashes in self.hashes.items():
+            g, text = textkit.windows(h, first, n)
+            hit = np.isin(g, hashes)
+            for d, x in sorted(set(zip(text[hit].tolist(), g[hit].tolist()))):
+                for item in self.by_size[n][x]:
+                    yield d, item
+
+
 def _blocks(items: DataFrame, k: int):
-    """Lists of (item_id, hashes) of at most about BLOCK hashes, read through an iterator: the driver holds one at a time."""
+    """Lists of (item_id, hashes, words) of at most about BLOCK hashes, read through an iterator: the driver holds one at a time."""
     out, size = [], 0
     for row in items.toLocalIterator():
-        for _, x in textkit.shingle_sets(pa.array([row[1]], pa.string()), k, textkit.ALNUM):
+        for _, data, offs in textkit.slices(pa.array([row[1]], pa.string())):
+            _, _, h, first = textkit.words(data, offs, textkit.ALNUM)
+            x = np.unique(textkit.shingles(h, first, k)[0])
             if len(x):
-                out.append((row[0], x))
+                out.append((row[0], x, len(h)))
                 size += len(x)
         if size >= BLOCK:
             yield out
@@ -84,7 +106,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: fl
     """(doc_id, item_id, n_shingles, n_shared) of the items of which `threshold` of the k-word shingles are in a document.
 
     Words are runs of letters and digits, A-Z lower-cased, of whole texts; an item of fewer than k words is one
-    shingle of its whole sequence, found only in documents that are that same sequence. Null or wordless texts and
+    shingle of its whole sequence, found wherever a document holds that sequence. Null or wordless texts and
     items match nothing. Repeated documents and items each get their rows. The items travel to every task in blocks
     of about BLOCK shingles, and the documents are read once for each block, so memory doesn't grow with the items.
     """
@@ -93,11 +115,13 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: fl
     for block in _blocks(items.select("item_id", "text"), k):
 
         def run(batches, block=block):
-            index = Index(block, threshold)
+            index = Index([x[:2] for x in block if x[2] >= k], threshold)
+            passages = Passages([(item, x[0], n) for item, x, n in block if n < k])
             for b in batches:
                 ids, rows = b.column(0), []
                 for i, data, offs in textkit.slices(b.column(1)):
                     _, _, h, first = textkit.words(data, offs, textkit.ALNUM)
+                    rows += [(i + d, item, 1, 1) for d, item in passages.search(h, first)]
                     g, at = textkit.shingles(h, first, k)
                     maybe = index.bits[(g >> np.uint64(44)).astype(np.int64)]
                     hits = np.concatenate([[0], np.cumsum(maybe)])

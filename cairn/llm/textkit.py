@@ -140,6 +140,17 @@ def shingles(h, first, k: int):
     return g, np.searchsorted(pos, first)
 
 
+def windows(h, first, n: int):
+    """(hash, text) of all n-word windows inside each text, hashed as shingles() does a whole text of n < k words."""
+    m = max(0, len(h) - n + 1)
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    g = h[:m].copy()
+    for i in range(1, n):
+        g = g * FOLD + h[i : m + i]
+    inside = np.flatnonzero(text[:m] == text[n - 1 : m + n - 1])
+    return mix(g[inside] + U(n * BASE & MASK)), text[inside]
+
+
 def shingle_sets(column, k: int, table=WORD):
     """(row, sorted distinct shingle hashes) of every text."""
     for i, data, offs in slices(column):

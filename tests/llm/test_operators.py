@@ -248,6 +248,14 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contained_items(empty, table).count() == 0 and decontaminate.contained_items(docs, table.limit(0)).count() == 0
 
 
+def test_short_items_are_found_inside_long_documents(spark):
+    texts = ["x y One, two three z " * 3, "one two", "two three", "a one b two c three", "one two three", "three one two z z z z", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame([(0, "one two three"), (1, "Three"), (2, "one two"), (3, "z z z z"), (1, "three")], "item_id long, text string")
+    want = [(0, 0), (4, 0), *[(d, 1) for d in (0, 2, 3, 4, 5)] * 2, (0, 2), (1, 2), (4, 2), (5, 2), (5, 3)]
+    assert sorted(rows_of(decontaminate.contained_items(docs, table))) == sorted((d, i, 1, 1) for d, i in want)
+
+
 def test_decontamination_in_blocks(spark, docs, monkeypatch):
     table = spark.createDataFrame([(i, t) for i, t, *_ in documents()[:10]], "item_id long, text string")
     want = sorted(rows_of(decontaminate.contained_items(docs, table)))
