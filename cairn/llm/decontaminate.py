@@ -137,6 +137,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: fl
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without the documents that contain an item; documents of a null doc_id that contain one go only with all null ids."""
-    bad = contained_items(docs, items, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """docs without the documents that contain an item; only the text decides, so repeated or null ids take no other rows with them."""
+    text = F.xxhash64("text")
+    bad = contained_items(docs.select(text.alias("doc_id"), "text"), items, **options).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.withColumn("_text", text).join(bad, F.col("_text") == F.col("_bad"), "left_anti").select(*docs.columns)

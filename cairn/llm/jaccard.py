@@ -428,8 +428,18 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: that of the least doc_id, and of equal ones a single row. Rows of a null doc_id stay."""
-    keep = similarity_classes(docs, k, percent).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(keep, docs["doc_id"] == F.col("_kept"), "left").filter(F.col("_kept").isNotNull() | F.col("doc_id").isNull()).drop("_kept")
-    named = out.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(out.filter(F.col("doc_id").isNull()))
+    """docs with one document of each component: that of the least doc_id (null last), and of equal ids and texts a single row.
+
+    Rows are told apart by doc_id and text, so a repeated or null doc_id takes no other text with it. Texts without a
+    word link with nothing: of those one row of each doc_id and text stays, and all of a null doc_id.
+    """
+    text = F.xxhash64("text")
+    classes = similarity_classes(docs.select(text.alias("doc_id"), "text"), k, percent)
+    classes = classes.select(F.col("doc_id").alias("_text"), F.col("component_id").alias("_class"), (F.col("n_shingles") > 0).alias("_worded")).distinct()
+    rows = docs.withColumn("_text", text)
+    least = rows.groupBy("_text").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("_first")).join(classes.filter("_worded"), "_text")
+    keep = least.groupBy("_class").agg(F.min(F.struct("_first", "_text")).alias("_row")).select(F.col("_row._first.doc_id").alias("_kept"), F.col("_row._text").alias("_kept_text"))
+    worded = rows.join(keep, (F.col("_text") == F.col("_kept_text")) & F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept", "_kept_text").dropDuplicates(["doc_id", "_text"])
+    bare = rows.join(classes.filter("NOT _worded"), "_text", "left_semi").select(*rows.columns)
+    named = bare.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "_text"])
+    return worded.unionByName(named).unionByName(bare.filter(F.col("doc_id").isNull())).select(*docs.columns)

@@ -256,6 +256,17 @@ def test_short_items_are_found_inside_long_documents(spark):
     assert sorted(rows_of(decontaminate.contained_items(docs, table))) == sorted((d, i, 1, 1) for d, i in want)
 
 
+def test_repeated_and_null_ids_lose_no_other_text(spark):
+    texts = {c: " ".join(f"{c}{i}" for i in range(30)) for c in "abcd"}
+    rows = [(1, "a"), (1, "b"), (2, "a"), (None, "c"), (None, "c"), (None, "d"), (3, "d"), (1, "a")]
+    docs = spark.createDataFrame([(i, texts[c]) for i, c in rows] + [(4, ""), (4, ""), (None, "")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text[:1]) for r in jaccard.one_of_each(docs).collect()), key=str)
+    assert got == sorted([(1, "a"), (1, "b"), (None, "c"), (3, "d"), (4, ""), (None, "")], key=str)
+    items = spark.createDataFrame([(0, texts["b"]), (1, texts["c"])], "item_id long, text string")
+    left = sorted(((r.doc_id, r.text[:1]) for r in decontaminate.decontaminate(docs, items).collect()), key=str)
+    assert left == sorted([(1, "a"), (1, "a"), (2, "a"), (None, "d"), (3, "d"), (4, ""), (4, ""), (None, "")], key=str)
+
+
 def test_decontamination_in_blocks(spark, docs, monkeypatch):
     table = spark.createDataFrame([(i, t) for i, t, *_ in documents()[:10]], "item_id long, text string")
     want = sorted(rows_of(decontaminate.contained_items(docs, table)))
