@@ -1,10 +1,11 @@
-"""N-gram Jaccard join: shared rare shingles bring sets together, count vectors in an R-tree bound their overlap, and exact sets verify.
+"""N-gram Jaccard join: shared rare shingles name who may meet, an R-tree of count vectors admits pairs, exact sets verify.
 
 Two sets that reach the threshold share a shingle among the first few of each, in any one order of all shingles. The
 order puts the commonest shingles of a sample last, which only saves work: every order gives the same links. Equal
-sets are one set from the start. Links of sets to one partner of their first shared shingles are verified first; the
-components of these links leave the remaining work to shingles that two components share, and there the R-tree finds
-the pairs whose count vectors allow the overlap.
+sets are one set from the start. Each shared shingle is one stretch of the leading coordinate of an R-tree over count
+vectors; its nodes and points admit a pair where the summed minima of the coordinates allow the overlap. What the
+trees admit joins sets to clusters, and the sets of a cluster meet in tiles, once more through a tree, where exact
+intersections decide. Pairs are never rows: trees and tiles give a row for each set at most.
 """
 
 import numpy as np
@@ -18,21 +19,20 @@ U = np.uint64
 GROUPS, MOST_GROUPS, FILL = 64, 2048, 16
 #: A coordinate that doesn't fit a byte counts as so many, which only loosens the bound.
 FULL, OVER = 255, 1 << 20
-LEAF = 16
+#: Points of a leaf and children of an inner node.
+FAN = 16
 #: A shingle asked for more often is dealt out by shingle and set.
 HOT = 4000
-#: Pairs of a shingle's sets are looked for in tiles of about so many sets.
-TILE = 512
-#: Sets of a cluster of pairs that are verified side by side.
-CLUSTER = 1024
-#: Pairs of a cluster that are verified in one tile, about.
-PAIRS = 512
+#: The sets of a shingle are searched in tiles of two parts of about so many sets.
+TILE = 2048
+#: The sets of a cluster are verified in tiles of two blocks of about so many shingles.
+BLOCK = 1 << 18
+#: Pairs whose vectors are compared at once, and points that search a tree at once.
+STEP, QUERIES = 1 << 15, 1 << 10
 #: Earlier shared shingles that a set carries to each of its shingles.
 EARLIER = ["e0", "e1"]
 #: Sampled documents and the most shingles put last because of them.
 SAMPLE, LAST = 4000, 100_000
-#: Shared shingles of a set that name its first partners.
-LEADS = 3
 
 
 def least_kept(n, percent):
@@ -135,45 +135,82 @@ def allowed(rows, whole, n, percent):
 
 
 class Tree:
-    """A packed R-tree of count vectors: leaves of LEAF points, sorted by size and then by their heaviest coordinates."""
-
-    def __init__(self, size, points):
-        order = np.lexsort((points[:, 0], size)) if len(size) else np.empty(0, np.int64)
-        self.order, self.size, self.points = order, size[order], points[order]
-        self.at = np.arange(0, len(order), LEAF)
-        self.top = np.maximum.reduceat(self.points, self.at, axis=0) if len(order) else self.points
-        self.least = self.size[self.at]
-
-    def search(self, size, points, percent):
-        """(query, point) with a summed minimum of coordinates that allows the threshold."""
-        out = [np.empty((0, 2), np.int64)]
-        for q in range(len(size)):
-            leaves = np.flatnonzero((np.minimum(self.top, points[q]).sum(1) >= least_shared(self.least, size[q], percent)) & (self.least * percent <= 100 * size[q]))
-            if len(leaves):
-                at = (self.at[leaves, None] + np.arange(LEAF)).ravel()
-                at = at[at < len(self.order)]
-                good = np.minimum(self.points[at], points[q]).sum(1) >= least_shared(self.size[at], size[q], percent)
-                out.append(np.stack([np.full(good.sum(), q), self.order[at[good]]], 1))
-        return np.concatenate(out)
-
-
-def _possible(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) whose count vectors allow the threshold."""
-    one = lambda c, to: vectors.select(F.col("sh").alias(c), F.col("n").alias(f"n{c}"), F.col("vector").alias(to))
-    x = pairs.join(one("a", "x"), "a").join(one("b", "y"), "b").filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
-
-    def check(batches):
-        for b in batches:
-            (x, wx), (y, wy) = (unpacked_vectors(b.column(i)) for i in (4, 5))
-            n = np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3)]).astype(np.int64)
-            m = b.num_rows
-            keep = np.minimum(x, y).sum(1, dtype=np.int64) >= least_shared(n[:m], n[m:], percent)
-            at = np.flatnonzero(keep)
-            keep[at] = allowed(np.stack([at, at + m], 1), wx + wy, n, percent)
-            keep = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+    """A packed R-tree of points (key, size, count vector): leaves of FAN points, inner nodes of FAN children, up to FAN roots.
+
+    A node holds the ranges of its points' keys and sizes and their greatest counts. seen and admitted tell the pairs
+    of points that were compared and those whose summed minima allow the threshold.
+    """
 
-    return x.select("a", "b", "na", "nb", "x", "y").mapInArrow(check, "a long, b long")
+    def __init__(self, key, size, points):
+        heaviest = points.argmax(1) if len(points) else np.empty(0, np.int64)
+        self.order = np.lexsort((heaviest, size, key))
+        self.key, self.size, self.points = key[self.order], size[self.order].astype(np.int64), points[self.order]
+        self.levels, self.seen, self.admitted = [], 0, 0
+        lo, hi, least, most, top = self.key, self.key, self.size, self.size, self.points
+        while len(lo) > FAN or not self.levels and len(lo):
+            at = np.arange(0, len(lo), FAN)
+            end = np.minimum(at + FAN, len(lo)) - 1
+            lo, hi, least, most, top = lo[at], hi[end], np.minimum.reduceat(least, at), np.maximum.reduceat(most, at), np.maximum.reduceat(top, at, axis=0)
+            self.levels.append((lo, hi, least, most, top))
+
+    def _meets(self, q, x, level, percent):
+        """Which nodes x (points below all levels) may hold partners of the points q."""
+        key, size = self.key[q], self.size[q]
+        if level < 0:
+            ok = (self.key[x] == key) & (x < q) & (self.size[x] * 100 >= size * percent)
+            return ok
+        lo, hi, least, most, _ = self.levels[level]
+        return (lo[x] <= key) & (hi[x] >= key) & (x * FAN ** (level + 1) < q) & (least[x] * percent <= 100 * size) & (most[x] * 100 >= size * percent)
+
+    def _allowed(self, q, x, level, percent):
+        """Which of them the summed minima of the counts leave."""
+        least, top = (self.size, self.points) if level < 0 else (self.levels[level][2], self.levels[level][4])
+        out = np.empty(len(q), bool)
+        for at in range(0, len(q), STEP):
+            a, b = q[at : at + STEP], x[at : at + STEP]
+            out[at : at + STEP] = np.minimum(self.points[a], top[b]).sum(1, dtype=np.int64) >= least_shared(least[b], self.size[a], percent)
+        return out
+
+    def join(self, percent, may=None):
+        """Yields (p, q), rows as given, of equal keys: all pairs that the vectors allow, each once. may(p, q) is asked before they are compared."""
+        if not self.levels:
+            return
+        roots = np.arange(len(self.levels[-1][0]))
+        for start in range(0, len(self.order), QUERIES):
+            q = np.arange(start, min(start + QUERIES, len(self.order)))
+            q, x = np.repeat(q, len(roots)), np.tile(roots, len(q))
+            for level in range(len(self.levels) - 1, -2, -1):
+                ok = self._meets(q, x, level, percent)
+                q, x = q[ok], x[ok]
+                if level < 0 and may is not None and len(q):
+                    ok = may(self.order[x], self.order[q])
+                    q, x = q[ok], x[ok]
+                if level < 0:
+                    self.seen += len(q)
+                ok = self._allowed(q, x, level, percent)
+                q, x = q[ok], x[ok]
+                if level >= 0:
+                    below = len(self.levels[level - 1][0]) if level else len(self.order)
+                    q, x = np.repeat(q, FAN), (x[:, None] * FAN + np.arange(FAN)).ravel()
+                    ok = x < below
+                    q, x = q[ok], x[ok]
+            self.admitted += len(q)
+            if len(q):
+                yield self.order[x], self.order[q]
+
+
+def forest(n, a, b):
+    """The least node that each of n nodes reaches by the edges a, b."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while not np.array_equal(label[label], label):
+            label = label[label]
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+    return label
 
 
 def first_meeting(p, q, n, rank, earlier, percent):
@@ -191,145 +228,88 @@ def first_meeting(p, q, n, rank, earlier, percent):
     return ok
 
 
-def _verify(key, pairs, sets):
-    """The links of a tile's pairs that its earlier links don't imply."""
-    found = {h: np.frombuffer(x.as_buffer(), np.uint64) for h, x in zip(sets.column("sh").to_pylist(), sets.column("shingles"))}
-    percent = pairs.column("percent")[0].as_py() if len(pairs) else 100
-    up = {}
-
-    def root(v):
-        while (w := up.get(v, v)) != v:
-            up[v] = up.get(w, w)
-            v = w
-        return v
-
-    links = []
-    for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
-        ra, rb = root(a), root(b)
-        if ra == rb:
-            continue
-        x, y = found[a], found[b]
-        if len(x) > len(y):
-            x, y = y, x
-        if int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) >= least_shared(len(x), len(y), percent):
-            up[ra] = rb
-            links.append((a, b))
-    a, b = zip(*links) if links else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def _verified(pairs: DataFrame, fetch_sets, percent: int) -> DataFrame:
-    """Links that connect what pairs(a, b) of the threshold connect.
-
-    A set goes once to each tile of its cluster (the component of the pairs it is in), not once to each pair.
-    """
-    clusters = components.components(pairs)
-    load = pairs.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("e"))
-    size = clusters.join(load, "node", "left").groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("e").alias("e"))
-    grid = F.greatest(F.ceil(F.col("m") / CLUSTER), F.ceil(F.sqrt(F.col("e") * 2 / PAIRS)))
-    side = clusters.join(size, "root").select("node", "root", F.pmod("node", grid).cast("int").alias("own"))
-    side = store.written(side, "sides")
-    deals = max(store.partitions(pairs.sparkSession), side.count() // CLUSTER, pairs.count() // (8 * PAIRS))
-    x = pairs.join(side.select(F.col("node").alias("a"), "root", F.col("own").alias("i")), "a").join(side.select(F.col("node").alias("b"), F.col("own").alias("j")), "b")
-    x = x.select("a", "b", F.pmod(F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")), F.lit(deals)).cast("int").alias("deal"), F.lit(percent).alias("percent"))
-    x = store.written(x, "dealt")
-    wanted = x.select(F.explode(F.array("a", "b")).alias("sh"), F.col("deal").alias("tile")).distinct()
-    blocks = wanted.join(fetch_sets(wanted.select("sh").distinct()), "sh")
-    return x.groupBy("deal").cogroup(blocks.groupBy("tile")).applyInArrow(_verify, "a long, b long")
-
-
-def _roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    return rows.join(roots.select(F.col("node").alias("sh"), "root"), "sh", "left").withColumn("root", F.coalesce("root", "sh"))
-
-
-def _centres(leads: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(key, b): of leads(key, sh), the set nearest the mean count vector of those it shares the key with.
-
-    Edited copies are nearer their original than each other, and it is the nearest to their mean. Keys of many sets
-    are looked at in parts of about TILE sets, and the best of the parts' nearest is taken; ties by set.
-    """
-    size = leads.groupBy("key").agg(F.count(F.lit(1)).alias("sets"))
-    x = leads.join(size, "key").withColumn("part", F.pmod("sh", F.ceil(F.col("sets") / TILE)).cast("int")).select("key", "part", "sh").join(vectors, "sh")
-    x = x.withColumn("deal", F.pmod(F.xxhash64("key", "part"), F.lit(4 * store.partitions(leads.sparkSession))).cast("int"))
-
-    def nearest(key, table):
-        k, part, sh = (table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", "sh"))
-        v = unpacked_vectors(table.column("vector"))[0].astype(np.float64)
-        order = np.lexsort((sh, part, k))
-        k, part, sh, v = k[order], part[order], sh[order], v[order]
-        edge = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (part[1:] != part[:-1])]))
-        size = np.diff(np.concatenate([edge, [len(k)]]))
-        mean = np.repeat(np.add.reduceat(v, edge, axis=0) / size[:, None], size, axis=0)
-        away = np.abs(v - mean).sum(1) / (v.sum(1) + 1)
-        group = np.repeat(np.arange(len(edge)), size)
-        best = np.lexsort((sh, away, group))[edge]
-        return pa.table({"key": pa.array(k[edge]), "b": pa.array(sh[best]), "away": pa.array(away[best])})
-
-    found = x.groupBy("deal").applyInArrow(nearest, "key long, b long, away double")
-    return found.groupBy("key").agg(F.min(F.struct("away", "b")).alias("m")).select("key", F.col("m.b").alias("b"))
-
-
-def _near_pairs(shared: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components, found in R-trees, of shared(key, sh, root, sets, rank, *EARLIER): sets of one key, in tiles."""
-    x = shared.withColumn("tiles", F.ceil(F.col("sets") / TILE).cast("int"))
-    x = x.withColumn("own", F.pmod("sh", F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    x = x.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sh", "root", "rank", *EARLIER).join(vectors, "sh")
-    x = x.withColumn("deal", F.pmod(F.xxhash64("key", "i", "j"), F.lit(4 * store.partitions(shared.sparkSession))).cast("int"))
-
-    def find(key, table):
+def _meet(percent: int):
+    """Finds, among the rows of a deal, sets that the trees join: a row (a, b) for each set but one of every group."""
+
+    def meet(key, table):
         get = lambda c: table.column(c).to_numpy(zero_copy_only=False)
-        k, i, j, own, sh, root, n, rank = (get(c) for c in ("key", "i", "j", "own", "sh", "root", "n", "rank"))
+        k, i, j, own, sh, n, rank = (get(c) for c in ("key", "i", "j", "own", "sh", "n", "rank"))
+        earlier = [get(c) for c in EARLIER]
         v, whole = unpacked_vectors(table.column("vector"))
-        order = np.lexsort((own, j, i, k))
-        whole = [whole[x] for x in order]
-        k, i, j, own, sh, root, n, rank, v = (x[order] for x in (k, i, j, own, sh, root, n, rank, v))
-        earlier = [get(c)[order] for c in EARLIER]
-        fresh = lambda rows: rows[first_meeting(rows[:, 0], rows[:, 1], n, rank, earlier, percent)]
-        edge = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-        size = np.diff(np.concatenate([edge, [len(k)]]))
-        found = [np.empty((0, 2), np.int64)]
-        # Groups of a leaf at most are compared at once, each row with the next, the one after it, and so on.
-        place = np.arange(len(k)) - np.repeat(edge, size)
-        small = np.repeat((size <= LEAF) & (i[edge] == j[edge]), size)
-        seen = []
-        for step in range(1, LEAF):
-            at = np.flatnonzero(small & (place + step < np.repeat(size, size)))
-            if not len(at):
-                break
-            at = at[(root[at] != root[at + step])]
-            seen.append(fresh(np.stack([at, at + step], 1)))
-        if seen:
-            pair = np.concatenate(seen)
-            a, b = np.minimum(sh[pair[:, 0]], sh[pair[:, 1]]), np.maximum(sh[pair[:, 0]], sh[pair[:, 1]])
-            pair = pair[np.unique(np.stack([a, b]), axis=1, return_index=True)[1]] if len(pair) else pair
-            for at in range(0, len(pair), 1 << 15):
-                p, q = pair[at : at + (1 << 15)].T
-                found.append(np.stack([p, q], 1)[np.minimum(v[p], v[q]).sum(1, dtype=np.int64) >= least_shared(n[p], n[q], percent)])
-        for a, m in zip(edge, size):
-            if small[a]:
-                continue
-            mine = np.arange(a, a + m)
-            left, right = mine[own[mine] == i[a]], mine[own[mine] == j[a]]
-            if len(left) and len(right):
-                hits = Tree(n[left], v[left]).search(n[right], v[right], percent)
-                hits = np.stack([right[hits[:, 0]], left[hits[:, 1]]], 1)
-                found.append(fresh(hits[root[hits[:, 0]] != root[hits[:, 1]]]))
-        found = np.concatenate(found)
-        ids = np.sort(sh[found], axis=1)
-        found = found[np.unique(ids, axis=0, return_index=True)[1]] if len(found) else found
-        found = np.sort(sh[found[allowed(found, whole, n, percent)]], axis=1)
-        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
-
-    return x.groupBy("deal").applyInArrow(find, "a long, b long").distinct()
+        order = np.lexsort((j, i, k))
+        new = np.concatenate([[False], (np.diff(k[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)])
+        place = np.empty(len(k), np.int64)
+        place[order] = np.cumsum(new)
+        found, at = np.unique(sh, return_inverse=True)
+        large = np.array([len(x) for x in whole]) > GROUPS
+        label = np.arange(len(found))
+        may = lambda p, q: ((i[p] == j[p]) | (own[p] != own[q])) & (label[at[p]] != label[at[q]]) & first_meeting(p, q, n, rank, earlier, percent)
+        for p, q in Tree(place, n, v).join(percent, may):
+            finer = large[p] & large[q]
+            for x, y in zip(p[finer].tolist(), q[finer].tolist()):
+                if label[at[x]] != label[at[y]] and overlap_bound(whole[x], whole[y]) >= least_shared(int(n[x]), int(n[y]), percent):
+                    label[label == max(label[at[x]], label[at[y]])] = min(label[at[x]], label[at[y]])
+            p, q = label[at[p[~finer]]], label[at[q[~finer]]]
+            label = forest(len(found), p, q)[label]
+        moved = np.flatnonzero(label != np.arange(len(found)))
+        return pa.table({"a": pa.array(found[moved]), "b": pa.array(found[label[moved]])})
+
+    return meet
+
+
+def _joined(entries: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """(a, b): edges that connect all sets which a tree admits as a pair, of entries(key, sh, n, rank, sets, *EARLIER)."""
+    hot = entries.filter("sets = 0")
+    sizes = hot.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("sets"))
+    x = entries.filter("sets > 1").unionByName(hot.drop("sets").join(sizes.filter("sets > 1"), "key"))
+    x = x.withColumn("parts", F.ceil(F.col("sets") / TILE).cast("int"))
+    x = x.withColumn("own", F.pmod(F.xxhash64("sh"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    x = x.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sh", "n", "rank", *EARLIER).join(vectors.select("sh", "vector"), "sh")
+    x = x.withColumn("deal", F.pmod(F.xxhash64("key", "i", "j"), F.lit(4 * store.partitions(entries.sparkSession))).cast("int"))
+    return x.groupBy("deal").applyInArrow(_meet(percent), "a long, b long")
+
+
+def _linked(percent: int):
+    """Verifies the tiles of a deal: (sh, to, links) of each set with a link, where links counts the documents of its partners."""
+
+    def link(key, table):
+        get = lambda c: table.column(c).to_numpy(zero_copy_only=False)
+        tile, own, whole, sh, docs = (get(c) for c in ("tile", "own", "whole", "sh", "docs"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        n = np.array([len(x) for x in sets], np.int64)
+        at = np.concatenate([[0], np.cumsum(n)])
+        names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        v = unpacked_vectors(pa.chunked_array([pa.array([count_vector(x).tobytes() for x in sets], pa.binary())]))[0]
+        label, links, mark = np.arange(len(sh)), np.zeros(len(sh), np.int64), np.zeros(len(names), np.int32)
+        for p, q in Tree(np.unique(tile, return_inverse=True)[1], n, v).join(percent, lambda p, q: whole[p] | (own[p] != own[q])):
+            edge = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))  # the partners of each q stand together
+            shared = np.empty(len(p), np.int64)
+            for a, z in zip(edge, [*edge[1:], len(q)]):
+                mine = ids[at[q[a]] : at[q[a] + 1]]
+                mark[mine] = 1
+                theirs = np.concatenate([ids[at[x] : at[x + 1]] for x in p[a:z].tolist()])
+                size = n[p[a:z]]
+                shared[a:z] = np.add.reduceat(mark[theirs], np.cumsum(size) - size)
+                mark[mine] = 0
+            ok = shared >= least_shared(n[p], n[q], percent)
+            p, q = p[ok], q[ok]
+            np.add.at(links, p, docs[q])
+            np.add.at(links, q, docs[p])
+            label = forest(len(sh), label[p], label[q])[label]
+        out = np.flatnonzero(links)
+        return pa.table({"sh": pa.array(sh[out]), "to": pa.array(sh[label[out]]), "links": pa.array(links[out])})
+
+    return link
 
 
 def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, set_id and component_id of every document.
+    """doc_id, n_shingles, set_id, component_id and n_links of every document.
 
     Words are what lies between white space in the whole text, A-Z lower-cased; a set holds the distinct k-word
     shingles, for fewer words the whole sequence as one. Documents link when 100 * intersection >= percent * union;
-    component_id is the least doc_id that links reach. Empty sets (null, empty and wordless texts) link with nothing
-    and are their own component. Repeated rows each get their row; an empty table gives an empty table; other columns
+    component_id is the least doc_id that links reach, and n_links the number of other documents (rows) that this one
+    links to, those with an equal set included. Empty sets (null, empty and wordless texts) link with nothing
+    and are their own component. The tiles of m near copies that are no copies hold m * m / 2 pairs, as counting their links asks for. Repeated rows each get their row; an empty table gives an empty table; other columns
     are ignored.
     """
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -372,59 +352,58 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
             earlier[name][order[back:]] = np.where(nth[order[back:]] >= back, key_of[order[:-back]], U(0))
         route = np.where(status == 2, textkit.mix(key_of ^ textkit.mix(owner)), key_of)
         order = np.argsort(route, kind="stable")
-        values = {"key": key_of[order], "sh": owner[order], "n": size[order].astype(np.int32), "lead": (nth[order] < LEADS).astype(np.uint8), "hot": (status[order] == 2).astype(np.uint8), "rank": rank[order].astype(np.int32)} | {c: x[order] for c, x in earlier.items()}
+        values = {"key": key_of[order], "sh": owner[order], "n": size[order].astype(np.int32), "hot": (status[order] == 2).astype(np.uint8), "rank": rank[order].astype(np.int32)} | {c: x[order] for c, x in earlier.items()}
         return pa.Table.from_batches([exchange.pack(route[order], values, ranges, key[0].as_py())])
 
     def answer_sets(key, table):
         key_of, row, _ = exchange.grouped(exchange.unpacked(table, "key", np.uint64))
         sh = np.concatenate(exchange.unpacked(table, "sh", np.uint64))
-        n, lead, hot = (np.concatenate(exchange.unpacked(table, c, t)) for c, t in (("n", np.int32), ("lead", np.uint8), ("hot", np.uint8)))
+        n, hot = (np.concatenate(exchange.unpacked(table, c, t)) for c, t in (("n", np.int32), ("hot", np.uint8)))
         rank = np.concatenate(exchange.unpacked(table, "rank", np.int32))
         earlier = {c: np.concatenate(exchange.unpacked(table, c, np.int64)) for c in EARLIER}
         home = table.column("chunk").to_numpy(zero_copy_only=False)[row]
         order = np.lexsort((home, sh, key_of))
         order = order[np.concatenate([[True], (key_of[order][1:] != key_of[order][:-1]) | (sh[order][1:] != sh[order][:-1])])]
         _, inverse, count = np.unique(key_of[order], return_inverse=True, return_counts=True)
-        order = order[(count[inverse] > 1) | (hot[order] > 0)]
-        return pa.table({"key": pa.array(key_of[order].view(np.int64)), "sh": pa.array(sh[order].view(np.int64)), "n": pa.array(n[order]), "home": pa.array(home[order].astype(np.int32)), "lead": pa.array(lead[order] > 0), "rank": pa.array(rank[order])} | {c: pa.array(x[order]) for c, x in earlier.items()})
+        sets = np.where(hot[order] > 0, 0, count[inverse])  # the sets of a hot shingle are dealt out: 0 is for not known here
+        order, sets = order[sets != 1], sets[sets != 1]
+        return pa.table({"key": pa.array(key_of[order].view(np.int64)), "sh": pa.array(sh[order].view(np.int64)), "n": pa.array(n[order]), "home": pa.array(home[order].astype(np.int32)), "rank": pa.array(rank[order]), "sets": pa.array(sets.astype(np.int32))} | {c: pa.array(x[order]) for c, x in earlier.items()})
 
     def fetch(key, table, wanted):
         sh = wanted.column("sh").to_numpy(zero_copy_only=False)
         c = Chunk(table, k) if len(sh) else None
-        return pa.table({"sh": pa.array(sh, pa.int64()), "shingles": pa.array([c.sets[h].tobytes() for h in sh.view(np.uint64).tolist()], pa.binary())})
-
-    def fetch_sets(wanted):
-        """The shingles of the wanted sets, each read from the first chunk that has it."""
-        at = wanted.join(homes, "sh").select("sh", F.col("home").alias("chunk"))
-        return store.written(x.groupBy("chunk").cogroup(at.groupBy("chunk")).applyInArrow(fetch, "sh long, shingles binary"), "sets")
-
-    def linked(pairs):
-        return store.written(_verified(store.written(pairs, "pairs"), fetch_sets, percent), "links")
+        return wanted.select(["deal", "tile", "own", "whole", "sh", "docs"]).append_column("shingles", pa.array([c.sets[h].tobytes() for h in sh.view(np.uint64).tolist()], pa.binary()))
 
     asked = x.groupBy("chunk").applyInArrow(ask_keys, "part int, chunk int, hashes binary, n binary")
     status = asked.groupBy("part").applyInArrow(answer_keys, "chunk int, part int, answer binary")
     more = "".join(f", {c} binary" for c in EARLIER)
-    asked = x.groupBy("chunk").cogroup(status.groupBy("chunk")).applyInArrow(ask_sets, f"part int, chunk int, hashes binary, key binary, sh binary, n binary, lead binary, hot binary, rank binary{more}")
+    asked = x.groupBy("chunk").cogroup(status.groupBy("chunk")).applyInArrow(ask_sets, f"part int, chunk int, hashes binary, key binary, sh binary, n binary, hot binary, rank binary{more}")
     more = "".join(f", {c} long" for c in EARLIER)
-    entries = store.written(asked.groupBy("part").applyInArrow(answer_sets, f"key long, sh long, n int, home int, lead boolean, rank int{more}"), "entries")
+    entries = store.written(asked.groupBy("part").applyInArrow(answer_sets, f"key long, sh long, n int, home int, rank int, sets int{more}"), "entries")
     homes = entries.groupBy("sh").agg(F.min("home").alias("home"))
     rows = store.written(x.groupBy("chunk").applyInArrow(members, "doc_id long, n long, sh long, vector binary"), "members")
     vectors = store.written(rows.join(homes.select("sh"), "sh", "left_semi").groupBy("sh").agg(F.first("n").alias("n"), F.first("vector").alias("vector")), "vectors")
 
-    leads = entries.filter("lead").select("key", "sh")
-    pairs = leads.join(_centres(leads, vectors), "key").select(F.col("sh").alias("a"), "b").filter("a <> b").distinct()
-    links = linked(_possible(pairs, vectors, percent))
-    roots = components.components(links)
-
-    rooted = _roots(entries.select("key", "sh", "rank", *EARLIER), roots)
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("sets")).filter("lo <> hi").select("key", "sets")
-    shared = rooted.join(open_keys, "key").select("key", "sh", "root", "sets", "rank", *EARLIER)
-    roots = components.components(links.unionByName(linked(_near_pairs(shared, vectors, percent))))
-
-    rows = _roots(rows, roots).select("doc_id", "n", "sh", F.when(F.col("n") > 0, F.col("root")).alias("root"))
-    least = rows.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = rows.join(least, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("sh").alias("set_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    sets = store.written(rows.filter("n > 0").groupBy("sh").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("least")), "set-facts")
+    clusters = components.components(store.written(_joined(entries, vectors, percent), "joined"))
+    met = store.written(clusters.select(F.col("node").alias("sh"), F.col("root").alias("cluster")).join(sets.select("sh", "n", "docs"), "sh").join(homes, "sh"), "met")
+    blocks = met.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    met = met.join(store.written(blocks, "blocks"), "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    deals = max(store.partitions(docs.sparkSession), -(-int(met.agg(F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0))).first()[0]) // (4 * BLOCK)))
+    met = met.withColumn("own", F.pmod(F.xxhash64("sh"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumn("tile", F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")))
+    met = met.select(F.col("home").alias("chunk"), F.pmod("tile", F.lit(deals)).cast("int").alias("deal"), "tile", "own", (F.col("own") == F.col("other")).alias("whole"), "sh", "docs")
+    dealt = x.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(fetch, "deal int, tile long, own int, whole boolean, sh long, docs long, shingles binary")
+    links = store.written(dealt.groupBy("deal").applyInArrow(_linked(percent), "sh long, to long, links long"), "links")
+    roots = components.components(links.select(F.col("sh").alias("a"), F.col("to").alias("b")))
+
+    linked = store.written(sets.select("sh", "least").join(roots.select(F.col("node").alias("sh"), "root"), "sh"), "rooted")
+    least = store.written(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    classes = sets.select("sh", "docs", "least").join(linked.join(least, "root").select("sh", "component_id"), "sh", "left").join(links.groupBy("sh").agg(F.sum("links").alias("links")), "sh", "left")
+    classes = store.written(classes.select("sh", F.coalesce("component_id", "least").alias("component_id"), (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
+    out = rows.join(classes, "sh", "left")
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("sh").alias("set_id"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -14,7 +14,7 @@ def op1_url_filters(spark, sf_dir):
 
 
 def op2_jaccard_join(spark, sf_dir):
-    return jaccard.similarity_classes(_table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
+    return jaccard.similarity_classes(_table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op3_sharding(spark, sf_dir):

@@ -72,18 +72,41 @@ def test_jaccard_join_is_exact(docs, empty):
                 if x and y and 100 * len(x & y) >= percent * len(x | y):
                     a, b = root(i), root(j)
                     up[max(a, b)] = min(a, b)
-        got = rows_of(jaccard.similarity_classes(docs, k, percent).select("doc_id", "n_shingles", "component_id"))
-        assert sorted(got) == sorted((i, len(x), root(i)) for i, x in sets)
+        got = rows_of(jaccard.similarity_classes(docs, k, percent).select("doc_id", "n_shingles", "component_id", "n_links"))
+        links = [sum(a != b and bool(x and y) and 100 * len(x & y) >= percent * len(x | y) for b, (_, y) in enumerate(sets)) for a, (_, x) in enumerate(sets)]
+        assert sorted(got) == sorted((i, len(x), root(i), n) for (i, x), n in zip(sets, links))
     kept = jaccard.one_of_each(docs).collect()
     assert len({r.doc_id for r in kept}) == len(kept) and {62, 63, 64} <= {r.doc_id for r in kept}
     assert jaccard.similarity_classes(empty).count() == 0
 
 
+def test_the_tree_admits_every_pair_that_the_minima_allow():
+    r = np.random.default_rng(5)
+    centre = r.poisson(3, (12, 64))
+    points = np.maximum(0, centre[r.integers(0, 12, 3000)] + r.integers(-1, 2, (3000, 64)) * (r.random((3000, 64)) < 0.2)).astype(np.int32)
+    key, size = r.integers(0, 5, 3000), points.sum(1)
+    tree = jaccard.Tree(key, size, points)
+    got = {tuple(sorted(x)) for p, q in tree.join(85) for x in zip(p.tolist(), q.tolist())}
+    want = set()
+    for a in range(3000):
+        later = np.arange(a + 1, 3000)
+        later = later[key[later] == key[a]]
+        least, most = np.minimum(size[later], size[a]), np.maximum(size[later], size[a])
+        ok = (np.minimum(points[later], points[a]).sum(1) >= jaccard.least_shared(size[later], size[a], 85)) & (least * 100 >= most * 85)
+        want |= {(a, b) for b in later[ok].tolist()}
+    assert got == want and len(tree.levels) >= 2
+    assert 0 < tree.admitted == len(want) <= tree.seen < sum(int((key == k).sum()) ** 2 // 2 for k in range(5))
+
+
+def test_forest_names_the_least_node():
+    assert jaccard.forest(7, np.array([6, 3, 5]), np.array([3, 1, 4])).tolist() == [0, 1, 2, 1, 4, 4, 1]
+
+
 def test_jaccard_join_with_every_shingle_dealt_apart(docs, monkeypatch):
     want = sorted(rows_of(jaccard.similarity_classes(docs, 4, 85)))
     monkeypatch.setattr(jaccard, "HOT", 1)
     monkeypatch.setattr(jaccard, "TILE", 2)
-    monkeypatch.setattr(jaccard, "CLUSTER", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 500)
     assert sorted(rows_of(jaccard.similarity_classes(docs, 4, 85))) == want
 
 
