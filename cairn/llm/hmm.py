@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame, functions as F
 from cairn.llm import exchange, store, textkit
 
 U = np.uint64
-#: Word classes at least; the end of a text is one more. There are as many as the training words' spellings need.
-CLASSES = 4096
+#: Word classes at least; the end of a text is one more. Their number grows as the square root of the training words' spellings.
+CLASSES, SPREAD = 4096, 16
 STATES = 8
 #: Tokens of a block: the states on both sides of a cut come from the product of the blocks' matrices.
 BLOCK = 64
 #: Expected counts are summed as whole multiples of this, so that the order of summing changes nothing.
 UNIT = 1 << 20
+#: Rows of counts that travel as one value.
+PACK = 256
 
 
 def keys(data, offs):
@@ -234,21 +236,31 @@ def _spelt(batches):
     yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(n, texts))], ["spelling", "n"])
 
 
+def _summed(key, table):
+    """The sum of a pack's counts over all tasks."""
+    total = np.zeros(PACK * STATES, np.int64)
+    for x in table.column("counts"):
+        total += np.frombuffer(x.as_buffer(), np.int64)
+    return pa.table({"pack": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
 def train(docs: DataFrame, rounds: int = 16) -> Model:
     """Baum-Welch, every round over all texts of docs; the counts of a round are summed inside tasks and then by Spark.
 
-    There are as many classes as a power of two over the distinct spellings of words, CLASSES at least. The first
-    model is the classes' counts over all texts, disturbed by a fixed seed.
+    There are as many classes as the power of two over SPREAD times the root of the number of distinct spellings,
+    CLASSES at least. The first model is the classes' counts over all texts, disturbed by a fixed seed. A task's counts
+    are rounded to 1 / UNIT, so texts dealt into other tasks may change the last digits of a model.
     """
     texts = store.written(docs.select("text").mapInArrow(_packed, "spellings binary"), "spellings")
     spelt = texts.mapInArrow(_spelt, "spelling long, n long").groupBy("spelling").agg(F.sum("n").alias("n")).toArrow()  # distinct spellings
     spelling, n = (spelt.column(c).to_numpy() for c in ("spelling", "n"))
     word = spelling >= 0
-    size = max(CLASSES, 1 << int(word.sum() - 1).bit_length() if word.any() else 0)
+    size = max(CLASSES, 1 << int(SPREAD * word.sum() ** 0.5 - 1).bit_length() if word.any() else 0)
     base = np.zeros(size + 1)
     np.add.at(base, (textkit.mix(spelling[word].astype(np.uint64)) % U(size)).astype(np.int64), n[word])
     base[size] = n[~word].sum()
     model = Model.initial(base)
+    packs = -(-(size + 2 + STATES) // PACK)
     for _ in range(rounds):
 
         def expect(batches, model=model):
@@ -259,14 +271,17 @@ def train(docs: DataFrame, rounds: int = 16) -> Model:
             if total is not None:
                 start, trans, out = total
                 # rows 0..size are emissions, then one for the starts and STATES for the transitions
-                rows = np.rint(np.concatenate([out.T, start[None], trans]) * UNIT).astype(np.int64)
+                rows = np.zeros((packs * PACK, STATES), np.int64)
+                rows[: size + 2 + STATES] = np.rint(np.concatenate([out.T, start[None], trans]) * UNIT)
+                rows = rows.reshape(packs, -1)
                 keep = np.flatnonzero(rows.any(1))
-                yield pa.RecordBatch.from_arrays([pa.array(keep), *[pa.array(rows[keep, k]) for k in range(STATES)]], ["row", *[f"s{k}" for k in range(STATES)]])
+                yield pa.RecordBatch.from_arrays([pa.array(keep), pa.array([rows[i].tobytes() for i in keep], pa.binary())], ["pack", "counts"])
 
-        got = texts.mapInArrow(expect, "row long, " + ", ".join(f"s{k} long" for k in range(STATES)))
-        got = got.groupBy("row").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES)]).toArrow()  # size + 2 + STATES rows at most
-        total = np.zeros((size + 2 + STATES, STATES))
-        total[got.column("row").to_numpy()] = np.stack([got.column(f"s{k}").to_numpy() for k in range(STATES)], 1) / UNIT
+        got = texts.mapInArrow(expect, "pack long, counts binary").groupBy("pack").applyInArrow(_summed, "pack long, counts binary").toArrow()  # a row for each pack
+        total = np.zeros((packs, PACK * STATES))
+        for pack, counts in zip(got.column("pack").to_pylist(), got.column("counts")):
+            total[pack] = np.frombuffer(counts.as_buffer(), np.int64) / UNIT
+        total = total.reshape(-1, STATES)[: size + 2 + STATES]
         model = Model.of_counts(total[size + 1], total[size + 2 :], total[: size + 1].T)
     store.dropped(texts)
     return model
