@@ -6,20 +6,26 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Elements whose whole content is no article text.
-SKIPPED = frozenset("script style noscript template head title nav footer aside form button select option textarea iframe svg math object canvas audio video map dialog menu datalist".split())
-#: Elements whose content is raw: markup inside isn't parsed.
-RAW = frozenset("script style textarea title noscript iframe template".split())
+#: Elements whose whole content is no text of the page.
+SKIPPED = frozenset("noscript template head button select option textarea iframe svg math object canvas audio video map dialog menu datalist".split())
+#: Elements that tell of no article.
+ASIDE = frozenset("nav footer aside form".split())
+#: Elements whose content is raw, with their ends: markup inside isn't parsed.
+RAW = {x: re.compile(rf"</{x}(?![a-z0-9])[^>]*>?", re.I) for x in "script style textarea title noscript iframe template".split()}
+#: Blocks that hold text without being containers of other blocks.
+PLAIN = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 td th tr pre blockquote".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meter nobr output picture progress q rb rp rt ruby s samp small source span strike strong sub sup time track tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words in class, id or role that mark what is no article.
+#: Names in class, id or role, alone or as a part before or after - or _, that tell of no article.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|newsletter|subscribe|sidebar|side|comments?|respond|disqus|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|share|sharing|social|related|widget|popup|modal|overlay|login|signup|search|pagination|pager|toolbar|complementary|contentinfo)(?:$|[\s_-])",
+    r"(?:\w+[_-])?(?:ads?|advert|adverts|advertisement|banner|sponsor|sponsored|promo|cookie|cookies|consent|notice|gdpr|newsletter|subscribe|sidebar|comments?|respond|disqus|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|sharing|popup|modal|overlay|login|signup|pagination|pager|toolbar|complementary|contentinfo)(?:[_-]\w+)?",
     re.I,
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)(?:>|(?=<)|$)", re.S)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>\"']++))?")
+TELLS = re.compile(r"class|id|role|style", re.I)
+HIDES = re.compile(r"display\s*:\s*none", re.I)
 #: The commonest words of the four languages of the corpus, as fixed values.
 STOP = frozenset(
     "the of and to in a is it that was for on with as by at be this are from or an not they you have had but all he his she her we which their there been were will would what when can more if no out so who has its them than then "
@@ -30,46 +36,70 @@ STOP = frozenset(
 WORDS = re.compile(r"[^\W_]+", re.U)
 WHITE = re.compile(r"\s+")
 #: The published thresholds of this family of rules.
-LONG, SHORT, LINKS, STOP_LOW, STOP_HIGH, REACH = 200, 70, 0.2, 0.30, 0.32, 200
+LONG, SHORT, LINKS, STOP_LOW, STOP_HIGH = 200, 70, 0.2, 0.30, 0.32
 
 
 class Block:
-    __slots__ = ("parts", "linked", "heading", "article", "kind", "text", "length")
+    """A run of text between block-level tags. region: 0 none, 1 article, -1 what tags or names tell is none; step: containers opened or closed before it."""
 
-    def __init__(self, heading, article):
-        self.parts, self.linked, self.heading, self.article = [], 0, heading, article
+    __slots__ = ("parts", "linked", "heading", "region", "step", "kind", "text", "length")
 
+    def __init__(self, heading=False, region=0, step=0):
+        self.parts, self.linked, self.heading, self.region, self.step = [], 0, heading, region, step
 
-def _plain(attributes: str):
-    """(class, id and role; whether the element is hidden)."""
-    said, hidden = [], False
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+
+def _told(attributes: str):
+    """(whether class, id or role name what is no article; whether the element is hidden)."""
+    named, hidden = False, False
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("class", "id", "role"):
-            said.append(value)
-        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            named = named or any(MARKED.fullmatch(x) for x in value.split())
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDES.search(value):
             hidden = True
-    return " ".join(said), hidden
+    return named, hidden
 
 
 def blocks(page: str) -> list:
-    """The text blocks in page order; what SKIPPED, hidden and MARKED elements hold is left out."""
-    out, stack, skip, at, links, article = [], [], 0, 0, 0, 0
-    now = Block(False, 0)
+    """The text blocks in page order, without what SKIPPED and hidden elements hold. Time and memory follow the page's length."""
+    out, stack, open_, now = [], [], {}, Block()
+    skip = away = article = step = at = breaks = 0
+    link = None  # depth of the stack where an anchor was opened
 
     def close(heading=False):
-        nonlocal now
+        nonlocal now, step
         if now.parts:
             out.append(now)
-        now = Block(heading, article)
+            step = 0
+        now = Block(heading)
 
     def put(raw):
+        nonlocal breaks
         if raw and not skip:
             t = entities.unescape(raw)
+            if not now.parts:
+                if not t.strip():
+                    return
+                now.region, now.step = (1 if article and not away else -1 if away else 0), step
+            breaks = breaks if t.isspace() else 0
             now.parts.append(t)
-            if links:
+            if link is not None:
                 now.linked += len("".join(t.split()))
 
+    def pop():
+        nonlocal skip, away, article, link, step
+        tag, skipped, marked, before = stack.pop()
+        open_[tag] -= 1
+        skip -= skipped
+        if tag in ("article", "main"):
+            article, away = article - 1, before
+        else:
+            away -= marked
+        if link is not None and link > len(stack):
+            link = None
+        step += tag not in PLAIN
+        close()
+
     end = len(page)
     while at < end:
         m = TOKEN.search(page, at)
@@ -84,44 +114,47 @@ def blocks(page: str) -> list:
                 put(entities.escape(m[0][9:].removesuffix("]]>")))
             continue
         name = name.lower()
+        if name in INLINE:
+            if name == "a":
+                link = None if m[1] else len(stack)
+            elif name == "img":
+                put(" ")
+            continue
+        if name == "br":  # one is white space, two end a block
+            breaks += 1
+            close() if breaks > 1 else put(" ")
+            continue
         if m[1]:
-            if name == "p" and "p" not in (x[0] for x in stack):
+            if open_.get(name):
+                while stack[-1][0] != name:
+                    pop()
+                pop()
+            else:
                 close()
-            if any(x[0] == name for x in stack):
-                while stack:
-                    tag, skipped = stack.pop()
-                    skip -= skipped
-                    links -= tag == "a"
-                    article -= tag in ("article", "main")
-                    if tag not in INLINE:
-                        close()
-                    if tag == name:
-                        break
             continue
-        if name == "p" or name == "li" or name in HEADINGS:
-            while stack and (stack[-1][0] in INLINE or stack[-1][0] == name == "p" or stack[-1][0] == name == "li"):
-                tag, skipped = stack[-1]
-                if tag in INLINE and not any(x[0] in ("p", "li") for x in stack[-8:]):
-                    break
-                stack.pop()
-                skip -= skipped
-                links -= tag == "a"
-        if name not in INLINE:
-            close(name in HEADINGS)
         if name in RAW:
-            m = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            close()
+            m = RAW[name].search(page, at)
             at = m.end() if m else end
             continue
-        if name in VOID or m[3].rstrip().endswith("/"):
+        if stack and stack[-1][0] == "p":
+            pop()
+        if stack and name in ("li", "tr", "td", "th", "dt", "dd", "option") and stack[-1][0] == name:
+            pop()
+        close(name in HEADINGS)
+        if name in VOID or m[3].endswith("/"):
             continue
-        said, hidden = _plain(m[3])
-        inside = name in SKIPPED or hidden or name == "header" and not article or name not in ("article", "main", "body", "html") and bool(said and MARKED.search(said))
-        stack.append((name, int(inside)))
-        skip += inside
-        links += name == "a"
-        article += name in ("article", "main")
+        named, hidden = _told(m[3]) if TELLS.search(m[3]) else (False, False)
+        marked = int(name in ASIDE or name == "header" and not article or named and name not in ("article", "main", "body", "html", *HEADINGS))
+        skipped = int(name in SKIPPED or hidden)
+        stack.append((name, skipped, marked, away))
+        open_[name] = open_.get(name, 0) + 1
+        skip += skipped
         if name in ("article", "main"):
-            now.article = article
+            article, away = article + 1, 0 if name == "main" or not open_.get("aside") else away
+        else:
+            away += marked
+        step += name not in PLAIN
     close()
     for b in out:
         b.text = WHITE.sub(" ", "".join(b.parts)).strip()
@@ -129,53 +162,82 @@ def blocks(page: str) -> list:
     return [b for b in out if b.text]
 
 
-def classify(found: list) -> None:
-    """Pass 1: bad, good, near-good or short by density and length; pass 2: near-good and short blocks take the label of the nearest decided neighbours."""
-    for b in found:
-        w = WORDS.findall(b.text.lower())
-        density = sum(x in STOP for x in w) / len(w) if w else 0.0
-        linked = b.linked / max(1, len("".join(b.text.split())))
-        if linked > LINKS:
+def first_labels(found: list, regions: bool = True) -> None:
+    """Pass 1, each block by itself: good, near (probably good), short or low (undecided) or bad.
+
+    Much linked text is bad, little text or few stop words leave a block undecided; the rest goes by length and by the density of stop words. An article's
+    tag is evidence: it lowers what is asked, and leaves linked text undecided. What tags and names tell is none is bad.
+    Where no block has the lower density of stop words the page's language is unknown, and length alone decides.
+    """
+    words = [WORDS.findall(b.text.lower()) for b in found]
+    density = [sum(x in STOP for x in w) / len(w) if w else 0.0 for w in words]
+    unknown = not any(d >= STOP_LOW and b.length >= SHORT for b, d in zip(found, density))
+    for b, d in zip(found, density):
+        linked = b.linked > LINKS * len("".join(b.text.split()))
+        d = STOP_HIGH if unknown else d
+        if regions and b.region < 0:
             b.kind = "bad"
-        elif b.article:
-            b.kind = "good" if b.length >= SHORT or density >= STOP_LOW else "short"
+        elif linked:
+            b.kind = "short" if b.region > 0 else "bad"
+        elif b.region > 0:
+            b.kind = "good" if b.length >= SHORT or not unknown and d >= STOP_HIGH and len(b.text.split()) > 3 else "short"
         elif b.length < SHORT:
             b.kind = "short"
-        elif density >= STOP_HIGH:
+        elif d >= STOP_HIGH:
             b.kind = "good" if b.length > LONG else "near"
         else:
-            b.kind = "near" if density >= STOP_LOW else "bad"
-    n = len(found)
-    before, after, last = [None] * n, [None] * n, None
+            b.kind = "near" if d >= STOP_LOW else "low"
+
+
+def second_labels(found: list) -> None:
+    """Pass 2: undecided blocks take the label of the nearest decided neighbours; those in the same container are nearer than others.
+
+    The page's edges count as bad neighbours in other containers. Where both neighbours agree, that is the label, but low
+    blocks need one of them in their own container. Where only one of two that differ stands in the block's container,
+    its label holds. Otherwise near blocks are good, and so are headings before a good block and what stands in an
+    article; short and low ones are bad. On a page without any decided block all undecided ones are good.
+    """
+    n, place = len(found), []
+    for b in found:
+        place.append((place[-1] if place else 0) + b.step)
+    kinds = [b.kind for b in found]
+    decided = [i for i in range(n) if kinds[i] in ("good", "bad")]
+    before, after = [None] * n, [None] * n
     for order, to in ((range(n), before), (range(n - 1, -1, -1), after)):
         last = None
         for i in order:
             to[i] = last
-            if found[i].kind in ("good", "bad"):
-                last = found[i].kind
-    labels = []
+            if kinds[i] in ("good", "bad"):
+                last = i
     for i, b in enumerate(found):
-        if b.kind in ("good", "bad"):
-            labels.append(b.kind)
+        if kinds[i] in ("good", "bad"):
             continue
-        p, q = before[i], after[i]
-        if b.article and (p == "good" or q == "good" or p is q is None):
-            labels.append("good")  # inside the article a short block only follows bad neighbours on both sides
-        elif b.heading:
-            labels.append("good" if q == "good" else "bad")
-        elif p == q:
-            labels.append(p or "bad")
+        if not decided:
+            b.kind = "good"
+            continue
+        (left, near_left), (right, near_right) = ((kinds[x] if x is not None else "bad", x is not None and place[x] == place[i]) for x in (before[i], after[i]))
+        if b.region > 0 and not (near_left or near_right):
+            b.kind = "good"  # an article of undecided blocks alone
+        elif left == right:
+            b.kind = left if kinds[i] != "low" or near_left or near_right or b.region > 0 else "bad"
+        elif near_left != near_right:
+            b.kind = left if near_left else right
         else:
-            labels.append("good" if b.kind == "near" and "good" in (p, q) else "bad")
-    for b, label in zip(found, labels):
-        b.kind = label
+            b.kind = "good" if kinds[i] == "near" or b.region > 0 or b.heading and right == "good" else "bad"
+
+
+def classify(found: list) -> None:
+    """Both passes. Where tags and names leave nothing good (a page inside one form, say), the rules decide without them."""
+    for regions in (True, False):
+        first_labels(found, regions)
+        second_labels(found)
+        if any(b.kind == "good" for b in found):
+            return
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by one newline; empty for null, empty or article-less pages."""
     found = blocks(page or "")
-    if any(b.article for b in found):
-        found = [b for b in found if b.article]
     classify(found)
     return "\n".join(b.text for b in found if b.kind == "good")
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -252,6 +253,40 @@ def test_html_table(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+PROSE = "This is the text of the page, and it is about what was there before they had come to the place. " * 4
+
+
+def test_block_rules_decide_on_pages_without_an_article_tag(monkeypatch):
+    page = f"""<body><div><ul><li><a href=a>Home</a></li><li><a href=b>News of the day</a></li></ul></div><div class="c"><h2>A heading</h2><p>{PROSE}</p>
+    <p>Short one.</p><p>{PROSE}<a href="/hidden/x">with a link</a></p><p>Yes.</p></div><div>All rights kept.</div></body>"""
+    prose = PROSE.strip()
+    want = ["A heading", prose, "Short one.", prose + " with a link", "Yes."]
+    assert html.main_text(page).split("\n") == want
+    as_is = [b.text for b in html.blocks(page)]
+    assert as_is != want and set(want) < set(as_is)  # what the rules drop is in the blocks
+    monkeypatch.setattr(html, "second_labels", lambda found: None)
+    assert html.main_text(page).split("\n") != want  # short blocks need the second pass
+
+
+def test_html_keeps_words_of_attributes_apart_and_loses_no_article_text():
+    assert html.main_text(f'<p title="the hidden truth" data-id="search">{PROSE}</p>') == PROSE.strip()
+    assert html.main_text("<article><p>Yes.</p><p><a href='/hidden/x'>See this</a></p><p>No.</p></article>") == "Yes.\nSee this\nNo."
+    assert html.main_text(f'<div class="related work"><p>{PROSE}</p></div>') == PROSE.strip()
+    assert html.main_text(f'<form class="comment"><p>{PROSE}</p></form>') == PROSE.strip()  # a page inside one form
+    assert html.main_text(f"<article><p>{PROSE}</p></article><div class='comments'><p>{PROSE}</p></div>") == PROSE.strip()
+    assert html.main_text("<article>one<br>two<br><br>three</article>") == "one two\nthree"
+
+
+@pytest.mark.parametrize("piece", ["<div></p>", '<a "', "<b>", "<p><div>", "<!--", "<script ", "<li>", "<div title='", "&#0;"])
+def test_html_time_follows_the_length_of_hostile_pages(piece):
+    took = []
+    for n in (20_000, 40_000):
+        began = time.process_time()
+        html.main_text(piece * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 2 and took[1] < 3.5 * took[0] + 0.2
+
+
 def test_decontamination(spark, docs, empty):
     rows = documents()
     items = [(0, " ".join(words(rows[4][1])[-20:])), (1, "never seen words that are in no document"), (2, None), (3, ""), (4, "One, two three!"), (0, " ".join(words(rows[4][1])[-20:]))]
