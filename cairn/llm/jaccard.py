@@ -350,15 +350,16 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         for back, name in enumerate(EARLIER, 1):
             earlier[name] = np.zeros(len(keep), np.uint64)
             earlier[name][order[back:]] = np.where(nth[order[back:]] >= back, key_of[order[:-back]], U(0))
-        route = np.where(status == 2, textkit.mix(key_of ^ textkit.mix(owner)), key_of)
+        route = key_of ^ np.where(status == 2, textkit.mix(owner), U(0))
         order = np.argsort(route, kind="stable")
-        values = {"key": key_of[order], "sh": owner[order], "n": size[order].astype(np.int32), "hot": (status[order] == 2).astype(np.uint8), "rank": rank[order].astype(np.int32)} | {c: x[order] for c, x in earlier.items()}
+        values = {"sh": owner[order], "n": size[order].astype(np.int32), "hot": (status[order] == 2).astype(np.uint8), "rank": rank[order].astype(np.int32)} | {c: x[order] for c, x in earlier.items()}
         return pa.Table.from_batches([exchange.pack(route[order], values, ranges, key[0].as_py())])
 
     def answer_sets(key, table):
-        key_of, row, _ = exchange.grouped(exchange.unpacked(table, "key", np.uint64))
+        route, row, _ = exchange.grouped(exchange.unpacked(table, "hashes", np.uint64))
         sh = np.concatenate(exchange.unpacked(table, "sh", np.uint64))
         n, hot = (np.concatenate(exchange.unpacked(table, c, t)) for c, t in (("n", np.int32), ("hot", np.uint8)))
+        key_of = route ^ np.where(hot > 0, textkit.mix(sh), U(0))
         rank = np.concatenate(exchange.unpacked(table, "rank", np.int32))
         earlier = {c: np.concatenate(exchange.unpacked(table, c, np.int64)) for c in EARLIER}
         home = table.column("chunk").to_numpy(zero_copy_only=False)[row]
@@ -377,7 +378,7 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     asked = x.groupBy("chunk").applyInArrow(ask_keys, "part int, chunk int, hashes binary, n binary")
     status = asked.groupBy("part").applyInArrow(answer_keys, "chunk int, part int, answer binary")
     more = "".join(f", {c} binary" for c in EARLIER)
-    asked = x.groupBy("chunk").cogroup(status.groupBy("chunk")).applyInArrow(ask_sets, f"part int, chunk int, hashes binary, key binary, sh binary, n binary, hot binary, rank binary{more}")
+    asked = x.groupBy("chunk").cogroup(status.groupBy("chunk")).applyInArrow(ask_sets, f"part int, chunk int, hashes binary, sh binary, n binary, hot binary, rank binary{more}")
     more = "".join(f", {c} long" for c in EARLIER)
     entries = store.written(asked.groupBy("part").applyInArrow(answer_sets, f"key long, sh long, n int, home int, rank int, sets int{more}"), "entries")
     homes = entries.groupBy("sh").agg(F.min("home").alias("home"))
@@ -385,7 +386,12 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     vectors = store.written(rows.join(homes.select("sh"), "sh", "left_semi").groupBy("sh").agg(F.first("n").alias("n"), F.first("vector").alias("vector")), "vectors")
 
     sets = store.written(rows.filter("n > 0").groupBy("sh").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("least")), "set-facts")
-    clusters = components.components(store.written(_joined(entries, vectors, percent), "joined"))
+    store.swept(docs.sparkSession)
+    joined = store.written(_joined(entries, vectors, percent), "joined")
+    homes = store.written(homes, "homes")
+    store.dropped(entries, vectors)
+    store.swept(docs.sparkSession)
+    clusters = components.components(joined)
     met = store.written(clusters.select(F.col("node").alias("sh"), F.col("root").alias("cluster")).join(sets.select("sh", "n", "docs"), "sh").join(homes, "sh"), "met")
     blocks = met.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
     met = met.join(store.written(blocks, "blocks"), "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -395,6 +401,8 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     met = met.select(F.col("home").alias("chunk"), F.pmod("tile", F.lit(deals)).cast("int").alias("deal"), "tile", "own", (F.col("own") == F.col("other")).alias("whole"), "sh", "docs")
     dealt = x.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(fetch, "deal int, tile long, own int, whole boolean, sh long, docs long, shingles binary")
     links = store.written(dealt.groupBy("deal").applyInArrow(_linked(percent), "sh long, to long, links long"), "links")
+    if x.inputFiles():
+        store.unbucketed(x)
     roots = components.components(links.select(F.col("sh").alias("a"), F.col("to").alias("b")))
 
     linked = store.written(sets.select("sh", "least").join(roots.select(F.col("node").alias("sh"), "root"), "sh"), "rooted")

@@ -1,5 +1,6 @@
 """Tables written to the folder that all executors share."""
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,12 @@ def dropped(*tables: DataFrame) -> None:
             path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps now: its cleaner waits for the driver's garbage collections."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -36,4 +43,14 @@ def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     df.repartition(buckets, column).write.bucketBy(buckets, column).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    swept(spark)
     return spark.table(table)
+
+
+def unbucketed(table: DataFrame) -> None:
+    """Removes a table of bucketed() from the catalog and from the folder."""
+    name = next(p for p in table.inputFiles()[:1])
+    spark, path = table.sparkSession, name.rsplit("/", 1)[0]
+    spark.sql(f"DROP TABLE IF EXISTS {path.rsplit('/', 1)[1]}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
