@@ -16,7 +16,9 @@ U = np.uint64
 CLASSES, SPREAD = 4096, 16
 STATES = 8
 #: Tokens of a block: the states on both sides of a cut come from the product of the blocks' matrices.
-BLOCK = 64
+BLOCK = 1024
+#: Bytes of packed spellings (4 a token) that are worked on side by side.
+SLICE = 3 << 20
 #: Expected counts are summed as whole multiples of this, so that the order of summing changes nothing.
 UNIT = 1 << 20
 #: Rows of counts that travel as one value.
@@ -96,18 +98,17 @@ class Model:
         """(matrix, log10 of its factor) of each block, from the state before it to that of its last token; blocks by falling length."""
         s = STATES
         x = np.where(opens[:, None, None], np.broadcast_to(self.start, (s, s)), self.trans) * emit[classes[at]][:, None, :]
-        logs = np.zeros(len(at))
+        y, logs = np.empty_like(x), np.zeros(len(at))
         for t in range(1, BLOCK):
             m = int(np.searchsorted(-size, -t, "left"))
             if not m:
                 break
-            y = (x[:m].reshape(-1, s) @ self.trans).reshape(m, s, s)
-            y *= emit[classes[at[:m] + t]][:, None, :]
+            np.matmul(x[:m].reshape(-1, s), self.trans, out=y[:m].reshape(-1, s))
+            np.multiply(y[:m], emit[classes[at[:m] + t]][:, None, :], out=x[:m])
             if t % 8 == 0:
-                z = y.max((1, 2))
-                y /= z[:, None, None]
+                z = x[:m].max((1, 2))
+                x[:m] /= z[:, None, None]
                 logs[:m] += np.log10(z)
-            x[:m] = y
         z = x.max((1, 2))
         x /= z[:, None, None]
         return x, logs + np.log10(z)
@@ -135,75 +136,90 @@ class Model:
             v[d[a:z]] = w / w.sum(1, keepdims=True)
         return before, after
 
+    def forward(self, classes, first):
+        """The scaled forward recursion of one slice of whole texts, token by token in step for all blocks.
+
+        (blocks, edges of the steps, classes by step, emissions, scaled states, scales, states before and after the
+        blocks); the tokens of step t are those from its edge to the next, in the order of the blocks.
+        """
+        at, size, opens, doc, nth = blocks(classes, first)
+        emit = np.ascontiguousarray(self.emit.T)
+        before, after = self.around(emit, classes, at, size, opens, doc, nth)
+        steps = int(size[0]) if len(size) else 0
+        live = np.searchsorted(-size, -np.arange(steps), "left")  # blocks longer than t
+        edge = np.concatenate([[0], np.cumsum(live)])
+        by_step = np.empty(edge[-1], classes.dtype)
+        for t in range(steps):
+            by_step[edge[t] : edge[t + 1]] = classes[at[: live[t]] + t]
+        e, a, z = _room("e", edge[-1], STATES), _room("a", edge[-1], STATES), _room("z", edge[-1], 1)[:, 0]
+        np.take(emit, by_step, axis=0, out=e, mode="clip")
+        one = np.ones(STATES)
+        for t in range(steps):
+            x = a[edge[t] : edge[t + 1]]
+            if t:
+                np.matmul(a[edge[t - 1] : edge[t - 1] + live[t]], self.trans, out=x)
+            else:
+                x[:] = np.where(opens[:, None], self.start, before @ self.trans)
+            x *= e[edge[t] : edge[t + 1]]
+            w = np.dot(x, one, out=z[edge[t] : edge[t + 1]])
+            x /= w[:, None]
+        return (at, size, opens, doc, nth), edge, by_step, e, a, z, before, after
+
     def counts(self, classes, first):
         """Expected counts (start, transitions, emissions) of one slice of whole texts; cuts into blocks change nothing."""
-        at, size, opens, doc, nth = blocks(classes, first)
-        n, s, width = len(at), STATES, self.emit.shape[1]
+        s, width = STATES, self.emit.shape[1]
         starts, trans, out = np.zeros(s), np.zeros((s, s)), np.zeros((s, width))
+        (at, size, opens, doc, nth), edge, by_step, e, a, z, before, after = self.forward(classes, first)
+        n = len(at)
         if not n:
             return starts, trans, out
-        emit = np.ascontiguousarray(self.emit.T)
-        live = [int(np.searchsorted(-size, -t, "left")) for t in range(BLOCK)]  # blocks longer than t
-        p = self.trans
-        before, after = self.around(emit, classes, at, size, opens, doc, nth)
-        alpha, e, scale = [], [], []
-        for t in range(BLOCK):
-            m = live[t]
-            if not m:
-                break
-            x = emit[classes[at[:m] + t]]
-            a = (np.where(opens[:, None], self.start, before @ p) if t == 0 else alpha[-1][:m] @ p) * x
-            z = a.sum(1, keepdims=True)
-            alpha.append(a / z)
-            e.append(x)
-            scale.append(z)
-        beta, held = np.empty((0, s)), np.empty((len(classes), s))
-        for t in range(len(alpha) - 1, -1, -1):
-            m = live[t]
-            if len(beta) < m:
-                new = after[len(beta) : m]
-                beta = np.concatenate([beta, new / (alpha[t][len(beta) :] * new).sum(1, keepdims=True)])
-            gamma = alpha[t] * beta
-            gamma /= gamma.sum(1, keepdims=True)
-            held[at[:m] + t] = gamma
-            w = e[t] * beta / scale[t]
+        pairs, back, have = np.zeros((s, s)), np.ascontiguousarray(self.trans.T), 0
+        beta = np.empty((n, s))
+        for t in range(len(edge) - 2, -1, -1):
+            m = int(edge[t + 1] - edge[t])
+            x, w = a[edge[t] : edge[t + 1]], e[edge[t] : edge[t + 1]]
+            if have < m:
+                beta[have:m] = after[have:m] / (x[have:] * after[have:m]).sum(1, keepdims=True)
+                have = m
+            w *= beta[:m]
+            w /= z[edge[t] : edge[t + 1], None]
             if t:
-                trans += p * (alpha[t - 1][:m].T @ w)
-                beta = w @ p.T
+                pairs += a[edge[t - 1] : edge[t - 1] + m].T @ w
+                gamma = x * beta[:m]
+                np.matmul(w, back, out=beta[:m])
             else:
+                gamma = x * beta[:m]
                 starts += gamma[opens].sum(0)
-                trans += p * (before[~opens].T @ w[~opens])
+                pairs += before[~opens].T @ w[~opens]
+            w[:] = gamma
+        e /= (e @ np.ones(s))[:, None]
         for k in range(s):
-            out[k] = np.bincount(classes, held[:, k], width)
-        return starts, trans, out
+            out[k] = np.bincount(by_step, e[:, k], width)
+        return starts, self.trans * pairs, out
 
     def log10(self, classes, first):
-        """log10 likelihood of each whole text's classes.
-
-        Each block's scaled forward recursion runs from all states at once, for many blocks side by side; a text's
-        blocks are then chained in order. A text's first token takes the start probabilities.
-        """
-        at, size, opens, doc, nth = blocks(classes, first)
-        n, s = len(at), STATES
+        """log10 likelihood of each whole text's classes: the scales of the forward recursion. A text's first token takes the start probabilities."""
+        (at, size, opens, doc, nth), edge, _, _, _, z, _, _ = self.forward(classes, first)
         total = np.zeros(len(first) - 1)
-        if not n:
-            return total
-        emit = np.ascontiguousarray(self.emit.T)
-        x, logs = self.products(emit, classes, at, size, opens)
-        np.add.at(total, doc, logs)
-        order = np.lexsort((doc, nth))
-        doc, nth, x = doc[order], nth[order], x[order]
-        v = np.full((len(total), s), 1 / s)
-        edges = np.searchsorted(nth, np.arange(int(nth[-1]) + 2))
-        for a, z in zip(edges[:-1], edges[1:]):  # the i-th blocks of all texts that have so many
-            d = doc[a:z]
-            w = np.einsum("nk,nkl->nl", v[d], x[a:z])
-            q = w.sum(1)
-            v[d] = w / q[:, None]
-            total[d] += np.log10(q)
+        logs = np.log10(z)
+        for t in range(len(edge) - 1):
+            np.add.at(total, doc[: edge[t + 1] - edge[t]], logs[edge[t] : edge[t + 1]])
         return total
 
 
+_rooms = {}
+
+
+def _room(name, n, width):
+    """An uninitialised n x width array whose memory is used again; one larger than a slice asks for isn't kept."""
+    if len(_rooms.get(name, ())) < n or _rooms[name].shape[1] != width:
+        x = np.empty((max(n, SLICE // 4), width))
+        if n > SLICE:
+            return x[:n]
+        _rooms[name] = x
+    return _rooms[name][:n]
+
+
 def held_out(doc_id, folds: int = 7, fold: int = 2):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
@@ -219,7 +235,7 @@ def _packed(batches):
 def _unpacked(batches):
     """(spellings, first) of slices of whole texts, as _packed wrote them."""
     for b in batches:
-        for _, data, offs in textkit.slices(b.column(0)):
+        for _, data, offs in textkit.slices(b.column(0), SLICE):
             yield np.frombuffer(data.tobytes(), np.uint32), offs // 4
 
 
