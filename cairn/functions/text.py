@@ -25,9 +25,17 @@ def extension(filename: Column) -> Column:
     return F.regexp_extract(F.lower(filename), r"\.[^./]*$", 0)
 
 
+#: The characters that trimming takes: white space and the byte order mark, as fixed values.
+SPACES = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def trimmed(value: Column) -> Column:
+    return F.btrim(value, F.lit(SPACES))
+
+
 def without_comments(source: Column) -> Column:
-    """source without block and line comments, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(source, r"(?s)/\*.*?\*/", ""), r"//[^\n]*", ""))
+    """source without block and line comments, whichever starts first, and trimmed."""
+    return trimmed(F.regexp_replace(source, r"(?s)/\*.*?\*/|//[^\n\r]*", ""))
 
 
 def is_probability(value: Column) -> Column:

@@ -68,3 +68,8 @@ def by_places(ids: list[str], rows: DataFrame, key: str) -> DataFrame:
     if gone := sorted(set(ids) - {r[0] for r in out.collect()}):  # no more rows than the list has
         raise ValueError(f"unknown ids: {', '.join(gone)}")
     return wanted.join(rows, key)
+
+
+def unique_by_range(rows: DataFrame, key: str, ord: str) -> DataFrame:
+    """rows(key, start, end, ord) with one row for each key and range, that of the least ord."""
+    return rows.groupBy(key, "start", "end").agg(F.min(ord).alias(ord))

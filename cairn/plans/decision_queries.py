@@ -27,7 +27,7 @@ def j21_resolved_rules(spark, sf_dir):
     sev = F.element_at(F.array(F.lit("warn"), F.lit("error"), F.lit("off"), F.lit("loud")), (F.col("p_partkey") % 4 + 1).cast("int"))
     rule = F.when(F.col("p_partkey") % 9 == 0, F.col("p_brand")).otherwise(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")))
     config = p.select("p_partkey", rule.alias("rule_id"), sev.alias("severity"))
-    plugins = p.filter("p_partkey % 5 < 2 AND p_size <= 30").select(F.col("p_brand").alias("namespace"), F.col("p_size").cast("string").alias("name"))
+    plugins = p.filter("p_size <= 30").select(F.col("p_brand").alias("namespace"), F.col("p_size").cast("string").alias("name"))
     return decisions.resolved_rules(config, plugins).select("p_partkey", "cap", "problem")
 
 
@@ -150,7 +150,7 @@ def x03_halves(spark, sf_dir):
 
 
 def e27_location(spark, sf_dir):
-    x = _t(spark, sf_dir, "documents").select("doc_id", text.line_and_column(F.col("text"), F.least(F.lit(300), F.length("text"))).alias("at"))
+    x = _t(spark, sf_dir, "documents").select("doc_id", text.line_and_column(F.col("text"), F.length("text")).alias("at"))
     return x.select("doc_id", "at.line", "at.column")
 
 
@@ -167,10 +167,6 @@ def parsed_findings(o):
     return x.select("o_orderkey", "check_id", "path", "line", "problem")
 
 
-def s11_findings(spark, sf_dir):
-    return parsed_findings(_t(spark, sf_dir, "orders").filter("o_orderkey % 10 < 3"))
-
-
 def s10_drift(spark, sf_dir):
     p = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("source"), "p_partkey")
     manifest = p.filter("p_partkey % 7 <> 0").select("id", F.sha2(F.when(F.col("p_partkey") % 5 == 0, F.lit("old")).otherwise(F.col("source")), 256).alias("sha256"))
@@ -178,7 +174,7 @@ def s10_drift(spark, sf_dir):
 
 
 def k01_stylish(spark, sf_dir):
-    l = _t(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
+    l = _t(spark, sf_dir, "lineitem")
     x = l.select(F.col("l_orderkey").alias("line"), F.col("l_linenumber").alias("column"), F.lit("warning").alias("severity"), F.col("l_returnflag").alias("message"), (F.floor("l_quantity") / 64).alias("probability"), F.lit("a/b").alias("rule_id"))
     return sinks.stylish(x).select("text")
 
@@ -191,7 +187,7 @@ QUERIES = {
     d02_severity: """SELECT l_orderkey, l_linenumber, max(CASE WHEN l_orderkey % 11 = 0 OR l_tax * 12 < 0.25 OR l_discount * 10 < 0.35 THEN NULL WHEN l_discount * 10 >= 0.65 AND l_returnflag <> 'R' THEN 'error' ELSE 'warning' END) AS severity
  FROM lineitem GROUP BY 1, 2""",
     d03_choice_gate: "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_custkey % 2 = 0 THEN round(o_totalprice / 1000000, 6) WHEN o_orderstatus = 'P' AND o_custkey % 2 = 1 THEN 0 END AS p FROM orders",
-    j21_resolved_rules: """WITH q AS (SELECT DISTINCT p_brand AS ns, CAST(p_size AS VARCHAR) AS name FROM part WHERE p_partkey % 5 < 2 AND p_size <= 30),
+    j21_resolved_rules: """WITH q AS (SELECT DISTINCT p_brand AS ns, CAST(p_size AS VARCHAR) AS name FROM part WHERE p_size <= 30),
  x AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'syntax' WHEN p_brand NOT IN (SELECT ns FROM q) THEN 'no plugin' WHEN (p_brand, CAST(p_size AS VARCHAR)) NOT IN (SELECT (ns, name) FROM q) THEN 'no rule'
  WHEN p_partkey % 4 = 3 THEN 'configuration' END AS problem FROM part)
  SELECT p_partkey, CASE WHEN problem IS NULL THEN ['warning', 'error', NULL, NULL][p_partkey % 4 + 1] END AS cap, problem FROM x""",
@@ -227,13 +223,11 @@ QUERIES = {
     a22_accepted: "SELECT o_orderkey, o_custkey % 5 = 0 AND o_orderstatus = 'O' AND (o_custkey % 2 <> 0 OR o_totalprice > 100000) AS accepted FROM orders",
     x03_halves: "SELECT doc_id, CASE WHEN length(text) <= 40 THEN text ELSE left(text, 20) || chr(10) || '[cut]' || chr(10) || right(text, 20) END AS t, substr(text, 11, 45) AS near FROM documents",
     e27_location: """SELECT doc_id, CAST(length(p) - length(replace(p, chr(10), '')) + 1 AS INT) AS line, CAST(length(p) - coalesce(length(regexp_extract(p, '(?s)^(.*\\n)', 1)), 0) + 1 AS INT) AS "column"
- FROM (SELECT doc_id, left(text, 300) AS p FROM documents)""",
+ FROM (SELECT doc_id, text AS p FROM documents)""",
     f09_sql_structure: "SELECT p_partkey, p_size > 20 AS paginated, p_partkey % 2 = 0 AS ordered FROM part",
-    s11_findings: """SELECT o_orderkey, CASE WHEN good THEN o_orderstatus END AS check_id, CASE WHEN good THEN o_orderpriority END AS path, CASE WHEN good AND o_custkey % 6 <> 0 THEN CAST(o_custkey % 90 AS INT) END AS line,
- CASE WHEN NOT good THEN 'report' WHEN o_custkey % 6 = 0 THEN 'finding' END AS problem FROM (SELECT *, o_custkey % 8 <> 1 AS good FROM orders WHERE o_orderkey % 10 < 3)""",
     s10_drift: """SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 11 = 0 THEN 'missing' WHEN p_partkey % 7 = 0 THEN 'unexpected' ELSE 'changed' END AS problem FROM part
  WHERE (p_partkey % 11 = 0) <> (p_partkey % 7 = 0) OR (p_partkey % 5 = 0 AND p_partkey % 11 <> 0 AND p_partkey % 7 <> 0)""",
-    k01_stylish: "SELECT l_orderkey || ':1  warning  ' || l_returnflag || ' (' || CAST(floor(floor(l_quantity) / 64 * 100 + 0.5) AS BIGINT) || '%)  a/b' AS text FROM lineitem WHERE l_linenumber = 1",
+    k01_stylish: "SELECT l_orderkey || ':' || l_linenumber || '  warning  ' || l_returnflag || ' (' || CAST(floor(floor(l_quantity) / 64 * 100 + 0.5) AS BIGINT) || '%)  a/b' AS text FROM lineitem",
 }
 
 

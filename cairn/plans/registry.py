@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text
 from cairn.operators import evidence, joins, metrics
-from cairn.plans import decision_queries, range_queries, whole_queries
+from cairn.plans import decision_queries, fact_queries, range_queries, whole_queries
 
 
 def _t(spark, sf_dir, name):
@@ -69,13 +69,6 @@ def w02_bounded_prefix(spark, sf_dir):
     return evidence.bounded_prefix(_t(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", 300).select("conv_id", "turn")
 
 
-def j01_smallest_enclosing(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("k"), F.col("o_orderkey").alias("id"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("start"), F.floor("o_totalprice").alias("len"))
-    outer = o.filter("id % 3 <> 0").select("k", "id", "start", (F.col("start") + F.col("len") * 60).alias("end"))
-    inner = o.filter("id % 3 = 0").select("k", "id", "start", (F.col("start") + F.col("len")).alias("end"))
-    return joins.smallest_enclosing(inner, outer, "k", 1 << 22).select("k", "id", "outer_id")
-
-
 def j08_region_as_of(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
     left = e.filter("event_type <> 'click'").select("user_id", "event_id", "ts")
@@ -88,17 +81,6 @@ def j13_unique_name(spark, sf_dir):
     return joins.unique_name_join(p.select("p_name").distinct(), p, "p_name")
 
 
-def j07_line_suppression(spark, sf_dir):
-    l = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("rule"))
-    d = l.filter("file % 5 = 0").select("file", "line", F.when(F.col("file") % 10 == 0, F.array(F.lit("R"))).alias("rules"))
-    return joins.suppressed(l, d, "file").groupBy("rule").agg(F.count(F.lit(1)).alias("kept"))
-
-
-def o01_ordered_findings(spark, sf_dir):
-    n = _t(spark, sf_dir, "nation")
-    return n.select("n_name", "n_regionkey").orderBy("n_name", "n_regionkey")
-
-
 def x01_bounded_evidence(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", text.bounded_evidence(F.col("text"), 61).alias("evidence"))
 
@@ -112,16 +94,6 @@ def a24_bounded_unique(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(evidence.bounded_unique(x, 5), "|").alias("words"))
 
 
-def u02_missing_ids(spark, sf_dir):
-    d, l = (_t(spark, sf_dir, n).select("doc_id") for n in ("documents", "labels"))
-    return d.join(l, "doc_id", "left_anti")
-
-
-def k07_exit_code(spark, sf_dir):
-    x = F.when(F.bool_or(F.col("o_orderstatus") == "X"), 2).when(F.bool_or(F.col("o_orderpriority") == "1-URGENT"), 1).otherwise(0)
-    return _t(spark, sf_dir, "orders").agg(x.alias("exit_code"))
-
-
 def a02_run_counters(spark, sf_dir):
     x = _t(spark, sf_dir, "events")
     return x.agg(F.count(F.lit(1)).alias("requests"), F.countDistinct("user_id").alias("files"), F.count_if(F.col("event_type") == "click").alias("cache_hits"))
@@ -140,17 +112,10 @@ ORACLES = {
     "a01_group_by_state": "SELECT sha256(text) AS state_hash, count(*) AS candidates, min(doc_id) AS first_ord FROM documents GROUP BY text",
     "w01_question_index": "SELECT doc_id, CAST(row_number() OVER (PARTITION BY text ORDER BY doc_id) - 1 AS INT) AS question FROM documents",
     "w02_bounded_prefix": "SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - 1 AS s FROM conversations) WHERE s <= 300",
-    "j01_smallest_enclosing": """WITH o AS (SELECT o_custkey % 50 AS k, o_orderkey AS id, CAST(epoch(o_orderdate) AS BIGINT) AS s, CAST(floor(o_totalprice) AS BIGINT) AS n FROM orders)
- SELECT i.k, i.id, (SELECT o.id FROM o WHERE o.k = i.k AND o.id % 3 <> 0 AND o.s <= i.s AND o.s + o.n * 60 >= i.s + i.n ORDER BY o.n, o.s, o.id LIMIT 1) AS outer_id FROM o i WHERE i.id % 3 = 0""",
     "j08_region_as_of": "SELECT l.event_id, (SELECT max_by(r.event_id, (r.ts, r.event_id)) FROM events r WHERE r.event_type = 'click' AND r.user_id = l.user_id AND r.ts <= l.ts) AS click_id FROM events l WHERE l.event_type <> 'click'",
     "j13_unique_name": "SELECT p_name, CASE WHEN count(*) = 1 THEN min(p_partkey) END AS p_partkey FROM part GROUP BY p_name",
-    "j07_line_suppression": """SELECT l_returnflag AS rule, count(*) AS kept FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem d WHERE d.l_orderkey = l.l_orderkey AND d.l_linenumber = l.l_linenumber
- AND d.l_orderkey % 5 = 0 AND (d.l_orderkey % 10 <> 0 OR l.l_returnflag = 'R')) GROUP BY 1""",
-    "o01_ordered_findings": "SELECT n_name, n_regionkey FROM nation ORDER BY n_name, n_regionkey",
     "x01_bounded_evidence": "SELECT doc_id, CASE WHEN length(text) <= 61 THEN text ELSE left(text, 28) || ' ... ' || right(text, 28) END AS evidence FROM documents",
     "x09_sanitize_id": "SELECT p_partkey, regexp_replace(p_brand || '/' || p_type, '[^A-Za-z0-9_-]', '_', 'g') AS id FROM part",
-    "u02_missing_ids": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "k07_exit_code": "SELECT CAST(CASE WHEN bool_or(o_orderstatus = 'X') THEN 2 WHEN bool_or(o_orderpriority = '1-URGENT') THEN 1 ELSE 0 END AS INT) AS exit_code FROM orders",
     "a05_abstention": """SELECT o_orderpriority, count(*) FILTER (o_totalprice > 150000) AS expected, count(*) FILTER (o_custkey % 7 <> 0 AND o_orderstatus = 'O') AS actual,
  count(*) FILTER (o_custkey % 7 <> 0 AND o_orderstatus = 'O' AND o_totalprice > 150000) AS correct,
  count(*) FILTER (o_custkey % 7 <> 0 AND o_orderstatus = 'O' AND NOT o_totalprice > 150000) AS unexpected FROM orders GROUP BY 1""",
@@ -171,7 +136,7 @@ def flagship(spark, sf_dir):
     return a04_detection_by_rule(spark, sf_dir).orderBy("lang")
 
 
-FAMILIES = [range_queries, decision_queries, whole_queries]
+FAMILIES = [range_queries, decision_queries, whole_queries, fact_queries]
 
 
 def queries() -> dict:

@@ -21,7 +21,7 @@ def candidates(files: DataFrame, tool: str = "cairn") -> DataFrame:
     """
     notes = scripts.comments(files)
     asked = rules.comment_candidates(notes, tool).withColumn("state", F.to_json(F.struct(text.bounded_evidence(F.col("value"), 1000).alias("comment"), F.col("style").alias("style"))))
-    code = rules.security_candidates(functions.bounded(functions.functions(files)))
+    code = rules.security_candidates(functions.bounded(functions.functions(files), None))
     code = code.withColumn("state", F.to_json(F.struct(F.slice("callees", 1, 20).alias("calls"), text.bounded_evidence(F.col("source"), 4000).alias("function"), "name")))
     found = asked.select(*PLACE, "rule_id", "state").unionByName(code.select(*PLACE, "rule_id", "state"))
     return unsuppressed(found, notes, tool)

@@ -192,7 +192,8 @@ def functions(files: DataFrame, tests=frozenset(TESTS)) -> DataFrame:
     return files.select("filename", "source").mapInPandas(run, f"filename string, {FUNCTIONS}")
 
 
-def bounded(functions: DataFrame, most: int = 12000, kind: str = "function") -> DataFrame:
-    """The functions of a kind whose text is not empty and not longer than the budget, with the callees they call."""
-    x = functions.filter((F.col("kind") == kind) & F.length("source").between(1, most))
+def bounded(functions: DataFrame, most: int | None = 12000, kind: str = "function") -> DataFrame:
+    """The functions of a kind whose text is not empty and not longer than the budget (None: of any length), with the callees they call."""
+    x = functions.filter((F.col("kind") == kind) & (F.length("source") >= 1))
+    x = x if most is None else x.filter(F.length("source") <= most)
     return x.withColumn("callees", F.transform("calls", lambda c: c["callee"]))

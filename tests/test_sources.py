@@ -1,5 +1,7 @@
 """Sources over small fixtures."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from cairn.functions import text
@@ -57,9 +59,16 @@ def test_reports(spark):
     assert [tuple(r) for r in got] == [("r", "m", "x y/id1/a+b.ts", 3, "id1"), ("", "", None, None, None)]
     pages = spark.createDataFrame([('{"total": 1, "issues": [{"key": "k", "rule": "r", "component": "c", "message": "m", "status": "s"}]}',), ('{"issues": []}',), ('{"total": 0, "issues": []}',)], "json string")
     assert [(r.rule, r.problem) for r in reports.issues(pages, "json").collect()] == [("r", None), (None, "page")]
-    corpus = '{"defaults": {"filename": "d.ts"}, "fixtures": [{"id": "a", "ruleId": "r", "source": "x", "expectedFinding": true}, {"id": "b", "ruleId": "r", "filename": "f.ts", "source": "x"}]}'
-    got = reports.fixtures(spark.createDataFrame([(corpus,)], "json string"), "json").orderBy("id").collect()
-    assert [(r.id, r.filename, r.problem) for r in got] == [("a", "d.ts", None), ("b", "f.ts", "incomplete")]
+    case = lambda i, **x: {"id": i, "filename": "f.ts", "source": "s", "rationale": "why", "rule_id": "a/b", "expected_finding": True, "tags": ["t"]} | x
+    corpus = {"default_expected_candidates": 1, "rule_choices": {"a/b": {"finding": "bad", "safe": "good"}}}
+    corpus["fixtures"] = [case("a"), case("b", expected_finding=False, expected_candidates=2), case("c", tags=None), case("d", expected_candidates=0, expected_choice="bad"), case("e"), case("e"), case("f", rule_id="b/c"), case("g", expected_choices=["x", "y"], expected_candidates=2)]
+    got = reports.fixtures(spark.createDataFrame([(json.dumps(corpus),), (json.dumps([case("z", expected_candidates=1, expected_choice="bad")]),), ("x",)], "json string"), "json").collect()
+    told = {r.id: (r.expected_choices, r.problem) for r in got}
+    assert told["a"] == (["bad"], None) and told["b"] == (["good", "good"], None) and told["g"] == (["x", "y"], None) and told["z"] == (["bad"], None) and told[None][1] == "corpus"
+    assert [told[i][1] for i in "cdef"] == ["incomplete", "choices", "repeated", "choices"]
+    manifest = {"schemaVersion": 1, "corpus": "c", "pinnedFixtureList": "p", "officialSuite": "s", "cases": [{"id": "a", "sourceSha256": "h", "scope": "native", "reason": "r"}, {"id": "b", "sourceSha256": "h", "scope": "odd", "reason": "r"}]}
+    got = reports.scope_manifest(spark.createDataFrame([(json.dumps(manifest),), ("{}",)], "json string"), "json").collect()
+    assert sorted((r.id or "", r.problem or "") for r in got) == [("", "manifest"), ("a", ""), ("b", "entry")]
     ids = spark.createDataFrame([('["a", "b"]',), ('["a", "a"]',), ("[]",), ("x",)], "j string").select(reports.unique_ids(F.col("j")).alias("i")).collect()
     assert [r.i for r in ids] == [["a", "b"], None, None, None]
 
