@@ -17,6 +17,8 @@ CLASSES, SPREAD = 4096, 16
 STATES = 8
 #: Tokens of a block: the states on both sides of a cut come from the product of the blocks' matrices.
 BLOCK = 1024
+#: Steps between scalings of the states: emissions are smoothed, so that a few of their products are far from the least double.
+SCALE = 4
 #: Bytes of packed spellings (4 a token) that are worked on side by side.
 SLICE = 3 << 20
 #: Expected counts are summed as whole multiples of this, so that the order of summing changes nothing.
@@ -94,65 +96,88 @@ class Model:
         emit = emit + 20.0 * base
         return cls((start + 0.1) / (start + 0.1).sum(), (trans + 0.1) / (trans + 0.1).sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
-    def products(self, emit, classes, at, size, opens):
-        """(matrix, log10 of its factor) of each block, from the state before it to that of its last token; blocks by falling length."""
+    def products(self, emit, classes, at):
+        """The matrix of each whole block, from the state before it to that of its last token, up to a factor."""
         s = STATES
-        x = np.where(opens[:, None, None], np.broadcast_to(self.start, (s, s)), self.trans) * emit[classes[at]][:, None, :]
-        y, logs = np.empty_like(x), np.zeros(len(at))
+        x = np.broadcast_to(self.trans, (len(at), s, s)) * emit[classes[at]][:, None, :]
+        y = np.empty_like(x)
         for t in range(1, BLOCK):
-            m = int(np.searchsorted(-size, -t, "left"))
-            if not m:
-                break
-            np.matmul(x[:m].reshape(-1, s), self.trans, out=y[:m].reshape(-1, s))
-            np.multiply(y[:m], emit[classes[at[:m] + t]][:, None, :], out=x[:m])
+            np.matmul(x.reshape(-1, s), self.trans, out=y.reshape(-1, s))
+            np.multiply(y, emit[classes[at + t]][:, None, :], out=x)
             if t % 8 == 0:
-                z = x[:m].max((1, 2))
-                x[:m] /= z[:, None, None]
-                logs[:m] += np.log10(z)
-        z = x.max((1, 2))
-        x /= z[:, None, None]
-        return x, logs + np.log10(z)
-
-    def around(self, emit, classes, at, size, opens, doc, nth):
-        """(states before, likelihood after) of each block, both up to a factor: the exact messages across the cuts of its text."""
+                x /= x.max((1, 2))[:, None, None]
+        return x / x.max((1, 2))[:, None, None]
+
+    def first_states(self, emit, classes, at):
+        """The states after each whole block that opens its text."""
+        v = self.start * emit[classes[at]]
+        for t in range(1, BLOCK):
+            v = v @ self.trans * emit[classes[at + t]]
+            if t % SCALE == 0:
+                v /= v.sum(1, keepdims=True)
+        return v / v.sum(1, keepdims=True)
+
+    def last_likelihoods(self, emit, classes, at, size):
+        """The likelihood of each block that ends its text, by the state before it, up to a factor; blocks by falling length."""
+        u, back = np.ones((len(at), STATES)), np.ascontiguousarray(self.trans.T)
+        for t in range(int(size[0]) - 1, -1, -1):
+            m = int(np.searchsorted(-size, -t, "left"))
+            u[:m] = (emit[classes[at[:m] + t]] * u[:m]) @ back
+            if t % SCALE == 0:
+                u[:m] /= u[:m].sum(1, keepdims=True)
+        return u
+
+    def around(self, emit, classes, at, size, opens, doc, nth, backward):
+        """(states before, likelihood after) of each block, both up to a factor: the exact messages across the cuts of its text.
+
+        Only blocks with neighbours on both sides need a matrix; the ends of a text pass one vector on.
+        """
         before, after = np.zeros((len(at), STATES)), np.ones((len(at), STATES))
-        long = np.flatnonzero((np.bincount(doc) > 1)[doc])
-        if not len(long):
+        ends = np.bincount(doc)[doc] - 1 == nth if len(doc) else opens
+        first, last, inner = np.flatnonzero(opens & ~ends), np.flatnonzero(~opens & ends), np.flatnonzero(~opens & ~ends)
+        if not len(first):
             return before, after
-        x, _ = self.products(emit, classes, at[long], size[long], opens[long])
-        order = np.lexsort((doc[long], nth[long]))
-        b, x = long[order], x[order]
-        d, place = doc[b], nth[b]
-        edges = np.searchsorted(place, np.arange(int(place[-1]) + 2))
-        v = np.full((int(d.max()) + 1, STATES), 1 / STATES)
-        for a, z in zip(edges[:-1], edges[1:]):
-            before[b[a:z]] = v[d[a:z]]
-            w = np.einsum("nk,nkl->nl", v[d[a:z]], x[a:z])
-            v[d[a:z]] = w / w.sum(1, keepdims=True)
-        v = np.ones_like(v)
-        for a, z in zip(edges[-2::-1], edges[:0:-1]):
-            after[b[a:z]] = v[d[a:z]]
-            w = np.einsum("nkl,nl->nk", x[a:z], v[d[a:z]])
-            v[d[a:z]] = w / w.sum(1, keepdims=True)
+        inner = inner[np.argsort(nth[inner], kind="stable")]
+        edges = np.flatnonzero(np.diff(nth[inner], prepend=0, append=-1))
+        spans = list(zip(edges[:-1], edges[1:]))
+        x = self.products(emit, classes, at[inner])
+        v = np.empty((int(doc.max()) + 1, STATES))
+        v[doc[first]] = self.first_states(emit, classes, at[first])
+        for i, k in spans:
+            d = doc[inner[i:k]]
+            before[inner[i:k]] = v[d]
+            w = np.einsum("nk,nkl->nl", v[d], x[i:k])
+            v[d] = w / w.sum(1, keepdims=True)
+        before[last] = v[doc[last]]
+        if backward:
+            v[doc[last]] = self.last_likelihoods(emit, classes, at[last], size[last])
+            for i, k in spans[::-1]:
+                d = doc[inner[i:k]]
+                after[inner[i:k]] = v[d]
+                w = np.einsum("nkl,nl->nk", x[i:k], v[d])
+                v[d] = w / w.sum(1, keepdims=True)
+            after[first] = v[doc[first]]
         return before, after
 
-    def forward(self, classes, first):
+    def forward(self, classes, first, backward=True):
         """The scaled forward recursion of one slice of whole texts, token by token in step for all blocks.
 
         (blocks, edges of the steps, classes by step, emissions, scaled states, scales, states before and after the
-        blocks); the tokens of step t are those from its edge to the next, in the order of the blocks.
+        blocks); the tokens of step t are those from its edge to the next, in the order of the blocks. States are scaled
+        at the steps that SCALE divides and at the last of each block; the other scales are 1.
         """
         at, size, opens, doc, nth = blocks(classes, first)
         emit = np.ascontiguousarray(self.emit.T)
-        before, after = self.around(emit, classes, at, size, opens, doc, nth)
+        before, after = self.around(emit, classes, at, size, opens, doc, nth, backward)
         steps = int(size[0]) if len(size) else 0
-        live = np.searchsorted(-size, -np.arange(steps), "left")  # blocks longer than t
-        edge = np.concatenate([[0], np.cumsum(live)])
-        by_step = np.empty(edge[-1], classes.dtype)
+        live = np.searchsorted(-size, -np.arange(steps + 1), "left")  # blocks longer than t
+        edge = np.concatenate([[0], np.cumsum(live[:steps])])
+        by_step = np.empty(edge[-1], np.intp)
         for t in range(steps):
             by_step[edge[t] : edge[t + 1]] = classes[at[: live[t]] + t]
         e, a, z = _room("e", edge[-1], STATES), _room("a", edge[-1], STATES), _room("z", edge[-1], 1)[:, 0]
         np.take(emit, by_step, axis=0, out=e, mode="clip")
+        z[:] = 1.0
         one = np.ones(STATES)
         for t in range(steps):
             x = a[edge[t] : edge[t + 1]]
@@ -161,50 +186,50 @@ class Model:
             else:
                 x[:] = np.where(opens[:, None], self.start, before @ self.trans)
             x *= e[edge[t] : edge[t + 1]]
-            w = np.dot(x, one, out=z[edge[t] : edge[t + 1]])
-            x /= w[:, None]
+            ending = 0 if t % SCALE == 0 else live[t + 1]
+            w = np.dot(x[ending:], one)
+            z[edge[t] + ending : edge[t + 1]] = w
+            x[ending:] /= w[:, None]
         return (at, size, opens, doc, nth), edge, by_step, e, a, z, before, after
 
     def counts(self, classes, first):
         """Expected counts (start, transitions, emissions) of one slice of whole texts; cuts into blocks change nothing."""
         s, width = STATES, self.emit.shape[1]
-        starts, trans, out = np.zeros(s), np.zeros((s, s)), np.zeros((s, width))
+        starts, out = np.zeros(s), np.zeros((s, width))
         (at, size, opens, doc, nth), edge, by_step, e, a, z, before, after = self.forward(classes, first)
         n = len(at)
         if not n:
-            return starts, trans, out
+            return starts, np.zeros((s, s)), out
         pairs, back, have = np.zeros((s, s)), np.ascontiguousarray(self.trans.T), 0
         beta = np.empty((n, s))
         for t in range(len(edge) - 2, -1, -1):
             m = int(edge[t + 1] - edge[t])
             x, w = a[edge[t] : edge[t + 1]], e[edge[t] : edge[t + 1]]
+            ending = 0 if t % SCALE == 0 else have
             if have < m:
                 beta[have:m] = after[have:m] / (x[have:] * after[have:m]).sum(1, keepdims=True)
                 have = m
             w *= beta[:m]
-            w /= z[edge[t] : edge[t + 1], None]
+            w[ending:] /= z[edge[t] + ending : edge[t + 1], None]
+            x *= beta[:m]  # the states' probabilities from here on
             if t:
                 pairs += a[edge[t - 1] : edge[t - 1] + m].T @ w
-                gamma = x * beta[:m]
                 np.matmul(w, back, out=beta[:m])
-            else:
-                gamma = x * beta[:m]
-                starts += gamma[opens].sum(0)
-                pairs += before[~opens].T @ w[~opens]
-            w[:] = gamma
-        e /= (e @ np.ones(s))[:, None]
-        for k in range(s):
-            out[k] = np.bincount(by_step, e[:, k], width)
+        starts += a[:n][opens].sum(0)
+        pairs += before[~opens].T @ w[~opens]
+        step = max(1 << 14, width)
+        for i in range(0, len(by_step), step):
+            for k, x in enumerate(np.ascontiguousarray(a[i : i + step].T)):
+                out[k] += np.bincount(by_step[i : i + step], x, width)
         return starts, self.trans * pairs, out
 
     def log10(self, classes, first):
         """log10 likelihood of each whole text's classes: the scales of the forward recursion. A text's first token takes the start probabilities."""
-        (at, size, opens, doc, nth), edge, _, _, _, z, _, _ = self.forward(classes, first)
-        total = np.zeros(len(first) - 1)
-        logs = np.log10(z)
+        (at, size, opens, doc, nth), edge, _, _, _, z, _, _ = self.forward(classes, first, backward=False)
+        logs, of_block = np.log10(z), np.zeros(len(at))
         for t in range(len(edge) - 1):
-            np.add.at(total, doc[: edge[t + 1] - edge[t]], logs[edge[t] : edge[t + 1]])
-        return total
+            of_block[: edge[t + 1] - edge[t]] += logs[edge[t] : edge[t + 1]]
+        return np.bincount(doc, of_block, len(first) - 1)
 
 
 _rooms = {}

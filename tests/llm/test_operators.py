@@ -391,6 +391,19 @@ def test_expected_counts_cross_block_cuts():
         assert np.allclose(got, want, rtol=1e-9, atol=1e-12)
 
 
+def test_cuts_change_no_count_and_no_score(monkeypatch):
+    r = np.random.default_rng(7)
+    m = hmm.Model(r.dirichlet(np.ones(hmm.STATES)), r.dirichlet(np.ones(hmm.STATES), hmm.STATES), r.dirichlet(np.ones(41), hmm.STATES))
+    sizes = [1, 6, 7, 8, 13, 14, 15, 21, 22, 200, 1, 500]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    classes = r.integers(0, 41, first[-1]).astype(np.int32)
+    want = [*m.counts(classes, first), m.log10(classes, first)]
+    for block in (7, 4, 1):
+        monkeypatch.setattr(hmm, "BLOCK", block)
+        for x, y in zip([*m.counts(classes, first), m.log10(classes, first)], want):
+            assert np.allclose(x, y, rtol=1e-9, atol=1e-12)
+
+
 def test_training_takes_every_text_and_grows(spark, monkeypatch):
     texts = [f"{a}{b}c{c}{d} " * (30 if a == "z" else 2) for a in "xyz" for b in "ab" for c in "ef" for d in "gh"] + ["long " * 6000]
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
