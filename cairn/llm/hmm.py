@@ -12,15 +12,15 @@ from pyspark.sql import DataFrame, functions as F
 from cairn.llm import exchange, store, textkit
 
 U = np.uint64
-#: Word classes at least; the end of a text is one more. Their number grows as the square root of the training words' spellings.
+#: Word classes at least; the end of a text is one more. Their number is a power of two and grows as the root of the training words' spellings.
 CLASSES, SPREAD = 4096, 16
 STATES = 8
 #: Tokens of a block: the states on both sides of a cut come from the product of the blocks' matrices.
 BLOCK = 1024
 #: Steps between scalings of the states: emissions are smoothed, so that a few of their products are far from the least double.
-SCALE = 4
-#: Bytes of packed spellings (4 a token) that are worked on side by side.
-SLICE = 3 << 20
+SCALE = 8
+#: Bytes of packed hashes of spellings (4 a token) that are worked on side by side.
+SLICE = 6 << 20
 #: Expected counts are summed as whole multiples of this, so that the order of summing changes nothing.
 UNIT = 1 << 20
 #: Rows of counts that travel as one value.
@@ -28,9 +28,9 @@ PACK = 256
 
 
 def keys(data, offs):
-    """(word hashes, spellings, first) with one end token after each text's words; the end's hash is 0.
+    """(word hashes, hashes of spellings, first) with one end token after each text's words; the end's hashes are 0.
 
-    A spelling is a word's first byte and its last three.
+    A spelling is a word's first byte and its last three; 32 bits of its hash are kept, so that no round hashes again.
     """
     starts, ends, h, first = textkit.words(data, offs)
     n, docs = len(h), len(offs) - 1
@@ -46,13 +46,13 @@ def keys(data, offs):
     out_h, out_c = np.zeros(n + docs, np.uint64), np.zeros(n + docs, np.uint32)
     word = np.ones(n + docs, bool)
     word[first[1:] - 1] = False
-    out_h[word], out_c[word] = np.where(h == 0, U(1), h), c
+    out_h[word], out_c[word] = np.where(h == 0, U(1), h), textkit.mix(c) & U(0xFFFFFFFF)
     return out_h, out_c, first
 
 
 def classes_of(spellings, first, size):
-    """The class of each word of texts, by a hash of its spelling; that of a text's end is `size`."""
-    out = (textkit.mix(spellings.astype(np.uint64)) % U(size)).astype(np.int32)
+    """The class of each word of texts, by the low bits of its spelling's hash; that of a text's end is `size`, a power of two."""
+    out = (spellings & np.uint32(size - 1)).astype(np.int32)
     out[first[1:] - 1] = size
     return out
 
@@ -64,15 +64,20 @@ def tokens(data, offs, size=CLASSES):
 
 
 def blocks(classes, first):
-    """(block starts, lengths, is the first of its text, text, place in the text) in order of falling length."""
+    """(starts, lengths, text, place in the text, those that open a text, of these and of the others those that don't end it) of the blocks.
+
+    Blocks that open a text come first; in both parts those that don't end their text do, all of them whole, and lengths fall.
+    """
     count = np.diff(first)
     each = -(-count // BLOCK)
     doc = np.repeat(np.arange(len(count)), each)
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
     start = first[:-1][doc] + nth * BLOCK
     size = np.minimum(BLOCK, first[1:][doc] - start)
-    order = np.argsort(-size, kind="stable")
-    return start[order], size[order], nth[order] == 0, doc[order], nth[order]
+    ends = nth == each[doc] - 1
+    order = np.lexsort((-size, ends, nth > 0))
+    opening, whole = nth == 0, ~ends
+    return start[order], size[order], doc[order], nth[order], int(opening.sum()), int((opening & whole).sum()), int((~opening & whole).sum())
 
 
 class Model:
@@ -98,125 +103,129 @@ class Model:
 
     def products(self, emit, classes, at):
         """The matrix of each whole block, from the state before it to that of its last token, up to a factor."""
-        s = STATES
-        x = np.broadcast_to(self.trans, (len(at), s, s)) * emit[classes[at]][:, None, :]
-        y = np.empty_like(x)
+        s, n = STATES, len(at)
+        x, y = np.empty((s, n, s)), np.empty((s, n, s))  # by the state before, the block, the state after: a step's emissions lie alike for all states before
+        np.multiply(self.trans[:, None, :], emit[classes[at]], out=x)
         for t in range(1, BLOCK):
             np.matmul(x.reshape(-1, s), self.trans, out=y.reshape(-1, s))
-            np.multiply(y, emit[classes[at + t]][:, None, :], out=x)
+            np.multiply(y, emit[classes[at + t]], out=x)
             if t % 8 == 0:
-                x /= x.max((1, 2))[:, None, None]
-        return x / x.max((1, 2))[:, None, None]
-
-    def first_states(self, emit, classes, at):
-        """The states after each whole block that opens its text."""
-        v = self.start * emit[classes[at]]
-        for t in range(1, BLOCK):
-            v = v @ self.trans * emit[classes[at + t]]
-            if t % SCALE == 0:
-                v /= v.sum(1, keepdims=True)
-        return v / v.sum(1, keepdims=True)
-
-    def last_likelihoods(self, emit, classes, at, size):
-        """The likelihood of each block that ends its text, by the state before it, up to a factor; blocks by falling length."""
-        u, back = np.ones((len(at), STATES)), np.ascontiguousarray(self.trans.T)
-        for t in range(int(size[0]) - 1, -1, -1):
-            m = int(np.searchsorted(-size, -t, "left"))
-            u[:m] = (emit[classes[at[:m] + t]] * u[:m]) @ back
-            if t % SCALE == 0:
-                u[:m] /= u[:m].sum(1, keepdims=True)
-        return u
-
-    def around(self, emit, classes, at, size, opens, doc, nth, backward):
-        """(states before, likelihood after) of each block, both up to a factor: the exact messages across the cuts of its text.
-
-        Only blocks with neighbours on both sides need a matrix; the ends of a text pass one vector on.
-        """
-        before, after = np.zeros((len(at), STATES)), np.ones((len(at), STATES))
-        ends = np.bincount(doc)[doc] - 1 == nth if len(doc) else opens
-        first, last, inner = np.flatnonzero(opens & ~ends), np.flatnonzero(~opens & ends), np.flatnonzero(~opens & ~ends)
-        if not len(first):
-            return before, after
-        inner = inner[np.argsort(nth[inner], kind="stable")]
-        edges = np.flatnonzero(np.diff(nth[inner], prepend=0, append=-1))
-        spans = list(zip(edges[:-1], edges[1:]))
-        x = self.products(emit, classes, at[inner])
-        v = np.empty((int(doc.max()) + 1, STATES))
-        v[doc[first]] = self.first_states(emit, classes, at[first])
-        for i, k in spans:
-            d = doc[inner[i:k]]
-            before[inner[i:k]] = v[d]
-            w = np.einsum("nk,nkl->nl", v[d], x[i:k])
-            v[d] = w / w.sum(1, keepdims=True)
-        before[last] = v[doc[last]]
-        if backward:
-            v[doc[last]] = self.last_likelihoods(emit, classes, at[last], size[last])
-            for i, k in spans[::-1]:
-                d = doc[inner[i:k]]
-                after[inner[i:k]] = v[d]
-                w = np.einsum("nkl,nl->nk", x[i:k], v[d])
-                v[d] = w / w.sum(1, keepdims=True)
-            after[first] = v[doc[first]]
-        return before, after
-
-    def forward(self, classes, first, backward=True):
-        """The scaled forward recursion of one slice of whole texts, token by token in step for all blocks.
-
-        (blocks, edges of the steps, classes by step, emissions, scaled states, scales, states before and after the
-        blocks); the tokens of step t are those from its edge to the next, in the order of the blocks. States are scaled
-        at the steps that SCALE divides and at the last of each block; the other scales are 1.
-        """
-        at, size, opens, doc, nth = blocks(classes, first)
-        emit = np.ascontiguousarray(self.emit.T)
-        before, after = self.around(emit, classes, at, size, opens, doc, nth, backward)
-        steps = int(size[0]) if len(size) else 0
-        live = np.searchsorted(-size, -np.arange(steps + 1), "left")  # blocks longer than t
-        edge = np.concatenate([[0], np.cumsum(live[:steps])])
-        by_step = np.empty(edge[-1], np.intp)
-        for t in range(steps):
-            by_step[edge[t] : edge[t + 1]] = classes[at[: live[t]] + t]
-        e, a, z = _room("e", edge[-1], STATES), _room("a", edge[-1], STATES), _room("z", edge[-1], 1)[:, 0]
-        np.take(emit, by_step, axis=0, out=e, mode="clip")
-        z[:] = 1.0
-        one = np.ones(STATES)
-        for t in range(steps):
-            x = a[edge[t] : edge[t + 1]]
+                x /= x.max((0, 2))[:, None]
+        return np.ascontiguousarray((x / x.max((0, 2))[:, None]).transpose(1, 0, 2))
+
+    def step_through(self, emit, by_step, live, edge, entry, a, z):
+        """The scaled forward recursion over the blocks of one part, in step; entry is what each block's first token has from before."""
+        one, room = np.ones(STATES), np.empty((live[0], STATES))
+        for t in range(len(live) - 1):
+            x, e = a[edge[t] : edge[t + 1]], room[: live[t]]
             if t:
                 np.matmul(a[edge[t - 1] : edge[t - 1] + live[t]], self.trans, out=x)
             else:
-                x[:] = np.where(opens[:, None], self.start, before @ self.trans)
-            x *= e[edge[t] : edge[t + 1]]
+                x[:] = entry
+            np.take(emit, by_step[edge[t] : edge[t + 1]], axis=0, out=e, mode="clip")
+            x *= e
             ending = 0 if t % SCALE == 0 else live[t + 1]
-            w = np.dot(x[ending:], one)
-            z[edge[t] + ending : edge[t + 1]] = w
-            x[ending:] /= w[:, None]
-        return (at, size, opens, doc, nth), edge, by_step, e, a, z, before, after
+            if ending < live[t]:
+                w = np.dot(x[ending:], one)
+                z[edge[t] + ending : edge[t + 1]] = w
+                x[ending:] /= w[:, None]
 
-    def counts(self, classes, first):
-        """Expected counts (start, transitions, emissions) of one slice of whole texts; cuts into blocks change nothing."""
-        s, width = STATES, self.emit.shape[1]
-        starts, out = np.zeros(s), np.zeros((s, width))
-        (at, size, opens, doc, nth), edge, by_step, e, a, z, before, after = self.forward(classes, first)
-        n = len(at)
-        if not n:
-            return starts, np.zeros((s, s)), out
-        pairs, back, have = np.zeros((s, s)), np.ascontiguousarray(self.trans.T), 0
-        beta = np.empty((n, s))
-        for t in range(len(edge) - 2, -1, -1):
-            m = int(edge[t + 1] - edge[t])
-            x, w = a[edge[t] : edge[t + 1]], e[edge[t] : edge[t + 1]]
+    def step_back(self, emit, by_step, live, edge, lo, hi, after, before, a, z, pairs):
+        """The backward recursion over the blocks lo to hi of one part, given the likelihood after each and the states before each, if any.
+
+        a becomes the states' probabilities, pairs gains the transitions' shares. The likelihood of each block by the state before it, up to a factor.
+        """
+        back, have = np.ascontiguousarray(self.trans.T), 0
+        beta, room = np.empty((hi - lo, STATES)), np.empty((hi - lo, STATES))
+        for t in range(len(live) - 2, -1, -1):
+            m, p = min(live[t], hi) - lo, edge[t] + lo
+            if m <= 0:
+                continue
+            x, w = a[p : p + m], room[:m]
+            np.take(emit, by_step[p : p + m], axis=0, out=w, mode="clip")
             ending = 0 if t % SCALE == 0 else have
             if have < m:
                 beta[have:m] = after[have:m] / (x[have:] * after[have:m]).sum(1, keepdims=True)
                 have = m
             w *= beta[:m]
-            w[ending:] /= z[edge[t] + ending : edge[t + 1], None]
-            x *= beta[:m]  # the states' probabilities from here on
+            if ending < m:
+                w[ending:] /= z[p + ending : p + m, None]
+            x *= beta[:m]
             if t:
-                pairs += a[edge[t - 1] : edge[t - 1] + m].T @ w
-                np.matmul(w, back, out=beta[:m])
-        starts += a[:n][opens].sum(0)
-        pairs += before[~opens].T @ w[~opens]
+                pairs += a[edge[t - 1] + lo : edge[t - 1] + lo + m].T @ w
+            elif before is not None:
+                pairs += before.T @ w
+            np.matmul(w, back, out=beta[:m])
+        return beta / beta.sum(1, keepdims=True)
+
+    def forward(self, classes, first):
+        """The scaled forward recursion of one slice of whole texts, token by token in step for all blocks of a part.
+
+        The blocks that open a text go first; matrices of those inside it carry their states to where the others start, so
+        the states before a block are exact. (blocks, parts, classes by step, emissions, scaled states, scales, spans and
+        matrices of the inner blocks, states before the blocks); a part's tokens of step t are those from its edge to
+        the next, in the order of its blocks. States are scaled at the steps that SCALE divides and at the last of each
+        block; the other scales are 1.
+        """
+        found = at, size, doc, nth, opening, whole, inside = blocks(classes, first)
+        emit = np.ascontiguousarray(self.emit.T)
+        parts, done = [], 0
+        by_step = np.empty(first[-1], np.intp)
+        for lo, hi in ((0, opening), (opening, len(at))):
+            live = np.searchsorted(-size[lo:hi], -np.arange(size[lo] + 1 if lo < hi else 1), "left")  # blocks longer than t
+            edge = done + np.concatenate([[0], np.cumsum(live[:-1])])
+            for t in range(len(live) - 1):
+                by_step[edge[t] : edge[t + 1]] = classes[at[lo : lo + live[t]] + t]
+            parts.append((live.tolist(), edge.tolist()))
+            done = edge[-1]
+        a, z = _room("a", done, STATES), _room("z", done, 1)[:, 0]
+        z[:] = 1.0
+        before, spans, x = np.zeros((len(at), STATES)), [], None
+        (live, edge), others = parts
+        self.step_through(emit, by_step, live, edge, self.start, a, z)
+        if whole:
+            v = np.empty((len(first) - 1, STATES))
+            v[doc[:whole]] = a[edge[BLOCK - 1] : edge[BLOCK - 1] + whole]
+            if inside:
+                inner = opening + np.argsort(nth[opening : opening + inside], kind="stable")
+                edges = np.flatnonzero(np.diff(nth[inner], prepend=0, append=-1))
+                x = self.products(emit, classes, at[inner])
+                spans = [(inner[i:k], x[i:k]) for i, k in zip(edges[:-1], edges[1:])]
+            for i, x in spans:
+                before[i] = v[doc[i]]
+                w = np.einsum("nk,nkl->nl", v[doc[i]], x)
+                v[doc[i]] = w / w.sum(1, keepdims=True)
+            last = slice(opening + inside, len(at))
+            before[last] = v[doc[last]]
+            self.step_through(emit, by_step, *others, before[opening:] @ self.trans, a, z)
+        return found, parts, by_step, emit, a, z, spans, before
+
+    def counts(self, classes, first):
+        """Expected counts (start, transitions, emissions) of one slice of whole texts; cuts into blocks change nothing.
+
+        Backward, the blocks that end a longer text go first, and the matrices carry their likelihoods to the others.
+        """
+        s, width = STATES, self.emit.shape[1]
+        out, pairs = np.zeros((s, width)), np.zeros((s, s))
+        if len(first) < 2:
+            return np.zeros(s), pairs, out
+        (at, size, doc, nth, opening, whole, inside), parts, by_step, emit, a, z, spans, before = self.forward(classes, first)
+        n = len(at)
+        after = np.ones((n, s))
+        if whole:
+            last = slice(opening + inside, n)
+            v = np.empty((len(first) - 1, s))
+            v[doc[last]] = self.step_back(emit, by_step, *parts[1], inside, n - opening, after[last], before[last], a, z, pairs)
+            for i, x in spans[::-1]:
+                after[i] = v[doc[i]]
+                w = np.einsum("nkl,nl->nk", x, v[doc[i]])
+                v[doc[i]] = w / w.sum(1, keepdims=True)
+            after[:whole] = v[doc[:whole]]
+            if inside:
+                inner = slice(opening, opening + inside)
+                self.step_back(emit, by_step, *parts[1], 0, inside, after[inner], before[inner], a, z, pairs)
+        self.step_back(emit, by_step, *parts[0], 0, opening, after[:opening], None, a, z, pairs)
+        starts = a[:opening].sum(0)
         step = max(1 << 14, width)
         for i in range(0, len(by_step), step):
             for k, x in enumerate(np.ascontiguousarray(a[i : i + step].T)):
@@ -225,10 +234,13 @@ class Model:
 
     def log10(self, classes, first):
         """log10 likelihood of each whole text's classes: the scales of the forward recursion. A text's first token takes the start probabilities."""
-        (at, size, opens, doc, nth), edge, _, _, _, z, _, _ = self.forward(classes, first, backward=False)
+        if len(first) < 2:
+            return np.zeros(0)
+        (at, _, doc, _, opening, _, _), parts, _, _, _, z, _, _ = self.forward(classes, first)
         logs, of_block = np.log10(z), np.zeros(len(at))
-        for t in range(len(edge) - 1):
-            of_block[: edge[t + 1] - edge[t]] += logs[edge[t] : edge[t + 1]]
+        for lo, (live, edge) in zip((0, opening), parts):
+            for t in range(len(live) - 1):
+                of_block[lo : lo + live[t]] += logs[edge[t] : edge[t + 1]]
         return np.bincount(doc, of_block, len(first) - 1)
 
 
@@ -298,7 +310,7 @@ def train(docs: DataFrame, rounds: int = 16) -> Model:
     word = spelling >= 0
     size = max(CLASSES, 1 << int(SPREAD * word.sum() ** 0.5 - 1).bit_length() if word.any() else 0)
     base = np.zeros(size + 1)
-    np.add.at(base, (textkit.mix(spelling[word].astype(np.uint64)) % U(size)).astype(np.int64), n[word])
+    np.add.at(base, spelling[word] & (size - 1), n[word])
     base[size] = n[~word].sum()
     model = Model.initial(base)
     packs = -(-(size + 2 + STATES) // PACK)
