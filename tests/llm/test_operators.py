@@ -404,6 +404,22 @@ def test_cuts_change_no_count_and_no_score(monkeypatch):
             assert np.allclose(x, y, rtol=1e-9, atol=1e-12)
 
 
+@pytest.mark.parametrize("sizes", [[], [1], [40], [8] * 3, [7, 9, 16, 17], [100, 1]])
+def test_rare_classes_and_odd_slices_need_no_more_scaling(monkeypatch, sizes):
+    r = np.random.default_rng(8)
+    emit = r.dirichlet(np.ones(5), hmm.STATES) * np.array([1, 1, 1e-25, 1e-25, 1])
+    m = hmm.Model(r.dirichlet(np.ones(hmm.STATES)), r.dirichlet(np.ones(hmm.STATES), hmm.STATES), emit)
+    first = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    classes = np.where(np.arange(first[-1]) % 30 < 20, r.integers(2, 4, first[-1]), r.integers(0, 5, first[-1])).astype(np.int32)
+    monkeypatch.setattr(hmm, "BLOCK", 8)
+    got = [*m.counts(classes, first), m.log10(classes, first)]
+    monkeypatch.setattr(hmm, "BLOCK", 1000)
+    monkeypatch.setattr(hmm, "SCALE", 1)
+    for x, y in zip(got, [*m.counts(classes, first), m.log10(classes, first)]):
+        assert np.isfinite(x).all() and np.allclose(x, y, rtol=1e-9, atol=1e-12)
+    assert np.isclose(got[2].sum(), sum(sizes)) and np.isclose(got[0].sum(), len(sizes))
+
+
 def test_training_takes_every_text_and_grows(spark, monkeypatch):
     texts = [f"{a}{b}c{c}{d} " * (30 if a == "z" else 2) for a in "xyz" for b in "ab" for c in "ef" for d in "gh"] + ["long " * 6000]
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
