@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cairn.operators import selections
+from cairn.operators import metrics, selections
 from cairn.plans.tables import table as _t
 
 
@@ -90,6 +90,20 @@ def k03_explained(spark, sf_dir):
     return selections.explained(selections.final_decisions(x)).select("o_orderkey", "text")
 
 
+def a18_scenario_comparison(spark, sf_dir):
+    x = _t(spark, sf_dir, "orders").select(_pick(F.col("o_custkey"), "uncached", "cold", "warm").alias("scenario"), (F.col("o_orderkey") % 100).alias("ms"))
+    return metrics.scenario_comparison(x.groupBy("scenario").agg(F.avg("ms").alias("mean"), F.count("*").alias("requests")))
+
+
+def a19_cache_behaves(spark, sf_dir):
+    key = F.col("r_regionkey")
+    calls = F.when(key < 2, 5).when(key == 3, 1).otherwise(0)
+    x = _t(spark, sf_dir, "region").select(_pick(key, "uncached", "cold", "warm", "incremental", "other").alias("scenario"), calls.alias("requests"), (F.lit(5) - calls).alias("cache_hits"))
+    cases = {"right": x, "fewer": x, "repeated": x.unionByName(x), "missed": x.withColumn("requests", F.when(F.col("scenario") == "warm", 1).otherwise(F.col("requests")))}
+    out = [metrics.cache_behaves(c, 4 if name == "fewer" else 5).select(F.lit(name).alias("name"), "valid") for name, c in cases.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 QUERIES = {
     f06_database_call: "SELECT p_partkey, p_partkey % 8 IN (0, 1, 3, 4) OR p_partkey % 8 = 2 AND p_size % 2 = 0 AS found, p_partkey % 8 = 5 AS own FROM part",
     f07_in_iteration: "SELECT p_partkey, p_size > 3 AND (p_partkey % 4 = 0 OR p_partkey % 4 IN (1, 2) AND p_size % 3 = 0) AS within FROM part",
@@ -105,4 +119,8 @@ QUERIES = {
     j18_message_dispatch: """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 4 = 0 ELSE p_size BETWEEN 10 AND 40 AND (p_partkey % 4 = 0 AND p_size % 3 = 0 OR p_partkey % 4 = 1 AND p_size % 3 = 1) END AS reads FROM part""",
     k03_explained: """SELECT o_orderkey, '  f' || o_custkey || ':3:7  a/b  ' || CASE o_custkey % 3 WHEN 0 THEN 'choice=' || o_orderpriority || ' confidence=0.50' WHEN 1 THEN 'score=0.25 confidence=0.50' ELSE 'noul=0.25' END
  || '  ' || CASE WHEN o_orderstatus = 'F' THEN 'diagnostic' ELSE 'accepted' END || '  m' AS text FROM orders WHERE o_orderstatus <> 'P'""",
+    a18_scenario_comparison: """WITH m AS (SELECT o_custkey % 3 AS s, avg(o_orderkey % 100) AS mean, count(*) AS n FROM orders GROUP BY 1)
+ SELECT max(mean) FILTER (s = 1) / nullif(max(mean) FILTER (s = 0), 0) AS cold_overhead, max(mean) FILTER (s = 0) / nullif(max(mean) FILTER (s = 2), 0) AS warm_speedup,
+ max(n) FILTER (s = 0) - max(n) FILTER (s = 2) AS calls_avoided FROM m""",
+    a19_cache_behaves: "SELECT * FROM (VALUES ('right', true), ('fewer', false), ('repeated', false), ('missed', false)) x(name, valid)",
 }
