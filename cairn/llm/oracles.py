@@ -56,4 +56,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged LEFT JOIN share ON judged.rid = share.rid
 """
 
-SQL = {"op4_quality_rules": QUALITY, "op7_mixing": MIXING}
+
+
+def vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Vectors of 64 components; every distance is taken, which is the brute-force version of the trees."""
+    nearest = """{name} AS MATERIALIZED (
+  SELECT v.vec_id, v.p, min_by(c.e, (c.d, c.e)) AS e, min(c.d) AS d
+  FROM parts v, LATERAL (SELECT b.e, list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM {books} b WHERE b.p = v.p) c
+  GROUP BY v.vec_id, v.p)"""
+    moved = """{name} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.x, b.x) AS x
+  FROM {books} b LEFT JOIN (
+    SELECT p, e, list(c ORDER BY i) AS x
+    FROM (SELECT a.p, a.e, i, (sum(v.x[i + 1]) - ((sum(v.x[i + 1]) % count(*)) + count(*)) % count(*)) // count(*) AS c
+          FROM {found} a JOIN parts v USING (vec_id, p), range({step}) r(i) GROUP BY a.p, a.e, i)
+    GROUP BY p, e) m USING (p, e))"""
+    step = 64 // parts
+    steps = [
+        "kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS x FROM embeddings"
+        " WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"parts AS MATERIALIZED (SELECT vec_id, p, x[{step} * p + 1 : {step} * p + {step}] AS x FROM kept, range({parts}) r(p))",
+        f"b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries}))",
+    ]
+    for r in range(rounds):
+        steps += [nearest.format(name=f"a{r}", books=f"b{r}"), moved.format(name=f"b{r + 1}", books=f"b{r}", found=f"a{r}", step=step)]
+    steps += [nearest.format(name="found", books=f"b{rounds}"), "coded AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM found GROUP BY vec_id)"]
+    return (
+        "WITH " + ",\n".join(steps) + "\nSELECT k.vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,"
+        f" (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256 FROM kept k JOIN coded USING (vec_id)"
+    )
+
+
+SQL = {"op12_vector_codes": vector_codes(), "op4_quality_rules": QUALITY, "op7_mixing": MIXING}

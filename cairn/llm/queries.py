@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, hmm, html, jaccard, langid, mixing, oracles, quality, repeats, sharding, url_filter
+from cairn.llm import decontaminate, hmm, html, jaccard, langid, mixing, oracles, quality, repeats, sharding, token_align, url_filter, vector_codes
 
 
 def _table(spark, sf_dir, name):
@@ -52,6 +52,14 @@ def op10_language_id(spark, sf_dir):
     return langid.identify(docs.select("doc_id", held.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_token_alignment(spark, sf_dir):
+    return token_align.alignment_digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.code_digest(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
