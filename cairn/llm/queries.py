@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, hmm, html, jaccard, langid, mixing, oracles, quality, repeats, sharding, token_align, url_filter, vector_codes
+from cairn.llm import decontaminate, hmm, html, jaccard, langid, mixing, oracles, pii, quality, repeats, sharding, token_align, url_filter, vector_codes
 
 
 def _table(spark, sf_dir, name):
@@ -60,6 +60,10 @@ def op12_vector_codes(spark, sf_dir):
     return vector_codes.code_digest(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_pii(spark, sf_dir):
+    return pii.pii_digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
