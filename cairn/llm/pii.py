@@ -49,6 +49,11 @@ CUES = {
 AGAINST = "version|ver|v|isbn|issn|id|sha|hash|token|key|order|invoice|page|art|doi|section|build|release"
 
 
+def _bound(value: str, name: str, body: str) -> str:
+    """SQL: body with a name for a value, which is worked out once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
 def _located(x: DataFrame, name: str, pattern: str, guard: Column, around: int = 24, block: int = 256) -> DataFrame:
     """x with `name`: an array of (start, end, value, before, behind) for each match of the pattern in _text.
 
@@ -59,15 +64,17 @@ def _located(x: DataFrame, name: str, pattern: str, guard: Column, around: int =
     some = F.size(m) > 0
     x = x.withColumn(m, F.when(guard, F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
     x = x.withColumn(p, F.when(some, F.split("_text", pattern, -1)))
-    x = x.withColumn("_lengths", F.when(some, F.expr(f"transform({m}, (m, i) -> cast(length(get({p}, i)) + length(m) as bigint))")))
-    x = x.withColumn("_blocks", F.when(some, F.expr(f"transform(sequence(0, (size({m}) - 1) div {block}), k -> slice(_lengths, cast(k * {block} + 1 as int), {block}))")))
-    x = x.withColumn("_sums", F.expr("transform(_blocks, b -> aggregate(b, 0L, (a, v) -> a + v))"))
-    x = x.withColumn("_bases", F.expr("transform(_sums, (s, k) -> aggregate(slice(_sums, 1, k), 0L, (a, v) -> a + v))"))
-    x = x.withColumn("_starts", F.expr("flatten(transform(_blocks, (b, k) -> transform(b, (v, i) -> get(_bases, k) + aggregate(slice(b, 1, i), 0L, (a, w) -> a + w))))"))
+    # Arrays are bound to names: a column that one lambda uses would be worked out again for each element.
+    total = "0L, (a, v) -> a + v"
+    inside = f"zip_with(blocks, transform(sums, (s, k) -> aggregate(slice(sums, 1, k), {total})), (b, o) -> transform(b, (v, i) -> o + aggregate(slice(b, 1, i), {total})))"
+    starts = _bound(f"transform(blocks, b -> aggregate(b, {total}))", "sums", f"flatten({inside})")
+    starts = _bound(f"transform(sequence(0, (size(lengths) - 1) div {block}), k -> slice(lengths, cast(k * {block} + 1 as int), {block}))", "blocks", starts)
+    starts = _bound(f"transform({m}, (m, i) -> cast(length(get({p}, i)) + length(m) as bigint))", "lengths", starts)
+    x = x.withColumn("_starts", F.when(some, F.expr(starts)))
     start = f"get(_starts, i) + length(get({p}, i))"
     found = F.expr(f"transform({m}, (m, i) -> struct({start} as start, {start} + length(m) as end, m as value, right(get({p}, i), {around}) as before, left(get({p}, i + 1), {around}) as behind))")
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,before:string,behind:string>>")
-    return x.withColumn(name, F.when(some, found).otherwise(none)).drop(m, p, "_lengths", "_blocks", "_sums", "_bases", "_starts")
+    return x.withColumn(name, F.when(some, found).otherwise(none)).drop(m, p, "_starts")
 
 
 def _luhn(digits: str) -> str:
@@ -120,7 +127,7 @@ def _votes() -> str:
         return "case c.kind " + " ".join(f"when {i} then {v}" for i, v in enumerate(cases)) + " end"
 
     strict = by_kind(
-        rf"if(c.value rlike {_quoted('^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+$')}, 1, 0)",
+        rf"if(c.value rlike {_quoted('^[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:[.][A-Za-z0-9-]++)++$')}, 1, 0)",
         rf"if(c.value rlike {_quoted('^[0-9]{1,3}([.][0-9]{1,3}){3}$')}, 1, 0)",
         rf"if(c.value rlike {_quoted('^[0-9]{15,16}$|^[0-9]{4}([ -])[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}$')}, 1, 0)",
         rf"if(c.value rlike {_quoted('^[+][0-9]{1,3}[ -]?[(]?[0-9]')}, 1, 0)",
