@@ -139,5 +139,6 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: fl
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without the documents that contain an item; only the text decides, so repeated or null ids take no other rows with them."""
     text = F.xxhash64("text")
-    bad = contained_items(docs.select(text.alias("doc_id"), "text"), items, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.withColumn("_text", text).join(bad, F.col("_text") == F.col("_bad"), "left_anti").select(*docs.columns)
+    bad = contained_items(docs.select(text.alias("doc_id"), "text"), items, **options).select(F.col("doc_id").alias("bad")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("key"))
+    return rows.join(bad, F.col("key") == F.col("bad"), "left_anti").select("row.*")

@@ -422,11 +422,11 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     text = F.xxhash64("text")
     classes = similarity_classes(docs.select(text.alias("doc_id"), "text"), k, percent)
-    classes = classes.select(F.col("doc_id").alias("_text"), F.col("component_id").alias("_class"), (F.col("n_shingles") > 0).alias("_worded")).distinct()
-    rows = docs.withColumn("_text", text)
-    least = rows.groupBy("_text").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("_first")).join(classes.filter("_worded"), "_text")
-    keep = least.groupBy("_class").agg(F.min(F.struct("_first", "_text")).alias("_row")).select(F.col("_row._first.doc_id").alias("_kept"), F.col("_row._text").alias("_kept_text"))
-    worded = rows.join(keep, (F.col("_text") == F.col("_kept_text")) & F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept", "_kept_text").dropDuplicates(["doc_id", "_text"])
-    bare = rows.join(classes.filter("NOT _worded"), "_text", "left_semi").select(*rows.columns)
-    named = bare.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "_text"])
-    return worded.unionByName(named).unionByName(bare.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    classes = classes.select(F.col("doc_id").alias("key"), F.col("component_id").alias("class"), (F.col("n_shingles") > 0).alias("worded")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), text.alias("key"))
+    least = rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id")).alias("first")).join(classes.filter("worded"), "key")
+    keep = least.groupBy("class").agg(F.min(F.struct("first", "key")).alias("least")).select(F.col("least.first.id").alias("kept"), F.col("least.key").alias("kept_key"))
+    worded = rows.join(keep, (F.col("key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept"))).select(*rows.columns).dropDuplicates(["id", "key"])
+    bare = rows.join(classes.filter("NOT worded"), "key", "left_semi").select(*rows.columns)
+    named = bare.filter(F.col("id").isNotNull()).dropDuplicates(["id", "key"])
+    return worded.unionByName(named).unionByName(bare.filter(F.col("id").isNull())).select("row.*")

@@ -161,13 +161,13 @@ def classifier(model: dict, top: int):
     return predict
 
 
-def identify(docs: DataFrame, model: dict, top: int = 400, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score (0 to 1: how much nearer the best profile is than the next).
+def identify(docs: DataFrame, model: dict, top: int = 400, text: str = "text", keep: tuple | None = None) -> DataFrame:
+    """docs (all columns, or those in `keep`) with lang_pred and score (0 to 1: how much nearer the best profile is than the next).
 
     Whole texts are read. A null text, one without letters, and any text under an empty model is `und`, score 0.
     Equal distances go to the language first in code-point order. Columns of docs named like the results are replaced.
     """
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    columns = [c for c in keep or docs.columns if c not in ("lang_pred", "score")]
 
     def run(batches):
         predict = classifier(model, top)

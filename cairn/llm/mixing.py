@@ -61,6 +61,6 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), most_epochs: int = 3, seed:
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as the mix takes it. Documents taken no time go; columns stay as they are."""
     columns = docs.columns
-    own = docs.select("*", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
+    own = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
     out = mix(own, keep=("_row",), **options).filter("repeats > 0")
     return out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("_row.*")

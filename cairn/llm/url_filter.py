@@ -44,7 +44,7 @@ def templates(urls: DataFrame, fan_out: int, prior_weight: float, purity: float,
     counts = F.count(F.lit(1)).alias("urls"), F.count("label").alias("labelled"), F.count(F.when(F.col("label") == "block", 1)).alias("blocked")
     shapes = urls.groupBy("host", "p").agg(*counts)
     left, done, level = store.written(shapes.withColumn("node", F.col("host")), "url-shapes"), [], 0
-    overall = left.agg(F.coalesce(F.sum("blocked") / F.sum("labelled"), F.lit(0.0)).alias("overall"))  # one row
+    overall = left.agg(F.coalesce(F.try_divide(F.sum("blocked"), F.sum("labelled")), F.lit(0.0)).alias("overall"))  # one row
     while not left.isEmpty():
         alone = left.groupBy("node").agg(F.count(F.lit(1)).alias("shapes"))
         x = left.join(alone, "node").withColumns({"s": F.get("p", F.lit(level)), "below": F.coalesce(F.get("p", F.lit(level + 1)), F.lit(END))})

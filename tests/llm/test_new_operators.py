@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import token_align, vector_codes
+from cairn.llm import token_align, url_filter, vector_codes
 
 SF = "/root/testdata/sf0.001"
 
@@ -169,3 +169,9 @@ def test_decoded_vectors_are_near(spark):
     for r in vector_codes.encoded(vectors, model).limit(20).collect():
         got = model.decoded(r.coded.code)
         assert abs(sum((4096 * (x - y)) ** 2 for x, y in zip(got, rows[r.row.vec_id])) - r.coded.error) < 0.1 * r.coded.error + 64 * 4096
+
+
+@pytest.mark.parametrize("urls", [[None], [None, "x", ""], ["http://h.org/a/b", "http://h.org/a/c", "http://h.org/d"], []])
+def test_urls_without_a_label_are_allowed(spark, urls):
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert [r.verdict for r in url_filter.url_verdicts(pages).collect()] == ["allow"] * len(urls)
