@@ -13,8 +13,9 @@ ORACLE_SQL = None
 
 def language_id(spark, docs, sf_dir):
     """Documents whose language can be told: those without a letter, or null, go. Profiles are learnt from all labelled rows."""
-    found = langid.identify(docs, langid.train(docs))
-    return found.filter(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    found = langid.identify(rows, langid.train(docs), keep=("row",))
+    return found.filter(F.col("lang_pred") != langid.UNDETERMINED).select("row.*")
 
 
 def ngram_jaccard_join(spark, docs, sf_dir):
