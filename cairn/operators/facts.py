@@ -18,18 +18,18 @@ def selected_functions(functions: DataFrame, calls: DataFrame, callee: str, most
     return functions.filter((F.col("kind") == "function") & F.length("source").between(1, most)).join(found, "id")
 
 
-def retry_loops(loops: DataFrame, catches: DataFrame, calls: DataFrame, key: str, bucket: int) -> DataFrame:
+def retry_loops(loops: DataFrame, catches: DataFrame, calls: DataFrame, key: str) -> DataFrame:
     """(key, id) of loops(key, id, start, end, kind, bindings) that may retry: they contain one of catches(key, id, start, end).
 
     for-in loops never do. A for-of loop does if it binds nothing (empty or null), or if one of
     calls(key, id, start, end, references) in it, outside all catches of the key, uses none of its bindings.
     """
     loops = loops.filter("kind <> 'for-in'")
-    holding = joins.contained(catches, loops, key, bucket).select(key, F.col("outer_id").alias("id")).distinct()
+    holding = joins.contained(catches, loops, key).select(key, F.col("outer_id").alias("id")).distinct()
     held = loops.join(holding, [key, "id"])
     bound = held.filter("kind = 'for-of' AND size(bindings) > 0")
-    free = calls.join(joins.contained(calls, catches, key, bucket).select(key, "id").distinct(), [key, "id"], "left_anti")
-    inside = joins.contained(free, bound, key, bucket).join(free.select(key, "id", "references"), [key, "id"])
+    free = joins.smallest_enclosing(calls, catches, key).filter("outer_id IS NULL").drop("outer_id")
+    inside = joins.contained(free, bound, key).join(free.select(key, "id", "references"), [key, "id"])
     used = inside.select(key, F.col("outer_id").alias("_loop"), "references").join(bound.select(key, F.col("id").alias("_loop"), "bindings"), [key, "_loop"])
     ignoring = used.filter(~F.coalesce(F.arrays_overlap("references", "bindings"), F.lit(False))).select(key, F.col("_loop").alias("id")).distinct()
     return held.filter("kind <> 'for-of' OR coalesce(size(bindings), 0) <= 0").select(key, "id").unionByName(ignoring)

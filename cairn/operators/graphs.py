@@ -33,13 +33,53 @@ def functional(edges: DataFrame) -> DataFrame:
 def resolved(names: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """names with root: the end of the path over functional edges(src, dst); the name itself if it has no edge or meets a cycle.
 
-    Paths are doubled: after k rounds each source has gone 2 ** k steps, so log2 of the edges are enough, and what
-    still has an edge then goes round a cycle.
+    Paths are doubled: after k rounds each source has gone 2 ** k steps. Rounds end when nothing moves, or after log2 of
+    the edges; what still has an edge then goes round a cycle.
     """
     at = kept(edges.select("src", "dst"))
     ends = edges.select(F.col("src").alias("_inner"))
     for _ in range(max(0, math.ceil(math.log2(max(1, at.count()))))):
         step = at.select(F.col("src").alias("_mid"), F.col("dst").alias("_far"))
-        at = kept(at.join(step, F.col("dst") == F.col("_mid"), "left").select("src", F.coalesce("_far", "dst").alias("dst")))
+        moved = kept(at.join(step, F.col("dst") == F.col("_mid"), "left").select("src", F.coalesce("_far", "dst").alias("dst"), F.col("_far").isNotNull().alias("_moved")))
+        at = moved.drop("_moved")
+        if moved.filter("_moved").isEmpty():
+            break
     at = at.join(ends, F.col("dst") == F.col("_inner"), "left_anti")
     return names.join(at.select(F.col("src").alias(name), F.col("dst").alias("_root")), name, "left").withColumn("root", F.coalesce("_root", name)).drop("_root")
+
+
+def static_paths(members: DataFrame) -> DataFrame:
+    """(id, path, links) of members(id, object, name): the names from the first object to the member, joined by dots.
+
+    `object` is the id of the member that a name is taken from, null for a first object. A null name is dynamic: no path
+    goes through it. Paths through it, through an object that is not there, or round a cycle are null, with null links
+    for a cycle. Ranking by pointer doubling: each round joins what a member's path begins with, so a chain of n links
+    takes log2(n) rounds, and long chains and many short ones cost alike; payloads are the paths themselves.
+    """
+    start = members.select("id", F.col("object").alias("up"), F.col("name").alias("path"), F.lit(1).cast("long").alias("links"), F.col("name").isNotNull().alias("fixed"))
+    at = kept(start)
+    rounds = math.ceil(math.log2(max(1, at.count()))) + 1
+    for _ in range(rounds):
+        if at.filter("up IS NOT NULL").isEmpty():
+            break
+        above = at.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("links").alias("_links"), F.col("fixed").alias("_fixed"))
+        both = at.join(above, F.col("up") == F.col("_id"), "left")
+        fixed = F.when(F.col("up").isNull(), F.col("fixed")).otherwise(F.col("fixed") & F.coalesce("_fixed", F.lit(False)))
+        path = F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat("_path", F.lit("."), "path"))
+        # What has no path any more carries none on.
+        at = kept(both.select("id", F.col("_up").alias("up"), F.when(fixed, path).alias("path"), (F.col("links") + F.coalesce("_links", F.lit(0))).alias("links"), fixed.alias("fixed")))
+    ended = F.col("up").isNull()
+    return at.select("id", F.when(ended & F.col("fixed"), F.col("path")).alias("path"), F.when(ended, F.col("links")).alias("links"))
+
+
+def reference_paths(members: DataFrame, owner: str) -> DataFrame:
+    """(owner, paths, partial) of members(id, object, name, start, owner): each owner's longest static paths, distinct, in the order of their first place.
+
+    A member that another is taken from is part of a longer path and stands for none itself. partial: one of the
+    owner's longest members has no static path.
+    """
+    inner = members.filter("object IS NOT NULL").select(F.col("object").alias("_inner")).distinct()
+    whole = members.join(inner, F.col("id") == F.col("_inner"), "left_anti").join(static_paths(members).select(F.col("id").alias("_id"), "path"), F.col("id") == F.col("_id"))
+    first = whole.groupBy(owner, "path").agg(F.min("start").alias("start"))
+    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("path").isNotNull(), F.struct("start", "path")))), lambda x: x.path)
+    return first.groupBy(owner).agg(listed.alias("paths"), F.bool_or(F.col("path").isNull()).alias("partial"))

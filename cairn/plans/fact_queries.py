@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text
 from cairn.operators import evidence, facts
-from cairn.plans.range_queries import SPAN
 from cairn.plans.tables import table as _t
 from cairn.sources import reports
 
@@ -23,7 +22,7 @@ def j09_retry_loops(spark, sf_dir):
     loops = o.filter("o_orderstatus = 'F'").select("k", "id", "start", "end", kind.alias("kind"), F.when(F.col("o_custkey") % 4 > 0, name).otherwise(F.array().cast("array<string>")).alias("bindings"))
     catches = o.filter("o_orderstatus = 'P'").select("k", "id", "start", "end")
     calls = o.filter("o_orderstatus = 'O'").select("k", "id", "start", "end", name.alias("references"))
-    return facts.retry_loops(loops, catches, calls, "k", SPAN)
+    return facts.retry_loops(loops, catches, calls, "k")
 
 
 def j19_duplicate_reports(spark, sf_dir):

@@ -5,8 +5,6 @@ from pyspark.sql import functions as F
 from cairn.operators import evidence, facts, graphs, joins
 from cairn.plans.tables import table as _t
 
-SPAN = 1 << 22
-
 
 def j04_same_range(spark, sf_dir):
     l = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), F.floor("l_quantity").alias("start"), F.floor(F.col("l_quantity") + F.col("l_linenumber")).alias("end"), "l_orderkey", "l_linenumber")
