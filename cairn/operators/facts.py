@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.functions import text
-from cairn.operators import joins
+from cairn.operators import joins, nesting
 
 #: A plain identifier, as a fixed value.
 IDENTIFIER = r"\A[$A-Z_a-z][$\w]*\z"
@@ -25,8 +25,7 @@ def retry_loops(loops: DataFrame, catches: DataFrame, calls: DataFrame, key: str
     calls(key, id, start, end, references) in it, outside all catches of the key, uses none of its bindings.
     """
     loops = loops.filter("kind <> 'for-in'")
-    holding = joins.contained(catches, loops, key).select(key, F.col("outer_id").alias("id")).distinct()
-    held = loops.join(holding, [key, "id"])
+    held = nesting.holds_any(loops, catches, key, "_held").filter("_held IS NOT NULL").drop("_held")
     bound = held.filter("kind = 'for-of' AND size(bindings) > 0")
     free = joins.smallest_enclosing(calls, catches, key).filter("outer_id IS NULL").drop("outer_id")
     inside = joins.contained(free, bound, key).join(free.select(key, "id", "references"), [key, "id"])

@@ -137,6 +137,21 @@ def all_around(inner: DataFrame, outer: DataFrame, key: str, strict: bool = Fals
     return found.withColumnRenamed("key", key) if key != "key" else found
 
 
+def holds_any(outer: DataFrame, inner: DataFrame, key: str, name: str) -> DataFrame:
+    """outer(key, start, end, ...) with `name`: the id of a range of inner(key, start, end, id) that lies in it, null if none does.
+
+    Seen from behind, a range lies around what holds it: starts are negated, ends counted down from 2 ** 61, so places
+    must be below 2 ** 60.
+    """
+    turned = lambda x: x.withColumns({"start": -F.col("start").cast("long"), "end": F.lit(1 << 61) - F.col("end").cast("long")})
+    proper = inner.filter("start <= end")
+    return turned_back(smallest_around(turned(outer), turned(proper), key, name))
+
+
+def turned_back(x: DataFrame) -> DataFrame:
+    return x.withColumns({"start": -F.col("start"), "end": F.lit(1 << 61) - F.col("end")})
+
+
 #: The node types that make regions.
 LOOPS = ("DoWhileStatement", "ForInStatement", "ForOfStatement", "ForStatement", "WhileStatement")
 CONDITIONS = ("ConditionalExpression", "IfStatement", "SwitchCase", "SwitchStatement")
