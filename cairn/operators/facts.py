@@ -5,9 +5,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cairn.functions import text
 from cairn.operators import joins, nesting
 
-#: A plain identifier, as a fixed value.
-IDENTIFIER = r"\A[$A-Z_a-z][$\w]*\z"
-
 
 def selected_functions(functions: DataFrame, calls: DataFrame, callee: str, most: int = 12000) -> DataFrame:
     """functions(id, kind, start, source) of the kind function, not empty nor over `most` characters, with at least one call(id, callee, start) that matches; evidence holds those, by start.
@@ -40,27 +37,8 @@ def duplicate_reports(calls: DataFrame, handler: str, callee: str) -> DataFrame:
     return calls.filter(hit).groupBy(handler).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
 
 
-def _rethrows(source: Column, binding: Column) -> Column:
-    return F.regexp_extract(source, r"\Athrow\s+([$\w]+)\s*;?\z", 1) == binding
-
-
-def replacement_throw(binding: Column, exits: Column) -> Column:
-    """Whether one of exits(kind, source) throws anything but the plain binding; without a plain binding every throw does."""
-    plain = F.coalesce(binding.rlike(IDENTIFIER), F.lit(False))
-    return F.exists(exits, lambda e: (e["kind"] == "throw") & ~(plain & F.coalesce(_rethrows(text.trimmed(e["source"]), binding), F.lit(False))))
 
 
-def rethrow_only(binding: Column, calls: Column, exits: Column, source: Column, start: Column) -> Column:
-    """Whether a handler does nothing but throw its binding again: no calls, one exit, and nothing left of its source beside it and comments.
-
-    exits(kind, source, start, end) have places in the file, as start is the handler's.
-    """
-    e = F.try_element_at(exits, F.lit(1))
-    rest = F.concat(F.substr(source, F.lit(1), e["start"] - start), F.substr(source, e["end"] - start + 1))
-    rest = F.regexp_replace(F.regexp_replace(text.without_comments(rest), r"\Acatch\s*(?:\([^)]*\))?\s*\{", ""), r"\}\s*\z", "")
-    alone = binding.rlike(IDENTIFIER) & (F.size(calls) == 0) & (F.size(exits) == 1) & (e["kind"] == "throw")
-    return F.coalesce(alone & _rethrows(text.without_comments(e["source"]), binding) & (text.trimmed(rest) == ""), F.lit(False))
-
 
 def ordered_facts(facts: Column) -> Column:
     """facts(start, ord, ...) by start, in their first order where equal."""

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cairn.functions import text
-from cairn.operators import evidence, facts
+from cairn.operators import evidence, facts, names
 from cairn.plans.tables import table as _t
 from cairn.sources import reports
 
@@ -37,24 +37,24 @@ def f04_selected_functions(spark, sf_dir):
     return x.select("id", F.array_join(F.transform("evidence", lambda e: F.concat(e["start"], e["callee"])), ",").alias("evidence"))
 
 
-def _handler():
-    """(binding, calls, exits, source, start) of a handler that each row of part spells differently."""
-    binding = F.when(F.col("p_partkey") % 5 == 0, F.lit(None).cast("string")).otherwise(F.lit("err"))
-    head = F.when(F.col("p_partkey") % 3 == 0, F.lit("catch (err) { /* why // */ ")).when(F.col("p_partkey") % 3 == 1, F.lit("catch (err) {\n// a /* b\n")).otherwise(F.lit("catch (err) { done = 1; "))
-    throw = F.when(F.col("p_size") % 4 == 0, F.lit("throw wrapped;")).when(F.col("p_size") % 4 == 1, F.lit("throw  err ;")).when(F.col("p_size") % 4 == 2, F.lit("throw err")).otherwise(F.lit("throw/* */ err;"))
-    start = F.col("p_size")
-    exits = F.array(F.struct(F.lit("throw").alias("kind"), throw.alias("source"), (start + F.length(head)).alias("start"), (start + F.length(head) + F.length(throw)).alias("end")))
-    return binding, F.array().cast("array<string>"), exits, F.concat(head, throw, F.lit(" }\t\n")), start
+def _handlers(spark, sf_dir):
+    """Orders as handlers in files of 1000, a few without a plain binding; their lines as statements, calls and throws."""
+    file = lambda c: F.floor(F.col(c) / 1000).alias("file")
+    binding = F.when(F.col("o_orderstatus") == "P", "{ code }").when(F.col("o_orderpriority") != "5-LOW", F.concat(F.lit("e"), F.col("o_custkey") % 3))
+    handlers = _t(spark, sf_dir, "orders").select(file("o_orderkey"), F.col("o_orderkey").alias("id"), binding.alias("binding"))
+    kind = F.when(F.col("l_returnflag") == "R", "throw").when(F.col("l_returnflag") == "A", "return").otherwise("expression")
+    thrown = F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), F.concat(F.lit("e"), F.col("l_suppkey") % 3))
+    return handlers, _t(spark, sf_dir, "lineitem").select(file("l_orderkey"), F.col("l_orderkey").alias("handler"), kind.alias("kind"), thrown.alias("thrown"), "l_quantity")
 
 
 def f17_rethrow_only(spark, sf_dir):
-    binding, calls, exits, source, start = _handler()
-    return _t(spark, sf_dir, "part").select("p_partkey", facts.rethrow_only(binding, calls, exits, source, start).alias("only"))
+    handlers, lines = _handlers(spark, sf_dir)
+    return names.rethrowing_only(handlers, lines, lines.filter("l_quantity > 30"), "file").select("id", "binding")
 
 
 def f18_replacement_throw(spark, sf_dir):
-    binding, _, exits, _, _ = _handler()
-    return _t(spark, sf_dir, "part").select("p_partkey", facts.replacement_throw(binding, exits).alias("replaced"))
+    handlers, lines = _handlers(spark, sf_dir)
+    return names.replacing(handlers, lines, "file").select("id", "binding")
 
 
 def x13_without_comments(spark, sf_dir):
@@ -131,7 +131,7 @@ def a23_unique_by_range(spark, sf_dir):
 
 _SPANS = """o AS (SELECT o_custkey % 50 AS k, o_orderkey AS id, CAST(epoch(o_orderdate) AS BIGINT) AS s, CAST(epoch(o_orderdate) AS BIGINT) + CAST(floor(o_totalprice) AS BIGINT) * CASE WHEN o_orderstatus = 'F' THEN 60 ELSE 1 END AS e,
  o_orderstatus AS st, o_orderpriority AS pr, o_custkey AS c FROM orders)"""
-_HANDLER = """(SELECT p_partkey, p_partkey % 5 > 0 AS named, p_partkey % 3 < 2 AS bare, p_size % 4 AS t FROM part)"""
+_HANDLERS = "(SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN '{ code }' WHEN o_orderpriority <> '5-LOW' THEN 'e' || o_custkey % 3 END AS binding FROM orders)"
 
 QUERIES = {
     j09_retry_loops: f"""WITH {_SPANS}, held AS (SELECT DISTINCT l.* FROM o l JOIN o c ON c.k = l.k AND c.st = 'P' AND l.s <= c.s AND l.e >= c.e WHERE l.st = 'F' AND l.pr <> '2-HIGH'),
@@ -140,8 +140,10 @@ QUERIES = {
     j19_duplicate_reports: "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag IN ('R', 'A') AND l_linestatus = 'F' GROUP BY 1 HAVING count(*) >= 2",
     f04_selected_functions: """SELECT o_orderkey AS id, string_agg(l_linenumber || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) AS evidence FROM orders JOIN lineitem ON l_orderkey = o_orderkey
  WHERE o_orderstatus <> 'P' AND length(o_orderpriority) BETWEEN 1 AND 7 AND l_returnflag IN ('R', 'N') GROUP BY 1""",
-    f17_rethrow_only: f"SELECT p_partkey, named AND bare AND t <> 0 AS only FROM {_HANDLER}",
-    f18_replacement_throw: f"SELECT p_partkey, NOT named OR t = 0 OR t = 3 AS replaced FROM {_HANDLER}",
+    f17_rethrow_only: f"""SELECT id, binding FROM {_HANDLERS} JOIN lineitem ON l_orderkey = id WHERE binding LIKE 'e%' GROUP BY id, binding
+ HAVING count(*) = 1 AND bool_and(l_returnflag = 'R' AND l_linestatus = 'O' AND 'e' || l_suppkey % 3 = binding) AND max(l_quantity) <= 30""",
+    f18_replacement_throw: f"""SELECT id, binding FROM {_HANDLERS} JOIN lineitem ON l_orderkey = id WHERE l_returnflag = 'R' GROUP BY id, binding
+ HAVING bool_or(l_linestatus <> 'O' OR binding IS NULL OR binding NOT LIKE 'e%' OR 'e' || l_suppkey % 3 <> binding)""",
     x13_without_comments: "SELECT p_partkey, 'throw e; ' || p_brand || '  end' AS code FROM part",
     x21_retry_delay: """SELECT o_orderkey, CASE o_custkey % 4 WHEN 0 THEN (o_custkey + 0.5) * 1000.0 WHEN 1 THEN 10000.0 ELSE 250.0 * 2.0 ** (o_orderkey % 5) + 50.0 END::DOUBLE AS ms FROM orders""",
     o03_ordered_facts: "SELECT l_orderkey, string_agg(l_linenumber || l_returnflag, ',' ORDER BY floor(l_quantity), l_linenumber, l_returnflag) AS ordered FROM lineitem GROUP BY 1",

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cairn.operators import metrics, selections
+from cairn.operators import metrics, names, selections
 from cairn.plans.tables import table as _t
 
 
@@ -36,29 +36,56 @@ def f14_state_change(spark, sf_dir):
     return _part(spark, sf_dir).select("p_partkey", selections.possible_state_change(F.array(callee(F.col("p_partkey")), callee(F.col("p_size")))).alias("may"))
 
 
+def _span(order, line=None):
+    """(file, start, end) of an order, 64 places in a file of 100, or of the four first places of one of its lines."""
+    start = F.col(order) * 64 + (F.col(line) * 8 if line else 0)
+    return F.floor(F.col(order) / 100).alias("file"), start.alias("start"), (start + (4 if line else 64)).alias("end")
+
+
+def _lines(spark, sf_dir, *columns):
+    return _t(spark, sf_dir, "lineitem").select(*_span("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber", *columns)
+
+
 def f16_direct_export(spark, sf_dir):
-    head = F.concat(F.repeat(F.lit("x"), F.col("p_size") * 10), F.lit("\n"), _pick(F.col("p_partkey"), "export ", "export default ", "export const f = ", "const f = ", "reexport "))
-    return _part(spark, sf_dir).select("p_partkey", selections.direct_export(F.concat(head, F.lit("function f() {}")), F.length(head)).alias("export"))
+    functions = _t(spark, sf_dir, "orders").select(*_span("o_orderkey"), "o_orderkey")
+    lines = _lines(spark, sf_dir, F.concat(F.lit("export "), F.lower("l_returnflag")).alias("words"))
+    return names.exported(functions, lines.withColumn("target", F.col("start") - 8), "file").select("o_orderkey", "export")
 
 
 def f19_dead_assignment(spark, sf_dir):
-    before = _pick(F.col("p_partkey"), "{ const p = ", "{ let p: X = ", "{ p = ", "{ a.p = ", "{ return ")
-    after = _pick(F.col("p_size"), "; done() }", "; await p }", "; pp() }")
-    return _part(spark, sf_dir).select("p_partkey", selections.dead_assignment(before, after).alias("dead"))
+    name = F.when(F.col("l_returnflag") != "N", F.concat(F.lit("p"), F.col("l_suppkey") % 4))
+    calls = _lines(spark, sf_dir, name.alias("name"), ((F.col("l_orderkey") + 1) * 64).alias("until"), "l_partkey")
+    uses = _t(spark, sf_dir, "lineitem").filter("l_linestatus = 'F'").select(_span("l_orderkey")[0], F.concat(F.lit("p"), F.col("l_partkey") % 4).alias("name"), (F.col("l_orderkey") * 64 + F.col("l_linenumber") * 8 + 4).alias("start"))
+    return names.unused_results(calls, uses, "file").select("l_orderkey", "l_linenumber", "l_partkey", "name")
 
 
 def f20_platform_calls(spark, sf_dir):
-    source = _pick(F.col("p_partkey"), "f(x) { y }", "f(fetch) { y }", "f() { let fetch = 1 }", "f() { fetch }")
-    imports = F.array(_pick(F.col("p_size"), "import { fetch } from 'x'", "import y from 'z'", "import prefetch from 'x'"))
-    calls = F.array(*[F.struct(F.lit(c).alias("callee")) for c in ("fetch", "window.fetch", "fetcher")])
-    bad = selections.shadowed("fetch", source, imports, F.lit("a\nexports.fetch = 1"))
-    found = selections.platform_calls(calls, ["fetch", "globalThis.fetch", "window.fetch"], "fetch", bad)
-    return _part(spark, sf_dir).select("p_partkey", F.array_join(F.transform(found, lambda c: c["callee"]), ",").alias("calls"))
+    o = _t(spark, sf_dir, "orders")
+    name = F.when(F.col("o_orderstatus") == "P", "fetch").when(F.col("o_orderpriority") == "1-URGENT", "Promise").otherwise("other")
+    inside = o.select(*_span("o_orderkey"), name.alias("name"))
+    file = F.floor(F.col("o_orderkey") / 100)
+    imported = o.filter("o_custkey % 97 = 0").select(file.alias("file"), (file * 6400).alias("start"), (file * 6400 + 6400).alias("end"), F.lit("fetch").alias("name"))
+    declarations = inside.unionByName(imported)
+    calls = _lines(spark, sf_dir, "l_suppkey", _pick(F.col("l_partkey"), "fetch", "window.fetch", "fetcher", "Promise.all", "Promise.race", "fetch.now").alias("callee"))
+    fetched = names.platform_calls(calls, declarations, "file", ["fetch", "globalThis.fetch", "window.fetch"], "fetch")
+    raced = names.platform_calls(calls, declarations, "file", ["Promise.any", "Promise.race"], "Promise")
+    return fetched.unionByName(raced).select("l_orderkey", "l_linenumber", "l_suppkey", "callee")
+
+
+def _parameters(spark, sf_dir):
+    kind = F.when(F.col("l_returnflag") == "R", "AbortSignal").otherwise("AbortSignals")
+    return _lines(spark, sf_dir, F.col("l_orderkey").alias("function"), F.col("l_linenumber").alias("position"), F.concat(F.lit("p"), F.col("l_suppkey") % 3).alias("name"), kind.alias("type"))
 
 
 def f22_abort_signals(spark, sf_dir):
-    source = _pick(F.col("p_partkey"), "f(a: AbortSignal, b?: AbortSignal) { c: AbortSignal }", "(s : AbortSignal) => s", "f(a: AbortSignals) {}", "f() {}")
-    return _part(spark, sf_dir).select("p_partkey", F.array_join(selections.abort_signal_parameters(source), ",").alias("names"))
+    x = names.typed_parameters(_parameters(spark, sf_dir), "file", "AbortSignal")
+    return x.select(F.col("function").alias("l_orderkey"), F.array_join("names", ",").alias("names"))
+
+
+def f22_abort_listeners(spark, sf_dir):
+    event = F.when(F.col("l_linestatus") == "O", "abort").otherwise("aborted")
+    calls = _lines(spark, sf_dir, F.col("l_orderkey").alias("function"), F.concat(F.lit("p"), F.col("l_partkey") % 3, F.lit(".addEventListener")).alias("callee"), event.alias("event"), "l_partkey")
+    return names.listener_calls(calls, _parameters(spark, sf_dir), "file", "AbortSignal", "abort").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 def j12_lifecycle(spark, sf_dir):
@@ -74,11 +101,17 @@ def j17_transaction_escapes(spark, sf_dir):
 
 
 def j18_message_dispatch(spark, sf_dir):
-    binding = _pick(F.col("p_partkey"), "err", "$e", "{ message }", None)
-    member = F.struct(_pick(F.col("p_size"), "err.message", "$e.message", "err.messages").alias("path"), F.col("p_size").alias("start"), (F.col("p_size") + 5).alias("end"))
-    members = F.when(F.col("p_partkey") % 3 > 0, F.array(member))
-    source = F.lit("catch (x) { return err ?. message }")
-    return _part(spark, sf_dir).select("p_partkey", selections.message_dispatch(binding, members, source, F.lit(10), F.lit(45)).alias("reads"))
+    binding = F.when(F.col("o_orderstatus") == "P", "{ message }").otherwise(F.concat(F.lit("e"), F.col("o_custkey") % 3))
+    handlers = _t(spark, sf_dir, "orders").select(*_span("o_orderkey"), "o_orderkey", binding.alias("binding"))
+    path = F.concat(F.lit("e"), F.col("l_suppkey") % 3, F.when(F.col("l_returnflag") == "N", ".messages").otherwise(".message"))
+    return names.reading_member(handlers, _lines(spark, sf_dir, path.alias("path")), "file", "message").select("o_orderkey", "binding")
+
+
+def j18_members_of_words(spark, sf_dir):
+    words = F.regexp_extract_all("text", F.lit(r"[A-Za-z_][A-Za-z0-9_]*|\?\.|[^A-Za-z_ \n]"), F.lit(0))
+    x = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("place", "word"))
+    x = x.withColumns({"start": F.col("place"), "end": F.col("place") + 1})
+    return names.members_of(x, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("paths"), F.min("path").alias("first"), F.max("end").alias("last"))
 
 
 def k03_explained(spark, sf_dir):
@@ -108,15 +141,21 @@ QUERIES = {
     f06_database_call: "SELECT p_partkey, p_partkey % 8 IN (0, 1, 3, 4) OR p_partkey % 8 = 2 AND p_size % 2 = 0 AS found, p_partkey % 8 = 5 AS own FROM part",
     f07_in_iteration: "SELECT p_partkey, p_size > 3 AND (p_partkey % 4 = 0 OR p_partkey % 4 IN (1, 2) AND p_size % 3 = 0) AS within FROM part",
     f14_state_change: "SELECT p_partkey, p_partkey % 6 IN (0, 2) OR p_size % 6 IN (0, 2) AS may FROM part",
-    f16_direct_export: "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'export' WHEN 1 THEN 'export default' WHEN 2 THEN 'export const f =' END AS export FROM part",
-    f19_dead_assignment: "SELECT p_partkey, p_partkey % 5 < 3 AND p_size % 3 <> 1 AS dead FROM part",
-    f20_platform_calls: "SELECT p_partkey, CASE WHEN p_partkey % 4 IN (0, 3) AND p_size % 3 > 0 THEN 'fetch,window.fetch' ELSE 'window.fetch' END AS calls FROM part",
-    f22_abort_signals: "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a,b' WHEN 1 THEN 's' ELSE '' END AS names FROM part",
+    f16_direct_export: "SELECT l_orderkey AS o_orderkey, 'export ' || lower(min(l_returnflag)) AS export FROM lineitem WHERE l_linenumber = 1 AND l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1",
+    f19_dead_assignment: """SELECT l_orderkey, l_linenumber, l_partkey, 'p' || l_suppkey % 4 AS name FROM lineitem c WHERE l_returnflag <> 'N'
+ AND NOT EXISTS (SELECT 1 FROM lineitem u WHERE u.l_orderkey = c.l_orderkey AND u.l_linestatus = 'F' AND u.l_partkey % 4 = c.l_suppkey % 4 AND u.l_linenumber >= c.l_linenumber)""",
+    f20_platform_calls: """WITH c AS (SELECT l_orderkey, l_linenumber, l_suppkey, CASE l_partkey % 6 WHEN 0 THEN 'fetch' WHEN 1 THEN 'window.fetch' WHEN 3 THEN 'Promise.all' WHEN 4 THEN 'Promise.race' END AS callee, o_orderstatus AS st, o_orderpriority AS pr FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey)
+ SELECT l_orderkey, l_linenumber, l_suppkey, callee FROM c WHERE callee = 'window.fetch' OR callee = 'Promise.race' AND (st = 'P' OR pr <> '1-URGENT') OR callee = 'fetch' AND st <> 'P' AND l_orderkey // 100 NOT IN (SELECT o_orderkey // 100 FROM orders WHERE o_custkey % 97 = 0)""",
+    f22_abort_signals: """SELECT l_orderkey, string_agg(name, ',' ORDER BY p, name) AS names FROM (SELECT l_orderkey, 'p' || l_suppkey % 3 AS name, min(l_linenumber) AS p FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) GROUP BY 1""",
+    f22_abort_listeners: "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem c WHERE l_linestatus = 'O' AND EXISTS (SELECT 1 FROM lineitem p WHERE p.l_orderkey = c.l_orderkey AND p.l_returnflag = 'R' AND p.l_suppkey % 3 = c.l_partkey % 3)",
     j12_lifecycle: "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'P' OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'F' AND (l_returnflag = 'N' OR l_returnflag = 'A' AND l_linenumber > 5))",
     j17_transaction_escapes: """WITH b AS (SELECT * FROM lineitem WHERE l_returnflag = 'R' QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey::VARCHAR, l_linestatus) = 1)
  SELECT l.l_orderkey, min(b.l_suppkey::VARCHAR) AS binding, count(*) AS n_calls, count(*) FILTER (l.l_linestatus <> b.l_linestatus) AS n_escaped FROM lineitem l JOIN b ON b.l_orderkey = l.l_orderkey
  WHERE l.l_quantity > 10 GROUP BY 1 HAVING count(*) FILTER (l.l_linestatus <> b.l_linestatus) > 0""",
-    j18_message_dispatch: """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 4 = 0 ELSE p_size BETWEEN 10 AND 40 AND (p_partkey % 4 = 0 AND p_size % 3 = 0 OR p_partkey % 4 = 1 AND p_size % 3 = 1) END AS reads FROM part""",
+    j18_message_dispatch: """SELECT o_orderkey, 'e' || o_custkey % 3 AS binding FROM orders WHERE o_orderstatus <> 'P' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag <> 'N' AND l_suppkey % 3 = o_custkey % 3)""",
+    j18_members_of_words: r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|\?\.|[^A-Za-z_ \n]') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS a, unnest(range(len(w))) AS i FROM t),
+ l AS (SELECT *, lead(a) OVER d AS b, lead(a, 2) OVER d AS c FROM u WINDOW d AS (PARTITION BY doc_id ORDER BY i))
+ SELECT doc_id, count(*) AS n, count(DISTINCT a || '.' || c) AS paths, min(a || '.' || c) AS first, CAST(max(i) + 3 AS INT) AS last FROM l WHERE b IN ('.', '?.') AND regexp_matches(a, '^[$A-Za-z_]') AND regexp_matches(c, '^[$A-Za-z_]') GROUP BY 1""",
     k03_explained: """SELECT o_orderkey, '  f' || o_custkey || ':3:7  a/b  ' || CASE o_custkey % 3 WHEN 0 THEN 'choice=' || o_orderpriority || ' confidence=0.50' WHEN 1 THEN 'score=0.25 confidence=0.50' ELSE 'noul=0.25' END
  || '  ' || CASE WHEN o_orderstatus = 'F' THEN 'diagnostic' ELSE 'accepted' END || '  m' AS text FROM orders WHERE o_orderstatus <> 'P'""",
     a18_scenario_comparison: """WITH m AS (SELECT o_custkey % 3 AS s, avg(o_orderkey % 100) AS mean, count(*) AS n FROM orders GROUP BY 1)
