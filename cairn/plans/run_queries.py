@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cairn.operators import merkle, ordinals
+from cairn.operators import decisions, merkle, metrics, ordinals, runs
 from cairn.plans.tables import table as _t
 
 
@@ -41,6 +41,42 @@ _REPLAY = """c AS (SELECT o_custkey AS id, o_orderkey AS candidate, row_number()
  a AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, answer) - 1 AS n FROM (SELECT o_custkey AS id, l_shipdate AS d, l_linestatus || ':' || l_orderkey || ':' || l_linenumber AS answer FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R')),
  r AS (SELECT coalesce(c.id, a.id) AS id, coalesce(c.n, a.n) AS n, candidate, answer, CASE WHEN c.id IS NULL THEN 'surplus' WHEN a.id IS NULL THEN 'missing' ELSE 'answered' END AS state FROM c FULL JOIN a ON c.id = a.id AND c.n = a.n)"""
 
+def _judge():
+    """A provider that answers with the length of what it is asked, and fails for some."""
+
+    def call(payload):
+        if payload.endswith("77"):
+            raise ValueError("not answered")
+        return f"{len(payload)} characters"
+
+    return call
+
+
+def _requests(rows, id, state):
+    x = rows.select(F.col(id).alias("id"), state.alias("payload"))
+    return x.withColumn("key", decisions.cache_key(F.lit("judge"), F.col("payload"), F.lit("[]")))
+
+
+def d15_cycle(spark, sf_dir):
+    # Orders of one customer and priority are one request; every 500th order changes.
+    o = _t(spark, sf_dir, "orders")
+    state = F.concat_ws(" ", "o_orderpriority", F.col("o_custkey").cast("string"))
+    changed = F.when(F.col("o_orderkey") % 500 == 0, F.concat(F.lit("now "), state)).otherwise(state)
+    x = runs.cycle(_requests(o, "o_orderkey", state), _requests(o, "o_orderkey", changed), _judge)
+    return x.select("scenario", "requests", "failed", "cache_hits", "entries", "bytes")
+
+
+def d15_fingerprints(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer")
+    state = F.concat(F.lit("customer "), F.col("c_custkey").cast("string"), F.lit("."))
+    least = c.agg(F.min("c_custkey")).first()[0]
+    changed = F.when(F.col("c_custkey") == least, F.concat(state, F.lit(" changed"))).otherwise(state)
+    x = runs.cycle(_requests(c, "c_custkey", state), _requests(c, "c_custkey", changed), _judge)
+    n = x.filter("scenario = 'uncached'").first()["requests"]
+    of = x.groupBy("fingerprint").agg(F.array_join(F.array_sort(F.collect_list("scenario")), ",").alias("scenarios"), F.sum("requests").alias("requests"))
+    return of.select("scenarios", "requests").join(metrics.cache_behaves(x, n), F.lit(True))
+
+
 QUERIES = {
     d12_replayed: f"WITH {_REPLAY} SELECT id AS c_custkey, n, candidate, answer, state FROM r",
     d13_case_results: f"""WITH {_REPLAY}, s AS (SELECT id, count(*) FILTER (state <> 'surplus') AS actual_candidates, coalesce(bool_or(state = 'answered' AND answer LIKE 'F:%'), false) AS actual_finding, count(*) FILTER (state <> 'answered') AS errors FROM r GROUP BY id)
@@ -49,4 +85,10 @@ QUERIES = {
     d14_manifest_changes: """SELECT o_orderkey, CASE WHEN o_orderkey % 997 = 0 THEN 'added' ELSE 'changed' END AS change FROM orders WHERE o_orderkey % 997 = 0 OR o_orderkey % 991 = 0 AND o_totalprice IS NOT NULL
  UNION ALL SELECT -o_orderkey - 1, 'removed' FROM orders WHERE o_orderkey % 983 = 0""",
     a06_percentiles: "SELECT l_returnflag, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.95) AS p95, max(l_extendedprice) AS p100 FROM lineitem GROUP BY 1",
+    d15_cycle: """WITH s AS (SELECT o_orderkey AS k, o_orderpriority || ' ' || o_custkey AS p FROM orders), a AS (SELECT DISTINCT p, p LIKE '%77' AS bad, length(length(p) || ' characters') AS n FROM s),
+ b AS (SELECT DISTINCT p, p LIKE '%77' AS bad, length(length(p) || ' characters') AS n, p IN (SELECT p FROM a WHERE NOT bad) AS held FROM (SELECT CASE WHEN k % 500 = 0 THEN 'now ' || p ELSE p END AS p FROM s)),
+ x AS (SELECT count(*) AS n, count(*) FILTER (bad) AS f, coalesce(sum(n) FILTER (NOT bad), 0)::BIGINT AS size FROM a)
+ SELECT 'uncached' AS scenario, n AS requests, f AS failed, 0 AS cache_hits, 0 AS entries, 0 AS bytes FROM x UNION ALL SELECT 'cold', n, f, 0, n - f, size FROM x UNION ALL SELECT 'warm', f, f, n - f, n - f, size FROM x
+ UNION ALL SELECT 'incremental', count(*) FILTER (NOT held), count(*) FILTER (bad), count(*) FILTER (held), any_value(x.n - f) + count(*) FILTER (NOT held AND NOT bad), (any_value(size) + coalesce(sum(b.n) FILTER (NOT held AND NOT bad), 0))::BIGINT FROM b, x""",
+    d15_fingerprints: """SELECT 'incremental' AS scenarios, 1 AS requests, true AS valid UNION ALL SELECT 'cold,uncached,warm', 2 * count(DISTINCT c_custkey), true FROM customer""",
 }
