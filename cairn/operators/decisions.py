@@ -63,6 +63,28 @@ def answered(candidates: DataFrame, answers: DataFrame, on: list[str]) -> DataFr
     return x.withColumn("problem", F.when(F.col("_there").isNull(), "missing answer")).drop("_there")
 
 
+def answer_problem(answer: Column, kind: Column, labels: Column) -> Column:
+    """The first reason why an answer(type, choice, score, noul, confidence, probabilities) to a question of the kind choice, score or noul is of no use; null if there is none.
+
+    labels are a choice's criteria, or a score's from the lowest: its labels are their places, and it may lie between them.
+    Probabilities must name exactly the labels, and all numbers be finite and between 0 and 1.
+    """
+    steps = F.when(F.size(labels) > 0, F.transform(F.sequence(F.lit(0), F.size(labels) - 1), lambda i: i.cast("string"))).otherwise(F.array().cast("array<string>"))
+    expected = F.when(kind == "score", steps).otherwise(labels)
+    shares, noul = answer["probabilities"], kind == "noul"
+    fits = {
+        "missing answer": answer.isNotNull(),
+        "wrong type": (answer["type"] == kind) & kind.isin("choice", "score", "noul"),
+        "invalid noul": ~noul | text.is_probability(answer["noul"]),
+        "invalid choice": (kind != "choice") | F.array_contains(labels, answer["choice"]),
+        "invalid score": (kind != "score") | (~F.isnan(answer["score"]) & answer["score"].between(F.lit(0), F.size(labels) - 1)),
+        "invalid confidence": noul | text.is_probability(answer["confidence"]),
+        "invalid labels": noul | text.same_keys(F.map_keys(shares), F.array_distinct(expected)),
+        "invalid probability": noul | F.forall(F.map_values(shares), text.is_probability),
+    }
+    return F.coalesce(*[F.when(~F.coalesce(fit, F.lit(False)), F.lit(problem)) for problem, fit in fits.items()])
+
+
 def cache_key(provider: Column, state: Column, questions: Column, version: int = 1) -> Column:
     """SHA-256 over the version, the provider and the whole request, each part's length before it."""
     parts = [F.lit(str(version)), provider, state, questions]

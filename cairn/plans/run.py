@@ -51,16 +51,21 @@ def requests(found: DataFrame) -> DataFrame:
     return questions.select("state_hash", F.to_json(F.struct("state", F.transform("rules", lambda r: F.struct(text.sanitize_id(r).alias("id"), r.alias("rule"))).alias("questions"))).alias("payload"))
 
 
-def diagnose(found: DataFrame, answers: DataFrame, warn_only: tuple[str, ...] = ()) -> DataFrame:
+def diagnose(found: DataFrame, answers: DataFrame, warn_only: tuple[str, ...] = (), criteria: dict[str, list[str]] | None = None) -> DataFrame:
     """found with finding, probability, severity and problem, from answers(state_hash, response, error).
 
     A failed request is the problem of all its candidates, as is an answer that is missing or no choice with numbers
-    between 0 and 1; other requests go on. severity is null where nothing is to be reported.
+    between 0 and 1 for it; other requests go on. Where criteria name a rule's choices, an answer must give exactly these
+    their probabilities. severity is null where nothing is to be reported.
     """
     x = found.withColumn("state_hash", evidence.state_hash(F.col("state"))).join(answers.select("state_hash", F.from_json("response", ANSWERS).alias("_r"), "error"), "state_hash", "left")
     x = x.withColumn("_a", F.try_element_at("_r", text.sanitize_id(F.col("rule_id")))).withColumn("_t", rules.thresholds(F.col("rule_id")))
     numbers = F.map_values("_a.probabilities")
     good = (F.col("_a.type") == "choice") & F.col("_a.choice").isNotNull() & text.is_probability(F.col("_a.confidence")) & F.forall(numbers, lambda p: text.is_probability(p))
+    good = good & F.map_contains_key("_a.probabilities", F.col("_a.choice"))
+    if criteria:
+        known = F.try_element_at(F.create_map(*[c for r, labels in criteria.items() for c in (F.lit(r), F.array(*map(F.lit, labels)))]), F.col("rule_id"))
+        good = good & (known.isNull() | text.same_keys(F.map_keys("_a.probabilities"), F.array_distinct(known)))
     problem = F.coalesce(F.col("error"), F.when(F.col("_a").isNull(), "missing answer"), F.when(~F.coalesce(good, F.lit(False)), "invalid answer"))
     x = x.withColumn("problem", problem)
     p = decisions.choice_probability(F.col("_a.type"), F.col("_a.choice"), F.col("_a.probabilities"), F.col("_t.finding"))
@@ -70,8 +75,8 @@ def diagnose(found: DataFrame, answers: DataFrame, warn_only: tuple[str, ...] =
     return x.withColumn("severity", decisions.capped(s, cap)).select(*found.columns, F.col("_t.finding").alias("finding"), "probability", "severity", "problem")
 
 
-def run(files: DataFrame, provider: Callable[[], Callable[[str], str]], tool: str = "cairn", concurrency: int = 32) -> DataFrame:
+def run(files: DataFrame, provider: Callable[[], Callable[[str], str]], tool: str = "cairn", concurrency: int = 32, criteria: dict[str, list[str]] | None = None) -> DataFrame:
     """The diagnosed candidates of files(filename, source). Answers are kept before they are used, so no call is made twice for one plan."""
     found = kept(candidates(files, tool))
     answers = kept(decisions.evaluate(requests(found), provider, "payload", concurrency))
-    return diagnose(found, answers)
+    return diagnose(found, answers, criteria=criteria)

@@ -1,8 +1,11 @@
 """Conditions of rules on spelt-out sources over whole tables, with their SQL, which says by itself which rows they fit."""
 
-from pyspark.sql import functions as F
+from functools import reduce
 
-from cairn.operators import metrics, names, selections
+from pyspark.sql import DataFrame, functions as F
+
+from cairn.functions.recovery import kept
+from cairn.operators import decisions, metrics, names, runs, selections
 from cairn.plans.tables import table as _t
 
 
@@ -129,12 +132,25 @@ def a18_scenario_comparison(spark, sf_dir):
 
 
 def a19_cache_behaves(spark, sf_dir):
-    key = F.col("r_regionkey")
-    calls = F.when(key < 2, 5).when(key == 3, 1).otherwise(0)
-    x = _t(spark, sf_dir, "region").select(_pick(key, "uncached", "cold", "warm", "incremental", "other").alias("scenario"), calls.alias("requests"), (F.lit(5) - calls).alias("cache_hits"))
-    cases = {"right": x, "fewer": x, "repeated": x.unionByName(x), "missed": x.withColumn("requests", F.when(F.col("scenario") == "warm", 1).otherwise(F.col("requests")))}
-    out = [metrics.cache_behaves(c, 4 if name == "fewer" else 5).select(F.lit(name).alias("name"), "valid") for name, c in cases.items()]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    # Suppliers are asked about in a cycle of runs, the first of them changed for the last.
+    t = _t(spark, sf_dir, "supplier")
+    least = t.agg(F.min("s_suppkey")).first()[0]
+    asked = lambda name: t.select(F.col("s_suppkey").alias("id"), name.alias("payload"), F.sha2(name, 256).alias("key"))
+    name = F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string"))
+    x = kept(runs.cycle(asked(name), asked(F.when(F.col("s_suppkey") == least, "changed").otherwise(name)), lambda: str.upper).select("scenario", "requests", "cache_hits"))
+    n = t.count()
+    cases = {"right": (x, n), "fewer": (x, n - 1), "repeated": (x.unionByName(x), n), "missed": (x.withColumn("requests", F.when(F.col("scenario") == "warm", 1).otherwise(F.col("requests"))), n)}
+    return reduce(DataFrame.unionByName, [metrics.cache_behaves(c, m).select(F.lit(k).alias("name"), "valid") for k, (c, m) in cases.items()])
+
+
+def d10_answers(spark, sf_dir):
+    key, kind = F.col("o_orderkey"), _pick(F.col("o_custkey"), "choice", "score", "noul")
+    labels, share = F.array(*[F.lit(x) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM")]), (key % 110) / 100
+    expected = F.when(kind == "score", F.array(*[F.lit(x) for x in "012"])).otherwise(labels)
+    named = F.when(F.col("o_orderstatus") == "P", F.slice(expected, 1, 2)).otherwise(expected)
+    answer = F.struct(F.when(key % 13 == 0, "other").otherwise(kind).alias("type"), F.col("o_orderpriority").alias("choice"), (key % 7 / 2).alias("score"), share.alias("noul"),
+        F.when(key % 19 > 0, F.lit(0.5)).alias("confidence"), F.map_from_arrays(named, F.transform(named, lambda _: share)).alias("probabilities"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", decisions.answer_problem(F.when(key % 17 > 0, answer), kind, labels).alias("problem"))
 
 
 QUERIES = {
@@ -161,5 +177,7 @@ QUERIES = {
     a18_scenario_comparison: """WITH m AS (SELECT o_custkey % 3 AS s, avg(o_orderkey % 100) AS mean, count(*) AS n FROM orders GROUP BY 1)
  SELECT max(mean) FILTER (s = 1) / nullif(max(mean) FILTER (s = 0), 0) AS cold_overhead, max(mean) FILTER (s = 0) / nullif(max(mean) FILTER (s = 2), 0) AS warm_speedup,
  max(n) FILTER (s = 0) - max(n) FILTER (s = 2) AS calls_avoided FROM m""",
-    a19_cache_behaves: "SELECT * FROM (VALUES ('right', true), ('fewer', false), ('repeated', false), ('missed', false)) x(name, valid)",
+    a19_cache_behaves: "SELECT unnest(['right', 'fewer', 'repeated', 'missed']) AS name, unnest([n > 1, n = 0, n = 0, n = 0]) AS valid FROM (SELECT count(*) AS n FROM supplier)",
+    d10_answers: """SELECT o_orderkey, CASE WHEN k % 17 = 0 THEN 'missing answer' WHEN k % 13 = 0 THEN 'wrong type' WHEN t = 2 THEN CASE WHEN k % 110 > 100 THEN 'invalid noul' END WHEN t = 0 AND o_orderpriority > '4' THEN 'invalid choice' WHEN t = 1 AND k % 7 > 4 THEN 'invalid score'
+ WHEN k % 19 = 0 THEN 'invalid confidence' WHEN o_orderstatus = 'P' THEN 'invalid labels' WHEN k % 110 > 100 THEN 'invalid probability' END AS problem FROM (SELECT *, o_orderkey AS k, o_custkey % 3 AS t FROM orders)""",
 }
