@@ -51,3 +51,35 @@ def cycle(requests: DataFrame, changed: DataFrame, provider: Callable[[], Callab
     cold = run(requests, empty, provider, concurrency)
     samples = {"uncached": uncached, "cold": cold.sample, "warm": run(requests, cold.cache, provider, concurrency).sample, "incremental": run(changed, cold.cache, provider, concurrency).sample}
     return reduce(DataFrame.unionByName, [x.withColumn("scenario", F.lit(name)) for name, x in samples.items()])
+
+
+class Collected(NamedTuple):
+    """judged(id, response, error), the targets that collecting failed for (id, error), the cache after both stages, and their counts (stage, ...)."""
+
+    judged: DataFrame
+    problems: DataFrame
+    cache: DataFrame
+    sample: DataFrame
+
+
+def _stage(targets: DataFrame, stage: str, provider_id: str) -> DataFrame:
+    payload = F.to_json(F.struct(F.lit(stage).alias("stage"), "state"))
+    key = F.when(F.col("state").isNotNull(), decisions.cache_key(F.lit(provider_id), F.col("state"), F.lit(stage)))
+    return targets.select("id", key.alias("key"), payload.alias("payload"))
+
+
+def collected(targets: DataFrame, cache: DataFrame, provider: Callable[[], Callable[[str], str]], provider_id: str, wanted: str, concurrency: int = 32) -> Collected:
+    """Asks the provider about targets(id, state, suppressed) twice: whether each is a candidate at all, then, if the answer is `wanted`, what to say of it.
+
+    Suppressed targets (null: not suppressed) are never asked about. Payloads are JSON of stage (collect or judge) and
+    state; equal states share a call in each stage. Both stages use one cache, and answers of the first are kept before the
+    second is planned, so a lost task repeats no call. A target whose first call failed is a problem and not judged; all
+    other targets go on.
+    """
+    open_ = targets.filter(~F.coalesce("suppressed", F.lit(False))).select("id", "state")
+    first = run(_stage(open_, "collect", provider_id), cache, provider, concurrency)
+    answers = kept(first.answers.select("id", "response", "error"))
+    candidates = open_.join(answers.filter(F.col("response") == wanted).select("id"), "id", "left_semi")
+    second = run(_stage(candidates, "judge", provider_id), first.cache, provider, concurrency)
+    sample = first.sample.withColumn("stage", F.lit("collect")).unionByName(second.sample.withColumn("stage", F.lit("judge")))
+    return Collected(second.answers.select("id", "response", "error"), answers.filter("error IS NOT NULL").select("id", "error"), second.cache, sample)

@@ -1,5 +1,7 @@
 """Recorded answers replayed, task manifests and exact percentiles over the tables, with their SQL."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from cairn.operators import decisions, merkle, metrics, ordinals, runs
@@ -77,6 +79,38 @@ def d15_fingerprints(spark, sf_dir):
     return of.select("scenarios", "requests").join(metrics.cache_behaves(x, n), F.lit(True))
 
 
+def _sorter():
+    """A provider that takes urgent orders for candidates and answers for them with their last letters; some calls fail."""
+
+    def call(payload):
+        asked = json.loads(payload)
+        state = asked["state"]
+        if state.endswith("3") and asked["stage"] == "collect" or state.endswith("5"):
+            raise ValueError(asked["stage"])
+        return ("todo" if "URGENT" in state or "HIGH" in state else "other") if asked["stage"] == "collect" else state[-4:]
+
+    return call
+
+
+def _collected(spark, sf_dir, cache=None):
+    o = _t(spark, sf_dir, "orders")
+    targets = o.select(F.col("o_orderkey").alias("id"), F.concat_ws(" ", "o_orderpriority", F.col("o_custkey").cast("string")).alias("state"), (F.col("o_orderstatus") == "P").alias("suppressed"))
+    empty = spark.createDataFrame([], "key string, response string")
+    return runs.collected(targets, empty if cache is None else cache, _sorter, "sorter", "todo")
+
+
+def d07_collected(spark, sf_dir):
+    x = _collected(spark, sf_dir)
+    return x.judged.select("id", "response", "error").unionByName(x.problems.withColumn("response", F.lit(None).cast("string")))
+
+
+def d07_calls(spark, sf_dir):
+    first = _collected(spark, sf_dir)
+    again = _collected(spark, sf_dir, first.cache)
+    counts = ["stage", "requests", "cache_hits", "failed", "entries"]
+    return first.sample.select(F.lit(1).alias("run"), *counts).unionByName(again.sample.select(F.lit(2).alias("run"), *counts))
+
+
 QUERIES = {
     d12_replayed: f"WITH {_REPLAY} SELECT id AS c_custkey, n, candidate, answer, state FROM r",
     d13_case_results: f"""WITH {_REPLAY}, s AS (SELECT id, count(*) FILTER (state <> 'surplus') AS actual_candidates, coalesce(bool_or(state = 'answered' AND answer LIKE 'F:%'), false) AS actual_finding, count(*) FILTER (state <> 'answered') AS errors FROM r GROUP BY id)
@@ -91,4 +125,10 @@ QUERIES = {
  SELECT 'uncached' AS scenario, n AS requests, f AS failed, 0 AS cache_hits, 0 AS entries, 0 AS bytes FROM x UNION ALL SELECT 'cold', n, f, 0, n - f, size FROM x UNION ALL SELECT 'warm', f, f, n - f, n - f, size FROM x
  UNION ALL SELECT 'incremental', count(*) FILTER (NOT held), count(*) FILTER (bad), count(*) FILTER (held), any_value(x.n - f) + count(*) FILTER (NOT held AND NOT bad), (any_value(size) + coalesce(sum(b.n) FILTER (NOT held AND NOT bad), 0))::BIGINT FROM b, x""",
     d15_fingerprints: """SELECT 'incremental' AS scenarios, 1 AS requests, true AS valid UNION ALL SELECT 'cold,uncached,warm', 2 * count(DISTINCT c_custkey), true FROM customer""",
+    d07_collected: """SELECT o_orderkey AS id, CASE WHEN o_custkey % 10 <> 3 AND o_custkey % 10 <> 5 THEN right(o_orderpriority || ' ' || o_custkey, 4) END AS response, CASE WHEN o_custkey % 10 IN (3, 5) THEN 'collect' END AS error FROM orders
+ WHERE o_orderstatus <> 'P' AND (o_custkey % 10 IN (3, 5) OR o_orderpriority IN ('1-URGENT', '2-HIGH'))""",
+    d07_calls: """WITH s AS (SELECT DISTINCT o_custkey % 10 IN (3, 5) AS bad, o_orderpriority IN ('1-URGENT', '2-HIGH') AS todo, o_orderpriority, o_custkey FROM orders WHERE o_orderstatus <> 'P'),
+ n AS (SELECT count(*) AS n, count(*) FILTER (bad) AS f, count(*) FILTER (todo AND NOT bad) AS j FROM s)
+ SELECT 1 AS run, 'collect' AS stage, n AS requests, 0 AS cache_hits, f AS failed, n - f AS entries FROM n UNION ALL SELECT 1, 'judge', j, 0, 0, n - f + j FROM n
+ UNION ALL SELECT 2, 'collect', f, n - f, f, n - f + j FROM n UNION ALL SELECT 2, 'judge', 0, j, 0, n - f + j FROM n""",
 }

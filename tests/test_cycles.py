@@ -1,8 +1,11 @@
 """Runs with a cache, answers and routes on small tables with nulls, repeats and empty sides."""
 
-from cairn.operators import decisions, routes, runs
+import json
+
 from pyspark.sql import functions as F
 
+from cairn.operators import decisions, routes, runs
+
 REQUEST = "id int, key string, payload string"
 
 
@@ -62,3 +65,24 @@ def test_routes_need_a_receiver_a_path_and_a_handler(spark):
         (1, "express", "GET", "/x", "f1", (("middleware", "mw"),)), (2, "fastify", "GET", "/p", None, (("schema", "{s}"), ("middleware", "auth"))), (3, "fastify", "POST", "/y", "fn9", (("middleware", "log"),)),
     }
     assert routes.routes(calls, args, props.limit(0), bound.limit(0)).count() == 0
+
+
+def test_only_what_was_collected_is_judged(spark):
+    def provider():
+        def call(payload):
+            asked = json.loads(payload)
+            if asked.get("state") == "bad":
+                raise ValueError("refused")
+            return ("todo" if asked.get("state") in ("a", "b") else "other") if asked["stage"] == "collect" else "judged " + asked["state"]
+
+        return call
+
+    targets = spark.createDataFrame([(1, "a", False), (2, "a", None), (3, "a", True), (4, "b", False), (5, "c", False), (6, "bad", False), (7, None, False)], "id int, state string, suppressed boolean")
+    empty = spark.createDataFrame([], "key string, response string")
+    x = runs.collected(targets, empty, provider, "p", "todo")
+    assert {r.id: r.response for r in x.judged.collect()} == {1: "judged a", 2: "judged a", 4: "judged b"}
+    assert [(r.id, r.error) for r in x.problems.collect()] == [(6, "refused")]
+    assert {r.stage: (r.requests, r.cache_hits, r.failed) for r in x.sample.collect()} == {"collect": (5, 0, 1), "judge": (2, 0, 0)}
+    again = runs.collected(targets, x.cache, provider, "p", "todo")
+    assert {r.stage: (r.requests, r.cache_hits, r.failed) for r in again.sample.collect()} == {"collect": (2, 3, 1), "judge": (0, 2, 0)}
+    assert runs.collected(targets.limit(0), empty, provider, "p", "todo").judged.count() == 0
