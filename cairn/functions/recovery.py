@@ -1,11 +1,16 @@
 """Cutting lineage."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset (tests, local runs), a folder below the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints").rstrip("/")
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df checkpointed in spark.checkpoint.dir; where that is unset (tests, local runs), below the warehouse."""
+    """df checkpointed in shared_dir()."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()

@@ -48,17 +48,17 @@ def e22_binding_names(spark, sf_dir):
 
 
 def e21_argument_facts(spark, sf_dir):
-    # Calls of one argument, of eight kinds by supplier.
-    l = _t(spark, sf_dir, "lineitem")
-    order, line, supplier, flag = (F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag"))
-    chain = F.concat(F.repeat(F.lit('{"type": "MemberExpression", "property": {"type": "Identifier", "name": "m"}, "start": 2, "end": 3, "object": '), F.col("l_linenumber")), _json(_named(_quoted("o", order), 2)), F.repeat(F.lit("}"), F.col("l_linenumber")))
+    # Calls of one argument, of eight kinds by customer, with members of up to seven names.
+    o = _t(spark, sf_dir, "orders").withColumn("n", (F.col("o_custkey") % 7 + 1).cast("int"))
+    order, line, customer, status = (F.col(c).cast("string") for c in ("o_orderkey", "n", "o_custkey", "o_orderstatus"))
+    chain = F.concat(F.repeat(F.lit('{"type": "MemberExpression", "property": {"type": "Identifier", "name": "m"}, "start": 2, "end": 3, "object": '), F.col("n")), _json(_named(_quoted("o", order), 2)), F.repeat(F.lit("}"), F.col("n")))
     prop = lambda key, value, computed=False: {"type": "Property", "computed": computed, "key": key, "value": value}
-    source = F.when(F.col("l_suppkey") % 8 == 6, F.concat(F.lit("`t"), order, F.lit("`"))).otherwise("x")
+    source = F.when(F.col("o_custkey") % 8 == 6, F.concat(F.lit("`t"), order, F.lit("`"))).otherwise("x")
     at = {"start": 2, "end": F.length(source) + 2}
     kinds = [
-        {"type": "Literal", "value": _quoted(flag)},
+        {"type": "Literal", "value": _quoted(status)},
         {"type": "Literal", "value": order},
-        {"type": "ObjectExpression", "properties": [prop(_named("id"), _named(_quoted("s", supplier), 5)), prop(_named("key", 8), _named("v", 9), True), prop(_named("flag"), _member(_named("o", 11), _quoted(flag))), prop(_named("id"), _named(_quoted("s", supplier), 14))]},
+        {"type": "ObjectExpression", "properties": [prop(_named("id"), _named(_quoted("s", customer), 5)), prop(_named("key", 8), _named("v", 9), True), prop(_named("flag"), _member(_named("o", 11), _quoted(status))), prop(_named("id"), _named(_quoted("s", customer), 14))]},
         chain,
         _member(_member(_member(_named("o", 3), "a"), _named(_quoted("i", line), 7), True), "z"),
         {"type": "ArrowFunctionExpression", "params": [{"type": "ArrayPattern", "elements": [_named("p", 3), None, _named(_quoted("q", line), 6)]}, _named("r", 9)], "body": _call(_member(_named("r", 20), "run"), _named(_quoted("l", line), 26))},
@@ -67,11 +67,11 @@ def e21_argument_facts(spark, sf_dir):
     ]
     argument = F.lit(None).cast("string")
     for i, k in enumerate(kinds):
-        argument = F.when(F.col("l_suppkey") % 8 == i, _json(k | at if isinstance(k, dict) else k)).otherwise(argument)
-    x = l.select("l_orderkey", "l_linenumber", "l_suppkey", _json(_call(_named("g"), argument) | {"start": 0}).alias("json"), F.concat(F.lit("g("), source, F.lit(")")).alias("source"), F.lit("ExpressionStatement").alias("parent"))
-    x = syntax.calls(x, "json", "source", "parent").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("arguments")[0].alias("a")).select("*", "a.*")
+        argument = F.when(F.col("o_custkey") % 8 == i, _json(k | at if isinstance(k, dict) else k)).otherwise(argument)
+    x = o.select("o_orderkey", _json(_call(_named("g"), argument) | {"start": 0}).alias("json"), F.concat(F.lit("g("), source, F.lit(")")).alias("source"), F.lit("ExpressionStatement").alias("parent"))
+    x = syntax.calls(x, "json", "source", "parent").select("o_orderkey", F.col("arguments")[0].alias("a")).select("*", "a.*")
     joined = lambda c: F.array_join(c, ",")
-    return x.select("l_orderkey", "l_linenumber", "l_suppkey", "kind", joined("references").alias("refs"), joined("properties").alias("properties"), "value", F.array_join(F.transform("bindings", joined), ";").alias("bindings"))
+    return x.select("o_orderkey", "kind", joined("references").alias("refs"), joined("properties").alias("properties"), "value", F.array_join(F.transform("bindings", joined), ";").alias("bindings"))
 
 
 def e17_calls(spark, sf_dir):
@@ -124,10 +124,10 @@ def e15_response_chain(spark, sf_dir):
 QUERIES = {
     e22_binding_names: """SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND p_partkey % 5 = 0 THEN p_type || ',' ELSE '' END || p_brand || ',' || split_part(p_name, ' ', 1)
  || CASE WHEN p_size % 2 = 0 AND p_partkey % 5 <> 0 THEN ',' || p_type ELSE '' END AS names FROM part""",
-    e21_argument_facts: """SELECT l_orderkey, l_linenumber, l_suppkey, ['literal', 'literal', 'object', 'member', 'member', 'function', 'template', 'call'][l_suppkey % 8 + 1] AS kind,
- CASE l_suppkey % 8 WHEN 2 THEN 's' || l_suppkey || ',v,o.' || l_returnflag WHEN 3 THEN 'o' || l_orderkey || repeat('.m', l_linenumber) WHEN 4 THEN 'o.a,i' || l_linenumber WHEN 5 THEN 'r.run,l' || l_linenumber WHEN 7 THEN 'F,a' || l_linenumber ELSE '' END AS refs,
- CASE WHEN l_suppkey % 8 = 2 THEN 'id,flag' END AS properties, CASE l_suppkey % 8 WHEN 0 THEN '"' || l_returnflag || '"' WHEN 1 THEN l_orderkey::VARCHAR WHEN 6 THEN '"t' || l_orderkey || '"' END AS value,
- CASE WHEN l_suppkey % 8 = 5 THEN 'p,q' || l_linenumber || ';r' END AS bindings FROM lineitem""",
+    e21_argument_facts: """SELECT o_orderkey, ['literal', 'literal', 'object', 'member', 'member', 'function', 'template', 'call'][o_custkey % 8 + 1] AS kind,
+ CASE o_custkey % 8 WHEN 2 THEN 's' || o_custkey || ',v,o.' || o_orderstatus WHEN 3 THEN 'o' || o_orderkey || repeat('.m', (o_custkey % 7 + 1)::INT) WHEN 4 THEN 'o.a,i' || (o_custkey % 7 + 1) WHEN 5 THEN 'r.run,l' || (o_custkey % 7 + 1) WHEN 7 THEN 'F,a' || (o_custkey % 7 + 1) ELSE '' END AS refs,
+ CASE WHEN o_custkey % 8 = 2 THEN 'id,flag' END AS properties, CASE o_custkey % 8 WHEN 0 THEN '"' || o_orderstatus || '"' WHEN 1 THEN o_orderkey::VARCHAR WHEN 6 THEN '"t' || o_orderkey || '"' END AS value,
+ CASE WHEN o_custkey % 8 = 5 THEN 'p,q' || (o_custkey % 7 + 1) || ';r' END AS bindings FROM orders""",
     e17_calls: """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'constructor' ELSE 'call' END AS relation, 'db' || o_custkey || '.query' AS callee, 'identifier,member,spread,literal' AS kinds, 'c' || o_custkey || ',c' || o_custkey || '.p' AS refs,
  CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority = '1-URGENT' END AS awaited, CASE o_orderpriority WHEN '1-URGENT' THEN 'await' WHEN '2-HIGH' THEN 'return' WHEN '3-MEDIUM' THEN 'assignment' WHEN '4-NOT SPECIFIED' THEN 'condition' ELSE 'other' END AS usage FROM orders""",
     e17_declared: """WITH x AS (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 10 = 0 AND o_orderpriority IN ('1-URGENT', '2-HIGH'))
