@@ -24,6 +24,25 @@ def agreement(expected: Column, actual: Column) -> list:
     return [same.alias("correct"), F.count_if(~expected.eqNullSafe(actual)).alias("incorrect"), F.coalesce(F.try_divide(same, F.count(F.lit(1))), F.lit(0.0)).alias("rate")]
 
 
+def outcomes(cases: DataFrame, *by: str) -> DataFrame:
+    """Four agreements over all cases, failed ones too: labels, diagnostics, abstentions and strict, each with matches and rate.
+
+    cases(expected_choices, actual_choices, expected_finding, actual_finding, expected_abstention, actual_abstention, accepted);
+    a null expected abstention is none, a null of any other column equals only a null. abstained and abstentions_expected count the abstentions.
+    """
+    none = F.lit(False)
+    wanted = F.coalesce("expected_abstention", none)
+    same = {
+        "label": F.col("expected_choices").eqNullSafe(F.col("actual_choices")),
+        "diagnostic": F.col("expected_finding").eqNullSafe(F.col("actual_finding")),
+        "abstention": wanted.eqNullSafe(F.col("actual_abstention")),
+        "strict": F.coalesce("accepted", none),
+    }
+    n = F.count(F.lit(1))
+    counts = [c for name, s in same.items() for c in (F.count_if(s).alias(f"{name}_matches"), F.coalesce(F.try_divide(F.count_if(s), n), F.lit(0.0)).alias(f"{name}_rate"))]
+    return cases.groupBy(*by).agg(n.alias("cases"), *counts, F.count_if("actual_abstention").alias("abstained"), F.count_if(wanted).alias("abstentions_expected"))
+
+
 def abstention_metrics(cases: DataFrame, *by: str) -> DataFrame:
     """Counts over cases(expected, actual, valid): expected over all of them, the others over valid ones; a null expected is none."""
     e, a = F.coalesce(F.col("expected"), F.lit(False)), F.col("valid") & F.col("actual")
@@ -125,6 +144,15 @@ def scenario_comparison(scenarios: DataFrame) -> DataFrame:
     )
 
 
+def cycle_comparison(scenarios: DataFrame) -> DataFrame:
+    """scenario_comparison over scenarios with input_tokens, output_tokens and fingerprint too: the tokens that a warm cache saves, and whether all diagnostics are the same."""
+    at = lambda s, c: F.max(F.when(F.col("scenario") == s, F.col(c)))
+    saved = [(at("uncached", c) - at("warm", c)).alias(f"{c}_avoided") for c in ("input_tokens", "output_tokens")]
+    match = (F.count("fingerprint") == F.count(F.lit(1))) & (F.min("fingerprint") == F.max("fingerprint"))
+    # Both sides are one row.
+    return scenario_comparison(scenarios).join(scenarios.agg(*saved, F.coalesce(match, F.lit(False)).alias("diagnostics_match")), F.lit(True))
+
+
 def cache_behaves(scenarios: DataFrame, n: int) -> DataFrame:
     """valid: without and with a cold cache n calls and no hit, warm only hits, and one call after one change."""
     want = {"uncached": (n, 0), "cold": (n, 0), "warm": (0, n), "incremental": (1, n - 1)}
