@@ -83,3 +83,23 @@ def collected(targets: DataFrame, cache: DataFrame, provider: Callable[[], Calla
     second = run(_stage(candidates, "judge", provider_id), first.cache, provider, concurrency)
     sample = first.sample.withColumn("stage", F.lit("collect")).unionByName(second.sample.withColumn("stage", F.lit("judge")))
     return Collected(second.answers.select("id", "response", "error"), answers.filter("error IS NOT NULL").select("id", "error"), second.cache, sample)
+
+
+class Isolated(NamedTuple):
+    """The candidates of sound (file, rule) pairs, and a row (file, rule, error, failures) for each pair that failed."""
+
+    candidates: DataFrame
+    errors: DataFrame
+
+
+def isolated(candidates: DataFrame, problems: DataFrame, place: str = "place") -> Isolated:
+    """Keeps a rule's failure on a file to itself: problems(file, rule, place, error) drop all candidates(file, rule, ...) of their pair and of no other.
+
+    The error is that of the first place (the least text of several there, a null place last). Null files and rules are
+    values of their own. Only the failed pairs are looked up, so a pair with many candidates moves none of them when these fit a broadcast.
+    """
+    last = F.col(place).isNull()
+    errors = problems.groupBy("file", "rule").agg(F.min(F.struct(last, place, "error"))["error"].alias("error"), F.count(F.lit(1)).alias("failures"))
+    failed = errors.select(F.col("file").alias("_file"), F.col("rule").alias("_rule"))
+    same = F.col("file").eqNullSafe(F.col("_file")) & F.col("rule").eqNullSafe(F.col("_rule"))
+    return Isolated(candidates.join(failed, same, "left_anti"), errors)

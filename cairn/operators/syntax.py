@@ -8,8 +8,10 @@ are in order of code points, those without a start last.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cairn.functions import text
+
 # The field of a pattern's node that holds what it binds, kinds of values, what a call's parent makes of it,
-# functions, wrappers of a reference, methods of a response.
+# functions, wrappers of a reference, methods of a response, options that page or order rows, calls that take SQL.
 PATTERN_FIELD = {
     "ArrayPattern": "elements",
     "AssignmentPattern": "left",
@@ -44,6 +46,9 @@ USAGE = {
 WRAPPERS = ["ChainExpression", "TSAsExpression", "TSSatisfiesExpression", "TSNonNullExpression"]
 STATUS_METHODS = ["status", "code", "sendStatus"]
 HEADER_METHODS = ["header", "set", "setHeader"]
+PAGE_OPTIONS = ["limit", "offset", "skip", "take"]
+ORDER_OPTIONS = ["orderby", "order_by"]
+QUERY_CALL = r"(?i)(?:^|\.)query\z"
 
 _NODES = "array<variant>"
 
@@ -212,9 +217,9 @@ def calls(nodes: DataFrame, json: str, source: str, parent_type: str) -> DataFra
     x = nodes.withColumns({"_node": F.try_parse_json(json), "_bound": levels(F.col(json))})
     x = x.filter(_type(node).isin("CallExpression", "NewExpression"))
     at = lambda n, f: _get(n, f, "int")
-    text = lambda n: F.substr(F.col(source), at(n, "start") - at(node, "start") + 1, at(n, "end") - at(n, "start"))
+    own = lambda n: F.substr(F.col(source), at(n, "start") - at(node, "start") + 1, at(n, "end") - at(n, "start"))
     is_call = _type(node) == "CallExpression"
-    x = x.withColumn("arguments", F.transform(_nodes(_get(node, "arguments")), lambda n: argument(n, bound, text(n))))
+    x = x.withColumn("arguments", F.transform(_nodes(_get(node, "arguments")), lambda n: argument(n, bound, own(n))))
     return x.withColumns({
         "relation": F.when(is_call, "call").otherwise("constructor"),
         "callee": callee(_get(node, "callee"), bound),
@@ -255,3 +260,17 @@ def response_chain(json: Column) -> Column:
     statuses = F.filter(F.transform(made, lambda n: F.when(method(n).isin(STATUS_METHODS), number(n))), lambda s: s.isNotNull())
     places = F.transform(F.reverse(F.filter(made, lambda n: method(n).isin(HEADER_METHODS))), lambda n: F.struct(_get(n, "start", "bigint").alias("start"), _get(n, "end", "bigint").alias("end")))
     return F.struct(F.try_element_at(statuses, F.lit(1)).alias("status"), places.alias("headers"))
+
+
+def pagination(name: Column, arguments: Column) -> Column:
+    """paginated and ordered of a call named so, from arguments as calls() gives them; null where nothing tells.
+
+    The first object with an option that pages rows decides, whatever the case of its keys; without one, the SQL that is a
+    query call's first argument.
+    """
+    keys = F.transform(arguments, lambda a: F.transform(F.coalesce(a["properties"], F.array().cast("array<string>")), F.lower))
+    pages = F.try_element_at(F.filter(keys, lambda k: F.arrays_overlap(k, F.lit(PAGE_OPTIONS))), F.lit(1))
+    value = F.try_element_at(arguments, F.lit(1))["value"]
+    sql = F.when(name.rlike(QUERY_CALL) & value.startswith('"'), F.try_variant_get(F.try_parse_json(value), "$", "string"))
+    by_sql = F.when(sql.isNotNull(), F.struct(text.paginated(sql).alias("paginated"), text.ordered(sql).alias("ordered")))
+    return F.when(pages.isNotNull(), F.struct(F.lit(True).alias("paginated"), F.arrays_overlap(pages, F.lit(ORDER_OPTIONS)).alias("ordered"))).otherwise(by_sql)

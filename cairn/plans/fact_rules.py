@@ -140,11 +140,20 @@ def resources(functions: DataFrame, calls: DataFrame, constructors: DataFrame, d
     ])
 
 
-def call_kind(callee: Column) -> Column:
-    """What a call tells operators: error_log, diagnostic_log, log, telemetry_name, exception_telemetry or telemetry; null for others."""
-    log = F.when(callee.rlike(ERROR_LOG), "error_log").when(callee.rlike(DIAGNOSTIC_LOG), "diagnostic_log").otherwise("log")
-    told = F.when(callee.rlike(EXCEPTION), "exception_telemetry").otherwise("telemetry")
-    return F.when(text.matches_any(callee, LOGGING), log).when(callee.rlike(TELEMETRY_NAME), "telemetry_name").when(callee.rlike(TELEMETRY), told)
+def call_kind(callee: Column, **custom: list[str]) -> Column:
+    """What a call tells operators: error_log, diagnostic_log, log, telemetry_name, exception_telemetry or telemetry; null for others.
+
+    custom has more patterns of logging, error_logging, telemetry, exception_telemetry and telemetry_name calls. A call
+    that a log's and another's pattern fit is a log, one of a telemetry's name is that before plain telemetry.
+    """
+    unknown = custom.keys() - {"logging", "error_logging", "telemetry", "exception_telemetry", "telemetry_name"}
+    if unknown:
+        raise ValueError(f"no such patterns: {', '.join(sorted(unknown))}")
+    fits = lambda fixed, *names: text.matches_any(callee, [*fixed, *[p for n in names for p in custom.get(n, [])]])
+    log = F.when(fits([ERROR_LOG], "error_logging"), "error_log").when(callee.rlike(DIAGNOSTIC_LOG), "diagnostic_log").otherwise("log")
+    told = F.when(fits([EXCEPTION], "exception_telemetry"), "exception_telemetry").otherwise("telemetry")
+    telemetry = F.when(fits([TELEMETRY_NAME], "telemetry_name"), "telemetry_name").when(fits([TELEMETRY], "telemetry", "exception_telemetry"), told)
+    return F.when(fits(LOGGING, "logging", "error_logging"), log).otherwise(telemetry)
 
 
 def observability(calls: DataFrame) -> DataFrame:

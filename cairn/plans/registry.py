@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text
 from cairn.operators import evidence, joins, metrics
-from cairn.plans import cache_queries, decision_queries, fact_queries, nesting_queries, range_queries, report_queries, route_queries, rule_queries, run_queries, selection_queries, syntax_queries, whole_queries
+from cairn.plans import cache_queries, decision_queries, fact_queries, nesting_queries, option_queries, range_queries, report_queries, route_queries, rule_queries, run_queries, selection_queries, syntax_queries, whole_queries
 
 
 def _t(spark, sf_dir, name):
@@ -136,7 +136,7 @@ def flagship(spark, sf_dir):
     return a04_detection_by_rule(spark, sf_dir).orderBy("lang")
 
 
-FAMILIES = [range_queries, decision_queries, whole_queries, fact_queries, selection_queries, nesting_queries, run_queries, rule_queries, route_queries, syntax_queries, cache_queries, report_queries]
+FAMILIES = [range_queries, decision_queries, whole_queries, fact_queries, selection_queries, nesting_queries, run_queries, rule_queries, route_queries, syntax_queries, cache_queries, report_queries, option_queries]
 
 
 def queries() -> dict:
