@@ -78,9 +78,14 @@ def _is_member(node: Column) -> Column:
     return F.coalesce(_type(node).endswith("MemberExpression"), F.lit(False))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _nodes(value: Column) -> Column:
     """A field's nodes in their order: those of a list, or the one it holds; never null."""
-    listed = F.coalesce(F.try_variant_get(value, "$", _NODES), F.array(value))
+    listed = _once(value, lambda v: F.coalesce(F.try_variant_get(v, "$", _NODES), F.array(v)))
     return F.filter(listed, lambda n: _type(n).isNotNull())
 
 
@@ -112,7 +117,7 @@ def _found(node: Column, name: Column) -> Column:
 
 def binding_names(pattern: Column, bound: Column) -> Column:
     """The names that a pattern binds, at any depth, in order of place; repeats stay. Empty for what binds nothing."""
-    held = lambda n: F.try_element_at(F.try_variant_get(n, "$", "map<string,variant>"), F.try_element_at(_map(PATTERN_FIELD), _type(n)))
+    held = lambda n: F.try_variant_get(n, F.try_element_at(_map({t: f"$.{f}" for t, f in PATTERN_FIELD.items()}), _type(n)), "variant")
     named = lambda n: _found(n, F.when(_type(n) == "Identifier", _name(n)))
     return _gathered(_nodes(pattern), bound, lambda n: _nodes(held(n)), named)
 
@@ -134,7 +139,9 @@ def references(root: Column, bound: Column) -> Column:
 
     def below(e):
         n = e["node"]
-        static = _property(n)
+        return _once(F.when(_is_member(n), _property(n)), lambda static: found_below(e, n, static))
+
+    def found_below(e, n, static):
         path = F.when(static.isNotNull(), F.concat_ws(".", static, e["path"]))
         of_object = F.transform(_nodes(_get(n, "object")), lambda c: entry(c, path))
         computed = F.when(static.isNull() & _get(n, "computed", "boolean"), _get(n, "property"))
@@ -252,8 +259,11 @@ def declared(nodes: DataFrame, key: str, json: str) -> DataFrame:
 def response_chain(json: Column) -> Column:
     """status and headers of a response's chain of calls: the literal status nearest the end, and where header calls start and end, in the order they are made."""
     node, bound = F.try_parse_json(json), levels(json)
-    spine = _spine(node, bound, lambda n: F.when(_type(n) == "CallExpression", _get(n, "callee")).when(_is_member(n), _get(n, "object")))
-    made = F.filter(spine, lambda n: _type(n) == "CallExpression")
+    spine = _spine(node, bound, lambda n: _once(_type(n), lambda t: F.when(t == "CallExpression", _get(n, "callee")).when(t.endswith("MemberExpression"), _get(n, "object"))))
+    return _once(F.filter(spine, lambda n: _type(n) == "CallExpression"), _told)
+
+
+def _told(made: Column) -> Column:
     method = lambda n: F.when(_is_member(_get(n, "callee")), _name(_get(_get(n, "callee"), "property")))
     first = lambda n: F.try_element_at(_nodes(_get(n, "arguments")), F.lit(1))
     number = lambda n: F.when((_type(first(n)) == "Literal") & F.schema_of_variant(_get(first(n), "value")).rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL\(.*\))$"), _get(first(n), "value", "int"))

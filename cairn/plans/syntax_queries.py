@@ -6,6 +6,11 @@ from cairn.operators import syntax
 from cairn.plans.tables import table as _t
 
 
+def _spread(spark, sf_dir, name, *columns):
+    """The columns of a table, dealt evenly: a file of few row groups would leave the walks to as few tasks."""
+    return _t(spark, sf_dir, name).select(*columns).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _json(x) -> Column:
     """The JSON text of dicts and lists; a column in them is text that stands as it is."""
     if isinstance(x, Column):
@@ -36,7 +41,7 @@ def _call(of, *arguments):
 
 def e22_binding_names(spark, sf_dir):
     # Patterns as deep as a part's size; every fifth one's rest stands first.
-    p = _t(spark, sf_dir, "part")
+    p = _spread(spark, sf_dir, "part", "p_partkey", "p_size", "p_name", "p_brand", "p_type")
     size, word = F.col("p_size"), F.element_at(F.split("p_name", " "), 1)
     deep = F.concat(F.repeat(F.lit('{"type": "ArrayPattern", "elements": [null, '), size), _json(_named(_quoted(word), 2)), F.repeat(F.lit("]}"), size))
     rest = F.when(F.col("p_partkey") % 5 == 0, 0).otherwise(3)
@@ -49,7 +54,7 @@ def e22_binding_names(spark, sf_dir):
 
 def e21_argument_facts(spark, sf_dir):
     # Calls of one argument, of eight kinds by customer, with members of up to seven names.
-    o = _t(spark, sf_dir, "orders").withColumn("n", (F.col("o_custkey") % 7 + 1).cast("int"))
+    o = _spread(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus").withColumn("n", (F.col("o_custkey") % 7 + 1).cast("int"))
     order, line, customer, status = (F.col(c).cast("string") for c in ("o_orderkey", "n", "o_custkey", "o_orderstatus"))
     chain = F.concat(F.repeat(F.lit('{"type": "MemberExpression", "property": {"type": "Identifier", "name": "m"}, "start": 2, "end": 3, "object": '), F.col("n")), _json(_named(_quoted("o", order), 2)), F.repeat(F.lit("}"), F.col("n")))
     prop = lambda key, value, computed=False: {"type": "Property", "computed": computed, "key": key, "value": value}
@@ -75,7 +80,7 @@ def e21_argument_facts(spark, sf_dir):
 
 
 def e17_calls(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders")
+    o = _spread(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     customer = F.col("o_custkey").cast("string")
     kind = F.when(F.col("o_orderstatus") == "P", _quoted("NewExpression")).otherwise(_quoted("CallExpression"))
     parents = {"1-URGENT": "AwaitExpression", "2-HIGH": "ReturnStatement", "3-MEDIUM": "VariableDeclarator", "4-NOT SPECIFIED": "SwitchStatement", "5-LOW": "SwitchCase"}
@@ -90,7 +95,7 @@ def e17_calls(spark, sf_dir):
 
 def e17_declared(spark, sf_dir):
     # An order's priority says what its node is; every tenth order's node is there twice.
-    o = _t(spark, sf_dir, "orders")
+    o = _spread(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     customer, status = F.col("o_custkey").cast("string"), F.col("o_orderstatus")
     at = {"start": F.col("o_orderkey"), "end": F.col("o_orderkey") + 5}
     asserted = {"type": "TSAsExpression", "expression": {"type": "ChainExpression", "expression": _member(_named("db"), {"type": "Literal", "value": _quoted("t", customer)}, True)}}
@@ -110,7 +115,7 @@ def e17_declared(spark, sf_dir):
 
 def e15_response_chain(spark, sf_dir):
     # Up to three headers, a literal status, for every third order a later one that is none.
-    o = _t(spark, sf_dir, "orders")
+    o = _spread(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     n, key = (F.col("o_custkey") % 4).cast("int"), F.col("o_orderkey")
     opened = lambda i: F.concat(F.lit('{"type": "CallExpression", "arguments": [], "start": 0, "end": '), (i * 10).cast("string"), F.lit(', "callee": {"type": "MemberExpression", "property": {"type": "Identifier", "name": "setHeader"}, "object": '))
     headers = F.when(n > 0, F.array_join(F.transform(F.sequence(n, F.lit(1), F.lit(-1)), opened), "")).otherwise("")

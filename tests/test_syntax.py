@@ -89,3 +89,12 @@ def test_calls_keep_other_columns_and_leave_out_what_is_no_call(spark):
     assert [json.loads(a.value) if a.value else None for a in got[1].arguments] == ['a"b', None]
     assert (got[4].relation, got[4].awaited, got[4].usage, got[4].arguments) == ("constructor", None, "await", [])
     assert syntax.calls(d.limit(0), "j", "source", "parent").count() == 0 == syntax.declared(d.limit(0), "id", "j").count()
+
+
+def test_walks_are_dealt_over_tasks_whatever_the_row_groups(spark):
+    from cairn.plans import registry
+
+    for name in ("e22_binding_names", "e15_response_chain", "e17_calls"):
+        x = registry.queries()[name](spark, "/root/testdata/sf0.01")
+        rows = [r["count"] for r in x.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(rows) == 4 and max(rows) < 2 * min(rows)
