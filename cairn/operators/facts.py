@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.functions import text
-from cairn.operators import joins, nesting
+from cairn.operators import nesting
 
 
 def selected_functions(functions: DataFrame, calls: DataFrame, callee: str, most: int = 12000) -> DataFrame:
@@ -24,9 +24,9 @@ def retry_loops(loops: DataFrame, catches: DataFrame, calls: DataFrame, key: str
     loops = loops.filter("kind <> 'for-in'")
     held = nesting.holds_any(loops, catches, key, "_held").filter("_held IS NOT NULL").drop("_held")
     bound = held.filter("kind = 'for-of' AND size(bindings) > 0")
-    free = joins.smallest_enclosing(calls, catches, key).filter("outer_id IS NULL").drop("outer_id")
-    inside = joins.contained(free, bound, key).join(free.select(key, "id", "references"), [key, "id"])
-    used = inside.select(key, F.col("outer_id").alias("_loop"), "references").join(bound.select(key, F.col("id").alias("_loop"), "bindings"), [key, "_loop"])
+    free = nesting.in_any(calls, catches, key, "_caught").filter("_caught IS NULL").drop("_caught")
+    inside = nesting.all_around(free.select(key, "start", "end", "references"), bound, key, "_loop")
+    used = inside.select(key, "_loop", "references").distinct().join(bound.select(key, F.col("id").alias("_loop"), "bindings"), [key, "_loop"])
     ignoring = used.filter(~F.coalesce(F.arrays_overlap("references", "bindings"), F.lit(False))).select(key, F.col("_loop").alias("id")).distinct()
     return held.filter("kind <> 'for-of' OR coalesce(size(bindings), 0) <= 0").select(key, "id").unionByName(ignoring)
 

@@ -99,3 +99,29 @@ def test_longest_paths_in_order(spark):
     rows = [(1, None, "a", 0, "f"), (2, 1, "b", 0, "f"), (3, None, "c", 5, "f"), (4, None, "a", 9, "f"), (5, 4, "b", 9, "f"), (6, None, None, 12, "g"), (7, None, "d", 13, "g")]
     got = {r.owner: (r.paths, r.partial) for r in graphs.reference_paths(spark.createDataFrame(rows, "id long, object long, name string, start long, owner string"), "owner").collect()}
     assert got == {"f": (["a.b", "c"], False), "g": (["d"], True)}
+
+
+def test_a_sweep_gives_out_batches_of_bounded_size():
+    import pyarrow as pa
+
+    n, kind = 3000, pa.int64()
+    row = pa.struct([("id", kind)])
+    schema = pa.schema([("row", row), ("outers", pa.list_(kind))])
+    held = [{"pid": 0, "key": "a", "start": 0, "end": 10_000 + i, "id": i, "row": None, "asks": None, "holds": True} for i in range(n)]
+    asks = [{"pid": 0, "key": "a", "start": 1 + i, "end": 5000, "id": None, "row": {"id": i}, "asks": True, "holds": False} for i in range(n)]
+    fields = pa.schema([("pid", pa.int32()), ("key", pa.string()), ("start", kind), ("end", kind), ("id", kind), ("row", row), ("asks", pa.bool_()), ("holds", pa.bool_())])
+    given = nesting._swept(nesting.Every, [pa.RecordBatch.from_pylist(held + asks, fields)], False, False, schema)
+    sizes = [(len(b.column("outers").flatten()), max(len(x) for x in b.column("outers"))) for b in given]
+    assert sum(s for s, _ in sizes) == n * n and max(s for s, _ in sizes) <= nesting.BATCH + nesting.LISTED and max(x for _, x in sizes) <= nesting.LISTED
+
+
+@pytest.mark.parametrize("large", [5, 60, 10_000])
+def test_keys_cut_for_windows_give_what_all_pairs_give(many_cuts, monkeypatch, large):
+    monkeypatch.setattr(nesting, "LARGE", large)
+    inner, outer = ranges(3, 300, 2000, 60), ranges(4, 120, 2000, 90)
+    a, b = (many_cuts.createDataFrame(x, SCHEMA) for x in (inner, outer))
+    holds = lambda o, i: good(o) and good(i) and o[0] == i[0] and o[2] <= i[2] and o[3] >= i[3]
+    small = [o for o in outer if o[3] is None or o[2] is None or o[3] - o[2] < 100]
+    b = b.filter("end IS NULL OR start IS NULL OR end - start < 100")
+    assert {r.id: r.h is not None for r in nesting.in_any(a, b, "k", "h").collect()} == {i[1]: any(holds(o, i) for o in small) for i in inner}
+    assert {r.id: r.h is not None for r in nesting.holds_any(b, a, "k", "h").collect()} == {o[1]: any(holds(o, i) for i in inner) for o in small}
