@@ -112,9 +112,9 @@ def j18_message_dispatch(spark, sf_dir):
 
 def j18_members_of_words(spark, sf_dir):
     words = F.regexp_extract_all("text", F.lit(r"[A-Za-z_][A-Za-z0-9_]*|\?\.|[^A-Za-z_ \n]"), F.lit(0))
-    x = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("place", "word"))
-    x = x.withColumns({"start": F.col("place"), "end": F.col("place") + 1})
-    return names.members_of(x, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("paths"), F.min("path").alias("first"), F.max("end").alias("last"))
+    x = _t(spark, sf_dir, "documents").select("doc_id", words.alias("words"))
+    x = x.select("doc_id", F.inline(names.members_within(F.col("words"))))
+    return x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("paths"), F.min("path").alias("first"), F.max("end").alias("last"))
 
 
 def k03_explained(spark, sf_dir):

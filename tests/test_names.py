@@ -91,3 +91,14 @@ def test_every_rule_with_thresholds_is_selected_somewhere(spark):
     sql = " ".join(rule_queries.QUERIES.values())
     missing = [r for r, *_ in rules.RULES if not r.startswith(("comments/", "security/")) and f"'{r}'" not in sql]
     assert missing == []
+
+
+def test_members_of_a_row_need_no_join(spark):
+    from cairn.plans import registry
+
+    words = ["err", "?.", "message", ".", "length", None, ".", "x", "(", ".", "y", "."]
+    d = spark.createDataFrame([(1, words), (2, []), (3, None), (4, ["a", "."]), (5, ["a", ".", "b"])], "id int, w array<string>")
+    got = {r.id: [tuple(x) for x in r.m or []] for r in d.select("id", names.members_within(F.col("w")).alias("m")).collect()}
+    assert got == {1: [("err.message", 0, 3), ("message.length", 2, 5)], 2: [], 3: [], 4: [], 5: [("a.b", 0, 3)]}
+    x = registry.queries()["j18_members_of_words"](spark, "/root/testdata/sf0.001")
+    assert "Join" not in x._jdf.queryExecution().optimizedPlan().toString()
