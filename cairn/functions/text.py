@@ -20,6 +20,11 @@ def call_root(callee: Column) -> Column:
     return F.split_part(callee, F.lit("."), F.lit(1))
 
 
+def root_of(callee: str) -> str:
+    """call_root of a fixed callee."""
+    return callee.split(".", 1)[0]
+
+
 def extension(filename: Column) -> Column:
     """The last .xxx, lower-cased; empty if there is none."""
     return F.regexp_extract(F.lower(filename), r"\.[^./]*$", 0)

@@ -19,6 +19,8 @@ from cairn.functions.recovery import kept
 
 #: Outer ranges in a batch and in a row that a sweep gives out, and rows from which a key is cut for windows.
 BATCH, LISTED, LARGE = 1 << 16, 1 << 12, 250_000
+#: Into how many buckets keys are hashed to see whether any can be large.
+BUCKETS = 1 << 16
 
 
 class Nearest:
@@ -37,7 +39,7 @@ class Nearest:
             upto += 1
         self.ranks[at:upto], self.ends[at:upto] = [rank], [end]
 
-    def around(self, start, end):
+    def around(self, start, end, asking=None):
         """The id of the shortest open range that reaches to `end`; of equals the first by start, then id."""
         at = bisect_left(self.ends, end)
         return [self.ranks[at][2]] if at < len(self.ends) else []
@@ -60,7 +62,7 @@ class Every:
             self.ids = list(self.ids)
         self.ids.insert(at, i)
 
-    def around(self, start, end):
+    def around(self, start, end, asking=None):
         """The ids of all open ranges that reach to `end`."""
         gone = bisect_left(self.ends, start)
         if gone:
@@ -93,7 +95,7 @@ def _left_open(state, batches):
 
 
 def _swept(state, batches, strict, whole, schema):
-    """A row of (row, outers) for each row that asks; unless they are to be whole, lists of over LISTED outers are given out in several."""
+    """A row of (row, outers) for each row that asks; unless they are to be whole, lists of over LISTED outers are given out in several, and empty ones not at all."""
     key = pid = now = None
     later, place = [], None
     ids = _holder(schema.field("outers").type.value_type)
@@ -118,7 +120,9 @@ def _swept(state, batches, strict, whole, schema):
             elif holds:
                 now.add(s, e, i)
             if asks:
-                found = now.around(s, e)
+                found = now.around(s, e, i)
+                if not found and not whole:
+                    continue
                 step = max(1, len(found)) if whole else LISTED
                 for first in range(0, max(1, len(found)), step):
                     if isinstance(outers, array) and isinstance(found, list) and None in found:
@@ -137,12 +141,12 @@ def _proper(x: DataFrame, key: str) -> Column:
     return F.coalesce(F.col(f"`{key}`").isNotNull() & (F.col("start") <= F.col("end")), F.lit(False))
 
 
-def _around(inner: DataFrame, outer: DataFrame, key: str, state, strict: bool, whole: bool) -> DataFrame:
-    """(row, outers): the proper rows of inner(key, start, end, ...) as structs, with what the state gives of outer(key, start, end, id)."""
+def _around(inner: DataFrame, outer: DataFrame, key: str, state, strict: bool, whole: bool, by: Column | None = None) -> DataFrame:
+    """(row, outers): the proper rows of inner(key, start, end, ...) as structs, with what the state gives of outer(key, start, end, id); `by` is what the state is asked with, of the type of ids."""
     place = [F.col(f"`{key}`").alias("key"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")]
     kind = outer.schema["id"].dataType
     row = F.struct(*[F.col(f"`{c}`") for c in inner.columns])
-    asking = inner.filter(_proper(inner, key)).select(*place, F.lit(None).cast(kind).alias("id"), row.alias("row"), F.lit(True).alias("asks"), F.lit(False).alias("holds"))
+    asking = inner.filter(_proper(inner, key)).select(*place, (F.lit(None).cast(kind) if by is None else by).alias("id"), row.alias("row"), F.lit(True).alias("asks"), F.lit(False).alias("holds"))
     holding = outer.filter(_proper(outer, key)).select(*place, "id")
     # Of equal ranges the nearest is that of the least id; rows of one place then are few, and can stay together.
     holding = holding.groupBy("key", "start", "end").agg(F.min("id").alias("id")) if state is Nearest else holding.distinct()
@@ -189,17 +193,24 @@ def listed_around(inner: DataFrame, outer: DataFrame, key: str, name: str) -> Da
 
 
 def _least_so_far(asking: DataFrame, holding: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """asking(keys, _at, _most, ...) with `name`: the id of holding(keys, _at, _value, id) of the least value at or before _at, null where it is above _most.
+    """asking(keys, _at, _most, ...) with `name`: the id of holding(keys, _at, _value, id) of the least value at or before _at, null where it is above _most; true for an id where holding has none.
 
     One union and one window. Keys of over LARGE rows are cut at quantiles of their places first; the least values of
     the pieces before, a row each, are handed on.
     """
-    held = holding.select(*keys, "_at", F.struct(F.col("_value").alias("value"), F.col("id").alias("id")).alias("_least"), F.lit(False).alias("_asks"))
+    told = "id" in holding.columns
+    least = F.struct(F.col("_value").alias("value"), F.col("id").alias("id")) if told else F.col("_value")
+    held = holding.select(*keys, "_at", least.alias("_least"), F.lit(False).alias("_asks"))
     rows = asking.withColumn("_asks", F.lit(True)).unionByName(held, allowMissingColumns=True)
     places = rows.select(*keys, "_at")
-    hot = kept(places.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > LARGE))
+    # Buckets of keys are counted first, as there are few; single keys only where a bucket has over LARGE rows.
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    full = [r[0] for r in rows.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > LARGE).select("_bucket").collect()]  # BUCKETS at most
+    of_full = places.filter(F.array_contains(F.lit(full), bucket) if full else F.lit(False))
+    hot = of_full.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > LARGE)
+    hot = kept(hot) if full else hot
     piece = [*keys]
-    if not hot.isEmpty():
+    if full and not hot.isEmpty():
         most = int(hot.agg(F.max("_n")).first()[0])
         pieces = min(256, most * 4 // LARGE)
         shares = [i / pieces for i in range(1, pieces)]
@@ -215,7 +226,7 @@ def _least_so_far(asking: DataFrame, holding: DataFrame, keys: list[str], name:
     rows = rows.withColumn("_found", least).filter("_asks")
     if len(piece) > len(keys):
         rows = rows.join(F.broadcast(carried), piece, "left").withColumn("_found", F.least("_found", "_carried"))
-    found = F.when(F.col("_found.value") <= F.col("_most"), F.col("_found.id"))
+    found = F.when(F.col("_found.value") <= F.col("_most"), F.col("_found.id")) if told else F.when(F.col("_found") <= F.col("_most"), F.lit(True))
     return rows.select(*[c for c in asking.columns if c not in ("_at", "_most")], found.alias(name))
 
 
@@ -225,18 +236,19 @@ def _any(asking: DataFrame, holding: DataFrame, key: str | list[str], name: str,
     for k in keys:
         good = good & F.col(k).isNotNull()
     asked = asking.filter(good).withColumns({"_at": at, "_most": end})
-    held = holding.filter(good).select(*keys, at.alias("_at"), end.alias("_value"), "id")
-    rest = asking.filter(~good).withColumn(name, F.lit(None).cast(holding.schema["id"].dataType))
+    told = "id" in holding.columns
+    held = holding.filter(good).select(*keys, at.alias("_at"), end.alias("_value"), *["id"] * told)
+    rest = asking.filter(~good).withColumn(name, F.lit(None).cast(holding.schema["id"].dataType if told else "boolean"))
     return _least_so_far(asked, held, keys, name).unionByName(rest)
 
 
 def holds_any(outer: DataFrame, inner: DataFrame, key: str | list[str], name: str) -> DataFrame:
-    """outer(key, start, end, ...) with `name`: the id of a range of inner(key, start, end, id) that lies in it, null if none does."""
+    """outer(key, start, end, ...) with `name`: the id of a range of inner(key, start, end, id) that lies in it, null if none does; without ids true."""
     return _any(outer, inner, key, name, -F.col("start").cast("long"), F.col("end").cast("long"))
 
 
 def in_any(inner: DataFrame, outer: DataFrame, key: str | list[str], name: str) -> DataFrame:
-    """inner(key, start, end, ...) with `name`: the id of a range of outer(key, start, end, id) around it, null if there is none."""
+    """inner(key, start, end, ...) with `name`: the id of a range of outer(key, start, end, id) around it, null if there is none; without ids true."""
     return _any(inner, outer, key, name, F.col("start").cast("long"), -F.col("end").cast("long"))
 
 

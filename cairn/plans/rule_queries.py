@@ -32,14 +32,19 @@ def _calls(spark, sf_dir):
     l = _t(spark, sf_dir, "lineitem")
     listed = _pick(F.col("l_partkey"), *CALLEES)
     name = F.concat(F.lit("p"), F.col("l_suppkey") % 3)
-    callee = F.when(listed.startswith("."), F.concat(name, listed)).otherwise(listed)
+    # All 72 callees and their roots stand in a fixed array each, as every rule reads them; other keys are put together.
+    full = [f"p{n}{c}" if c.startswith(".") else c for c in CALLEES for n in range(3)]
+    at = ((F.col("l_partkey") % len(CALLEES)) * 3 + F.col("l_suppkey") % 3).cast("int")
+    plain = (F.col("l_partkey") >= 0) & (F.col("l_suppkey") >= 0)
+    callee = F.when(plain, F.get(F.array(*[F.lit(c) for c in full]), at)).otherwise(F.when(listed.startswith("."), F.concat(name, listed)).otherwise(listed))
+    root = F.when(plain, F.get(F.array(*[F.lit(c.split(".")[0]) for c in full]), at)).otherwise(F.split_part(callee, F.lit("."), F.lit(1)))
     region = lambda kind, of: F.array(F.struct(F.lit(kind).alias("kind"), F.lit(of).alias("callee")))
     control = F.when(F.col("l_linenumber") > 4, region("loop", "")).when(F.col("l_linenumber") == 4, region("callback", "xs.map")).otherwise(region("conditional", ""))
     usage = F.when(F.col("l_linestatus") == "O", "expression").when(F.col("l_returnflag") == "R", "assignment").otherwise("argument")
     words = _pick(F.col("l_suppkey"), "x('failed')", "status = 3", "restarting")
     return l.select(
         *_span("l_orderkey", "l_linenumber"), F.col("l_orderkey").cast("string").alias("function"), F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), callee.alias("callee"), words.alias("source"),
-        F.array(F.lit("import fs from 'fs'")).alias("imports"), F.split_part(callee, F.lit("."), F.lit(1)).alias("root"), F.split_part(callee, F.lit("."), F.lit(1)).alias("receiver"), control.alias("control"), F.array(name).alias("bindings"),
+        F.array(F.lit("import fs from 'fs'")).alias("imports"), root.alias("root"), root.alias("receiver"), control.alias("control"), F.array(name).alias("bindings"),
         (F.col("l_returnflag") == "A").alias("paginated"), (F.col("l_linestatus") == "F").alias("ordered"), usage.alias("usage"), (F.col("l_returnflag") == "A").alias("awaited"), F.when(F.col("l_linestatus") == "O", "abort").alias("event"),
         F.concat(F.lit("v"), F.col("l_suppkey") % 4).alias("name"), ((F.col("l_orderkey") + 1) * 64).alias("until"), F.when(F.col("l_returnflag") == "R", F.col("l_orderkey").cast("string")).alias("handler"),
         F.lit("e0").alias("binding"), F.array(F.concat(F.lit("e"), F.col("l_suppkey") % 2)).alias("references"), "l_linenumber", "l_partkey",

@@ -10,12 +10,8 @@ from cairn.plans.tables import table as _t
 
 
 def _pick(by, *values):
-    """The value at `by` modulo their number."""
-    n = by % len(values)
-    out = F.when(n == 0, values[0])
-    for i, v in enumerate(values[1:], 1):
-        out = out.when(n == i, v)
-    return out
+    """The value at `by` modulo their number; a look-up in one array, as a chain of conditions is worked out anew wherever it is read."""
+    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), (by % len(values)).cast("int"))
 
 
 def _part(spark, sf_dir):

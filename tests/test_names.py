@@ -102,3 +102,20 @@ def test_members_of_a_row_need_no_join(spark):
     assert got == {1: [("err.message", 0, 3), ("message.length", 2, 5)], 2: [], 3: [], 4: [], 5: [("a.b", 0, 3)]}
     x = registry.queries()["j18_members_of_words"](spark, "/root/testdata/sf0.001")
     assert "Join" not in x._jdf.queryExecution().optimizedPlan().toString()
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+@pytest.mark.parametrize(("query", "most"), [("r_async", 11)])
+def test_rules_share_the_readings_of_facts(spark, query, most):
+    from cairn.plans import registry
+
+    assert scans(registry.queries()[query](spark, "/root/testdata/sf0.001")) <= most
+
+
+def test_platform_calls_of_several_guards_are_told_in_one_sweep(spark):
+    c = spark.createDataFrame([("a", i, 10 * i, 10 * i + 5, x) for i, x in enumerate(["fetch", "Promise.all", "fetch", "Promise.all", "self.fetch", "other", None])], f"{FILE}, id int, start long, end long, callee string")
+    d = spark.createDataFrame([("a", "fetch", 0, 12), ("a", "Promise", 25, 40), ("a", None, 0, 90)], f"{FILE}, name string, start long, end long")
+    assert ids(names.platform_calls(c, d, "file", {"fetch": ["fetch", "self.fetch"], "Promise": ["Promise.all"]})) == [1, 2, 4]

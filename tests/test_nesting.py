@@ -125,3 +125,9 @@ def test_keys_cut_for_windows_give_what_all_pairs_give(many_cuts, monkeypatch, l
     b = b.filter("end IS NULL OR start IS NULL OR end - start < 100")
     assert {r.id: r.h is not None for r in nesting.in_any(a, b, "k", "h").collect()} == {i[1]: any(holds(o, i) for o in small) for i in inner}
     assert {r.id: r.h is not None for r in nesting.holds_any(b, a, "k", "h").collect()} == {o[1]: any(holds(o, i) for i in inner) for o in small}
+
+
+def test_ranges_without_ids_are_told_by_true(spark):
+    inner = spark.createDataFrame([("a", 1, 2, 3), ("a", 2, 8, 12), ("b", 3, 2, 3), (None, 4, 2, 3)], SCHEMA.replace("id long", "n long"))
+    outer = spark.createDataFrame([("a", 1, 0, 9)], SCHEMA).drop("id")
+    assert {x.n: x.h for x in nesting.in_any(inner, outer, "k", "h").collect()} == {1: True, 2: None, 3: None, 4: None}
