@@ -22,12 +22,12 @@ def retry_loops(loops: DataFrame, catches: DataFrame, calls: DataFrame, key: str
     calls(key, id, start, end, references) in it, outside all catches of the key, uses none of its bindings.
     """
     loops = loops.filter("kind <> 'for-in'")
-    held = nesting.holds_any(loops, catches, key, "_held").filter("_held IS NOT NULL").drop("_held")
+    held = nesting.holds_any(loops, catches.select(key, "start", "end"), key, "_held").filter("_held IS NOT NULL").drop("_held")
     bound = held.filter("kind = 'for-of' AND size(bindings) > 0")
-    free = nesting.in_any(calls, catches, key, "_caught").filter("_caught IS NULL").drop("_caught")
-    inside = nesting.all_around(free.select(key, "start", "end", "references"), bound, key, "_loop")
-    used = inside.select(key, "_loop", "references").distinct().join(bound.select(key, F.col("id").alias("_loop"), "bindings"), [key, "_loop"])
-    ignoring = used.filter(~F.coalesce(F.arrays_overlap("references", "bindings"), F.lit(False))).select(key, F.col("_loop").alias("id")).distinct()
+    # Only keys with such a loop are looked at further; each loop is told once, not with every call in it.
+    asked = calls.select(key, "start", "end", "references").join(bound.select(key).distinct(), key, "left_semi")
+    free = nesting.in_any(asked, catches.select(key, "start", "end"), key, "_caught").filter("_caught IS NULL").drop("_caught")
+    ignoring = nesting.met_without(bound, free, key, "bindings", "references")
     return held.filter("kind <> 'for-of' OR coalesce(size(bindings), 0) <= 0").select(key, "id").unionByName(ignoring)
 
 

@@ -73,6 +73,37 @@ class Every:
         return [(s, e, i) for s, e, i in zip(self.starts, self.ends, self.ids) if e >= start]
 
 
+class Unmet:
+    """Open ranges that no asking range has met yet, by their names; an id is (id, names), and each is given out once."""
+
+    def __init__(self, ids):
+        self.groups = {}
+
+    def add(self, start, end, i):
+        ends, held = self.groups.setdefault(frozenset(n for n in i["names"] if n is not None), ([], []))
+        at = bisect_right(ends, end)
+        ends.insert(at, end)
+        held.insert(at, (start, i))
+
+    def around(self, start, end, asking=None):
+        """The ids of the open ranges that reach to `end` and share no name with the asking one."""
+        out, names = [], (asking or {}).get("names") or ()
+        for own in [*self.groups]:
+            if not own.isdisjoint(names):
+                continue
+            ends, held = self.groups[own]
+            at = bisect_left(ends, end)
+            out.extend(i for _, i in held[at:])
+            gone = bisect_left(ends, start, 0, at)
+            ends[:], held[:] = ends[gone:at], held[gone:at]
+            if not ends:
+                del self.groups[own]
+        return out
+
+    def open(self, start):
+        return [(s, e, i) for ends, held in self.groups.values() for e, (s, i) in zip(ends, held) if e >= start]
+
+
 def _holder(kind):
     return (lambda: array("q")) if pa.types.is_integer(kind) else list
 
@@ -185,6 +216,20 @@ def all_around(inner: DataFrame, outer: DataFrame, key: str, name: str, strict:
     return _around(inner, outer, key, Every, strict, False).select("row.*", F.explode("outers").alias(name))
 
 
+def met_without(outer: DataFrame, inner: DataFrame, key: str, names: str, asked: str) -> DataFrame:
+    """(key, id) of the ranges of outer(key, id, start, end, names) around any of inner(key, start, end, asked) that shares no name with them; null arrays share none.
+
+    A range is held until it is met and given out once for each partition that it reaches into, so no pairs are listed.
+    """
+    o = outer.select(key, "start", "end", F.struct(F.col("id").alias("id"), F.coalesce(names, F.array().cast(outer.schema[names].dataType)).alias("names")).alias("id"))
+    kind = o.schema["id"].dataType
+    by = F.struct(F.lit(None).cast(kind["id"].dataType).alias("id"), F.col(asked).alias("names"))
+    i = inner.select(key, "start", "end", asked)
+    # The asking rows need not ride: of each, the key is all that is read again.
+    met = _around(i, o, key, Unmet, False, False, by).select(F.col("row")[key].alias(key), F.explode("outers").alias("o"))
+    return met.select(key, F.col("o.id").alias("id")).distinct()
+
+
 def listed_around(inner: DataFrame, outer: DataFrame, key: str, name: str) -> DataFrame:
     """inner(key, start, end, ...) with `name`: an array of the ids of all ranges of outer(key, start, end, id) around each, in no order."""
     found = _around(inner, outer, key, Every, False, True).select("row.*", F.col("outers").alias(name))

@@ -127,6 +127,27 @@ def test_keys_cut_for_windows_give_what_all_pairs_give(many_cuts, monkeypatch, l
     assert {r.id: r.h is not None for r in nesting.holds_any(b, a, "k", "h").collect()} == {o[1]: any(holds(o, i) for i in inner) for o in small}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_loops_are_met_once_by_calls_without_their_names(many_cuts, seed):
+    r = random.Random(seed)
+    names = lambda: r.choice([None, [], ["x"], ["y"], ["x", "y"], ["x", None], [None]])
+    loops, calls = ([(*x, names()) for x in ranges(n, 300, 2000, 90)] for n in (seed, seed + 5))
+    schema = f"{SCHEMA}, names array<string>"
+    a, b = many_cuts.createDataFrame(loops, schema), many_cuts.createDataFrame(calls, schema)
+    disjoint = lambda p, q: not {x for x in p or [] if x} & {x for x in q or [] if x}
+    want = sorted({(o[0], o[1]) for o in loops for i in calls if good(o[:4]) and good(i[:4]) and o[0] == i[0] and o[2] <= i[2] and o[3] >= i[3] and disjoint(o[4], i[4])})
+    assert sorted(tuple(x) for x in nesting.met_without(a, b.withColumnRenamed("names", "seen"), "k", "names", "seen").collect()) == want and want
+
+
+def test_a_loop_that_was_met_is_not_open_any_more():
+    state = nesting.Unmet(list)
+    for i in range(1000):
+        state.add(i, 10_000 - i, {"id": i, "names": ["x"]})
+    assert state.around(5000, 5001, {"id": None, "names": ["x"]}) == []
+    assert len(state.around(5000, 9500, {"id": None, "names": ["y"]})) == 501 and len(state.open(5000)) == 499
+    assert state.around(5000, 9500, {"id": None, "names": None}) == []
+
+
 def test_ranges_without_ids_are_told_by_true(spark):
     inner = spark.createDataFrame([("a", 1, 2, 3), ("a", 2, 8, 12), ("b", 3, 2, 3), (None, 4, 2, 3)], SCHEMA.replace("id long", "n long"))
     outer = spark.createDataFrame([("a", 1, 0, 9)], SCHEMA).drop("id")
