@@ -34,15 +34,19 @@ def receivers(imports: DataFrame, declarators: DataFrame) -> DataFrame:
 
 
 def _options(properties: DataFrame) -> DataFrame:
-    """(file, id, position, method, url, handler, attached) of every object argument; of a repeated name the first counts."""
-    first = properties.groupBy("file", F.col("call").alias("id"), "position", "name").agg(F.min(F.struct("ord", "kind", "value", "text")).alias("p"))
-    one = lambda name: F.max(F.when(F.col("name") == name, F.col("p")))
-    literal = lambda name: F.max(F.when((F.col("name") == name) & (F.col("p.kind") == "string"), F.col("p.value")))
-    order = F.array_position(F.array(*[F.lit(n) for n in ["schema", *HOOKS]]), F.col("name"))
-    kind = F.when(F.col("name") == "schema", "schema").otherwise("middleware")
-    attached = F.array_sort(F.collect_list(F.when(order > 0, F.struct(order.alias("ord"), kind.alias("kind"), F.col("p.text").alias("text")))))
-    handler = F.struct(one("handler")["kind"].alias("kind"), one("handler")["value"].alias("value"))
-    return first.groupBy("file", "id", "position").agg(literal("method").alias("o_method"), F.coalesce(literal("url"), literal("path")).alias("o_path"), F.when(one("handler").isNotNull(), handler).alias("o_handler"), attached.alias("o_attached"))
+    """(file, id, options) of every call with object arguments: (position, method, path, handler, attached) of each; of a repeated name the first counts.
+
+    The first of each name that counts is taken in one reduction, so a name that is repeated without end is one value.
+    """
+    held = ["schema", *HOOKS]
+    names = ["method", "url", "path", "handler", *held]
+    entry = F.struct("ord", "kind", "value", "text")
+    first = properties.filter(F.col("name").isin(names)).groupBy("file", F.col("call").alias("id"), "position").agg(*[F.min(F.when(F.col("name") == n, entry)).alias(n) for n in names])
+    literal = lambda n: F.when(F.col(f"{n}.kind") == "string", F.col(f"{n}.value"))
+    attached = F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.struct(F.lit("schema" if n == "schema" else "middleware").alias("kind"), F.col(f"{n}.text").alias("text"))) for n in held]))
+    handler = F.when(F.col("handler").isNotNull(), F.struct("handler.kind", "handler.value"))
+    options = F.struct("position", literal("method").alias("method"), F.coalesce(literal("url"), literal("path")).alias("path"), handler.alias("handler"), attached.alias("attached"))
+    return first.groupBy("file", "id").agg(F.collect_list(options).alias("options"))
 
 
 def routes(calls: DataFrame, arguments: DataFrame, properties: DataFrame, bound: DataFrame) -> DataFrame:
@@ -53,22 +57,24 @@ def routes(calls: DataFrame, arguments: DataFrame, properties: DataFrame, bound:
     and path, and a handler. Calls that lack any of these are no routes.
     """
     asked = calls.filter(F.col("property").isin([*METHODS, "route"])).join(bound, ["file", "object"]).select("file", "id", "property", "framework")
-    row = F.struct("position", "kind", "value", "text")
-    args = arguments.groupBy("file", F.col("call").alias("id")).agg(F.array_sort(F.collect_list(row)).alias("args"))
-    listed = asked.join(args, ["file", "id"])
-    at = F.when(F.col("property") == "route", F.when(F.col("args")[0]["kind"] == "object", F.col("args")[0]["position"]))
-    at = at.when((F.size("args") >= 3) & (F.col("args")[1]["kind"] == "object"), F.col("args")[1]["position"])
-    listed = listed.withColumn("position", F.when(F.col("framework") == "fastify", at)).join(_options(properties), ["file", "id", "position"], "left")
-    by_object = F.col("property") == "route"
+    # All three meet by call. Of the arguments only what a route can take is kept before.
+    args = arguments.groupBy("file", F.col("call").alias("id")).agg(F.array_sort(F.collect_list(F.struct("position", "kind", "value", "text"))).alias("args"))
+    a, n = F.col("args"), F.size("args")
+    texts = F.transform(F.slice(a, 2, F.greatest(n - 2, F.lit(0))), lambda x: x["text"])
+    place = lambda i: F.when(F.get(a, F.lit(i))["kind"] == "object", F.get(a, F.lit(i))["position"])
+    last = F.element_at(a, -1)
+    args = args.select("file", "id", n.alias("n"), place(0).alias("p0"), F.when(n >= 3, place(1)).alias("p1"), F.when((n >= 2) & (a[0]["kind"] == "string"), a[0]["value"]).alias("literal"), F.struct(last["kind"].alias("kind"), last["value"].alias("value")).alias("last"), texts.alias("texts"))
+    by_object, fastify = F.col("property") == "route", F.col("framework") == "fastify"
+    listed = asked.filter(~by_object | fastify).join(args, ["file", "id"]).join(_options(properties), ["file", "id"], "left")
+    at = F.when(fastify, F.when(by_object, F.col("p0")).otherwise(F.col("p1")))
+    listed = listed.withColumn("_at", at).withColumn("o", F.get(F.filter("options", lambda o: o["position"] == F.col("_at")), F.lit(0)))
     none = F.array().cast("array<struct<kind:string,text:string>>")
-    given = lambda a: F.transform(a, lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text")))
-    between = F.transform(F.slice("args", 2, F.greatest(F.size("args") - 2, F.lit(0))), lambda x: F.struct(F.lit("middleware").alias("kind"), x["text"].alias("text")))
-    last = F.element_at("args", -1)
-    path: Column = F.when(by_object, F.col("o_path")).when((F.size("args") >= 2) & (F.col("args")[0]["kind"] == "string"), F.col("args")[0]["value"])
-    method = F.when(by_object, F.col("o_method")).otherwise(F.col("property"))
-    handler = F.when(by_object, F.col("o_handler")).otherwise(F.struct(last["kind"].alias("kind"), last["value"].alias("value")))
-    attached = F.when(F.col("framework") == "express", between).otherwise(F.coalesce(given("o_attached"), none))
-    out = listed.filter(~by_object | (F.col("framework") == "fastify")).select("file", "id", "framework", F.upper(method).alias("method"), path.alias("path"), handler.alias("handler"), attached.alias("attachments"))
+    between = F.transform("texts", lambda t: F.struct(F.lit("middleware").alias("kind"), t.alias("text")))
+    path: Column = F.when(by_object, F.col("o.path")).otherwise(F.col("literal"))
+    method = F.when(by_object, F.col("o.method")).otherwise(F.col("property"))
+    handler = F.when(by_object, F.col("o.handler")).otherwise(F.col("last"))
+    attached = F.when(F.col("framework") == "express", between).otherwise(F.coalesce("o.attached", none))
+    out = listed.select("file", "id", "framework", F.upper(method).alias("method"), path.alias("path"), handler.alias("handler"), attached.alias("attachments"))
     return out.filter("method IS NOT NULL AND path IS NOT NULL AND handler IS NOT NULL")
 
 
