@@ -152,3 +152,19 @@ def test_ranges_without_ids_are_told_by_true(spark):
     inner = spark.createDataFrame([("a", 1, 2, 3), ("a", 2, 8, 12), ("b", 3, 2, 3), (None, 4, 2, 3)], SCHEMA.replace("id long", "n long"))
     outer = spark.createDataFrame([("a", 1, 0, 9)], SCHEMA).drop("id")
     assert {x.n: x.h for x in nesting.in_any(inner, outer, "k", "h").collect()} == {1: True, 2: None, 3: None, 4: None}
+
+
+def test_control_lists_follow_ranges_that_open_and_close(many_cuts):
+    r = random.Random(7)
+    types = {"IfStatement": "conditional", "ForStatement": "loop", "CatchClause": "catch"}
+    nodes = [(k, r.choice([*types]), s, e, None, False, None, None) for k, _, s, e in ranges(8, 300, 900, 120)]
+    calls = ranges(9, 300, 900, 12)
+    node = "k string, type string, start long, end long, parent_type string, is_argument boolean, final_start long, final_end long"
+    n = many_cuts.createDataFrame(nodes, node)
+    got = {x.id: [tuple(c) for c in x.control] for x in nesting.control_regions(many_cuts.createDataFrame(calls, SCHEMA), n, "k").collect()}
+    for k, i, s, e in calls:
+        around = {(types[x[1]], x[2], x[3]) for x in nodes if good((x[0], 0, x[2], x[3])) and good((k, i, s, e)) and x[0] == k and x[2] <= s and x[3] >= e}
+        assert got[i] == sorted(around, key=lambda c: (c[1], -c[2], c[0]))
+    state = nesting.Listed(lambda: nesting.array("q"))
+    state.add(0, 9, 4)
+    assert state.around(1, 2) is state.around(3, 4) and list(state.around(1, 2)) == [0, -9, 4] and list(state.around(20, 20)) == []
