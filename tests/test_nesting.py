@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +169,33 @@ def test_control_lists_follow_ranges_that_open_and_close(many_cuts):
     state = nesting.Listed(lambda: nesting.array("q"))
     state.add(0, 9, 4)
     assert state.around(1, 2) is state.around(3, 4) and list(state.around(1, 2)) == [0, -9, 4] and list(state.around(20, 20)) == []
+
+
+@pytest.mark.parametrize("strict", [False, True])
+@pytest.mark.parametrize(("rows", "piece"), [(1, 4), (7, 3), (50, 4), (1000, 16), (1000, 1 << 10)])
+def test_pairs_do_not_depend_on_where_rows_are_cut(monkeypatch, rows, piece, strict):
+    for name, value in (("PIECE", piece), ("MET", 5), ("BATCH", 20)):
+        monkeypatch.setattr(nesting, name, value)
+    kind = pa.struct([("k", pa.string()), ("id", pa.int64())])
+    fields = pa.schema([("key", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("id", pa.int64()), ("pid", pa.int32()), ("asks", pa.bool_()), ("holds", pa.bool_()), ("row", kind)])
+    inner, outer = ([x for x in ranges(n, 150, 30, 15) if good(x)] for n in (6, 7))
+    given = [{"key": k, "start": s, "end": e, "id": None if i == 9 else i, "pid": 0, "asks": None, "holds": True, "row": None} for k, i, s, e in outer]
+    given += [{"key": k, "start": s, "end": e, "id": None, "pid": 0, "asks": True, "holds": False, "row": {"k": k, "id": i}} for k, i, s, e in inner]
+    given.sort(key=lambda r: (r["key"], r["start"], -r["end"], not r["holds"], r["id"] or 0))
+    # A second partition in the same task: nothing is open in it that the first one left.
+    given += [{**r, "pid": 1} for r in given]
+    batches = [pa.RecordBatch.from_pylist(given[at : at + rows], fields) for at in range(0, len(given), rows)]
+    out = pa.schema([("k", pa.string()), ("id", pa.int64()), ("outer_id", pa.int64())])
+    got = list(nesting._paired(iter(batches), strict, out))
+    want = [(k, i, None if o == 9 else o) for k, i, s, e in inner for q, o, a, b in outer if k == q and a <= s and b >= e and not (strict and (a, b) == (s, e))]
+    assert all(0 < b.num_rows <= 20 + piece for b in got)
+    assert sorted([tuple(r.values()) for b in got for r in b.to_pylist()], key=str) == sorted(want * 2, key=str)
+
+
+def test_written_pairs_take_little_room(spark, tmp_path):
+    r = random.Random(8)
+    ids = r.sample(range(10**6), 6000)
+    x = spark.createDataFrame([("a", i, s, s + r.randrange(60_000)) for i, s in zip(ids, r.choices(range(200_000), k=6000))], SCHEMA).repartition(4)
+    joins.contained(x, x, "k", strict=True).write.parquet(str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs")).count()
+    assert pairs > 1_500_000 and sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < pairs / 2
